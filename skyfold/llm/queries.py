@@ -23,12 +23,42 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.pack(m.pieces(table(spark, sf_dir, "documents")))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_text as m
+
+    return m.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality as m
+
+    return m.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_dedup as m
+
+    return m.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import media as m
+
+    return m.stored_texts(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_counts as m
 
     return m.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing as m
+
+    return m.mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in sorted(globals().items()) if k.startswith("op") and k[2].isdigit()}
 
