@@ -92,7 +92,7 @@ def budgets(leaves: DataFrame, total: Column, weights: DataFrame | None = None,
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", domain=source_domain, weights: DataFrame | None = None, fraction: float = 1.0, epochs: int = EPOCHS, seed: int = SEED, slices: int = SLICES) -> DataFrame:
-    """A row for each document: doc_id, domain, lang, source, n_tokens, leaf_budget, copies.
+    """A row for each document: doc_id, domain, lang, source, n_tokens, leaf_budget, copies, and _t, its text's hash.
 
     copies: how often the leaf's prefix passes the document, 0 to epochs.  The budget is fraction of all tokens.
     Running sums are two-fold: over the ordered slices of a leaf, which are few, then within a slice.
@@ -130,4 +130,16 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     within = Window.partitionBy(*LEVELS, "_slice").orderBy(key)
     ahead = F.coalesce(F.sum("n_tokens").over(within.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
     part = (F.col("_before") + ahead < F.col("rest")).cast("int")
-    return d.select("doc_id", *LEVELS, "n_tokens", F.col("budget").alias("leaf_budget"), (F.col("whole") + part).cast("long").alias("copies"))
+    return d.select("doc_id", *LEVELS, "n_tokens", F.col("budget").alias("leaf_budget"), (F.col("whole") + part).cast("long").alias("copies"), "_t")
+
+
+def resample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """The documents with their own columns, each as often as the mix takes it."""
+    key = F.xxhash64(F.col("_id"), F.col("_t"))
+    taken = mix(docs, doc_id, text, **settings).where("copies > 0").withColumn("_id", F.col("doc_id"))
+    taken = taken.groupBy("_id", "_t", *LEVELS).agg(F.max("copies").alias("copies"))
+    d = docs.select(F.struct("*").alias("_row"), docs[f"`{doc_id}`"].alias("_id"), F.xxhash64(docs[f"`{text}`"]).alias("_t"), docs[f"`{settings.get('lang', 'lang')}`"].alias("_l"), docs[f"`{settings.get('source', 'source')}`"].alias("_s"))
+    t = taken.select(key.alias("_key"), F.col("lang").alias("_tl"), F.col("source").alias("_ts"), "copies")
+    # rows alike in id, text, language and source share one fate
+    d = d.withColumn("_key", key).join(t, "_key").where(F.col("_l").eqNullSafe(F.col("_tl")) & F.col("_s").eqNullSafe(F.col("_ts")))
+    return d.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("_row.*")

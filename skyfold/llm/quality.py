@@ -45,52 +45,49 @@ def _bucket(x: Column, buckets: int) -> Column:
     return F.pmod(x, F.lit(buckets)).cast("int")
 
 
-def repeated(h: Column) -> Column:
-    """Words in windows of three that occur twice or more, from the array of word hashes (a column, read often).
+def _tail(name: str) -> Column:
+    return F.slice(name, 2, F.greatest(F.size(name), F.lit(1)))
+
+
+def with_repeated(d: DataFrame) -> DataFrame:
+    """d, which has the word hashes _h, with n_repeat_words: words in windows of three that occur twice or more.
 
     The windows' hashes, each with its place in the low bits, are sorted; equal neighbours are repeats.  The places,
-    sorted again, cover up to three words each.
+    sorted again, cover up to three words each.  Every array is a column of its own, as each is read more than once.
     """
-    n = F.size(h)
-
-    def window(x: Column, i: Column) -> Column:
-        return F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2))
-
-    inner = F.slice(h, 1, F.greatest(n - 2, F.lit(0)))
-    packed = F.sort_array(F.transform(inner, lambda x, i: F.shiftleft(window(x, i), 15).bitwiseOR(i.cast("long"))))
-    tail = lambda a: F.slice(a, 2, F.greatest(F.size(a), F.lit(1)))
-    # for the short texts
-    near = F.zip_with(
-        packed,
-        tail(packed),
-        lambda a, b: F.when(F.shiftrightunsigned(a, 15) == F.shiftrightunsigned(b, 15), F.struct(a.bitwiseAND(SHORT - 1).alias("a"), b.bitwiseAND(SHORT - 1).alias("b"))),
-    )
-    # for the others, whole hashes beside the places
-    wide = F.sort_array(F.transform(inner, lambda x, i: F.struct(window(x, i).alias("w"), i.cast("long").alias("i"))))
-    far = F.zip_with(wide, tail(wide), lambda a, b: F.when(a["w"] == b["w"], F.struct(a["i"].alias("a"), b["i"].alias("b"))))
-    found = F.filter(F.when(n <= SHORT, near).otherwise(far), lambda x: x.isNotNull())
-    places = F.sort_array(F.array_distinct(F.concat(F.transform(found, lambda x: x["a"]), F.transform(found, lambda x: x["b"]))))
-    covered = F.zip_with(places, tail(places), lambda a, b: F.least(F.lit(3).cast("long"), F.coalesce(b - a, F.lit(3).cast("long"))))
-    return F.aggregate(covered, F.lit(0).cast("long"), lambda s, x: s + x)
+    short = F.size("_h") <= SHORT
+    window = lambda x, i: F.xxhash64(x, F.get(F.col("_h"), i + 1), F.get(F.col("_h"), i + 2))
+    starts = F.slice("_h", 1, F.greatest(F.size("_h") - 2, F.lit(0)))
+    packed = F.sort_array(F.transform(starts, lambda x, i: F.shiftleft(window(x, i), 15).bitwiseOR(i.cast("long"))))
+    # beyond that many words, whole hashes beside the places
+    wide = F.sort_array(F.transform(starts, lambda x, i: F.struct(window(x, i).alias("w"), i.cast("long").alias("i"))))
+    d = d.withColumn("_packed", F.when(short, packed)).withColumn("_wide", F.when(~short, wide))
+    low = lambda x: x.bitwiseAND(SHORT - 1)
+    near = F.zip_with("_packed", _tail("_packed"), lambda a, b: F.when(F.shiftrightunsigned(a.bitwiseXOR(b), 15) == 0, F.struct(low(a).alias("a"), low(b).alias("b"))))
+    far = F.zip_with("_wide", _tail("_wide"), lambda a, b: F.when(a["w"] == b["w"], F.struct(a["i"].alias("a"), b["i"].alias("b"))))
+    d = d.withColumn("_found", F.filter(F.coalesce(near, far), lambda x: x.isNotNull()))
+    d = d.withColumn("_places", F.sort_array(F.array_distinct(F.concat(F.col("_found")["a"], F.col("_found")["b"]))))
+    three = F.lit(3).cast("long")
+    covered = F.zip_with("_places", _tail("_places"), lambda a, b: F.least(three, F.coalesce(b - a, three)))
+    return d.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0).cast("long"), lambda s, x: s + x)).drop("_packed", "_wide", "_found", "_places")
 
 
 def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and the word hashes _h."""
-    t = F.coalesce(F.col("text"), F.lit(""))
-    d = rename_inputs(docs, doc_id=doc_id, text=text).withColumn("text", t)
-    d = d.withColumn("_h", _hashes(F.col("text")))
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, and _h, the word hashes, and _row."""
+    d = docs.select(F.struct("*").alias("_row"), docs[f"`{doc_id}`"].alias("doc_id"), F.coalesce(docs[f"`{text}`"], F.lit("")).alias("text"))
     bare = lambda x, out: F.length(F.translate(x, out, ""))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.translate(x, GAPS, "") != "")
-    d = d.withColumn("_lines", lines)
+    lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(GAPS)) != "")
+    d = d.withColumn("_h", _hashes(F.col("text"))).withColumn("_lines", lines)
     d = d.select(
+        "_row",
         "doc_id",
         "_h",
         F.size("_h").cast("long").alias("n_words"),
         bare(F.col("text"), GAPS).cast("long").alias("word_chars"),
         (F.length("text") - bare(F.col("text"), SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        repeated(F.col("_h")).alias("n_repeat_words"),
     )
+    d = with_repeated(d)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return d.withColumn("base_failed", failed)
 
@@ -115,8 +112,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     return whole.select(F.when(F.col("n_target") > 0, F.transform("all", ratio)).otherwise(F.transform("all", lambda x: F.lit(0.0))).alias("llr"), "n_target", "n_raw")
 
 
-def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", good: str = "quality", buckets: int = BUCKETS, target_rows: int = TARGET_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """The statistics with score and kept, for every document."""
+def _judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", good: str = "quality", buckets: int = BUCKETS, target_rows: int = TARGET_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     llr = log_ratios(docs, labels, doc_id, text, label_id, good, buckets, target_rows).select("llr").scalar()
     d = statistics(docs, doc_id, text).withColumn("_llr", llr)
     value = _pairs(F.col("_h"), lambda a, b: F.get(F.col("_llr"), _bucket(a, buckets)) + F.when(b.isNull(), F.lit(0.0)).otherwise(F.get(F.col("_llr"), _bucket(F.xxhash64(a, b), buckets))))
@@ -124,3 +120,13 @@ def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     d = d.withColumn("score", F.when(F.col("n_words") > 0, total / (2 * F.col("n_words") - 1)).otherwise(F.lit(0.0)))
     d = d.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
     return d.drop("_h", "_llr")
+
+
+def judge(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
+    """doc_id, the statistics, score and kept, for every document."""
+    return _judged(docs, labels, **settings).drop("_row")
+
+
+def keep(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
+    """The documents that are kept, with their own columns."""
+    return _judged(docs, labels, **settings).where("kept").select("_row.*")
