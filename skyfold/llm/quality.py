@@ -129,4 +129,5 @@ def judge(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
 
 def keep(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     """The documents that are kept, with their own columns."""
-    return _judged(docs, labels, **settings).where("kept").select("_row.*")
+    # a filter would be pushed below the arrays' projections, and each array computed again wherever it is read
+    return _judged(docs, labels, **settings).select(F.inline(F.when(F.col("kept"), F.array("_row"))))
