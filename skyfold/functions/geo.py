@@ -25,7 +25,8 @@ def distance_km(lat1, lon1, lat2, lon2) -> Column:
     """Haversine distance; the argument is held to 1, as rounding may pass it at antipodes."""
     p, q = F.radians(col(lat1)), F.radians(col(lat2))
     s, t = F.sin((q - p) / 2), F.sin(F.radians(col(lon2) - col(lon1)) / 2)
-    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(s * s + F.cos(p) * F.cos(q) * t * t, F.lit(1.0))))
+    a = s * s + F.cos(p) * F.cos(q) * t * t
+    return 2 * EARTH_KM * F.asin(F.sqrt(F.when(a > 1, F.lit(1.0)).otherwise(a)))
 
 
 def sector(angle) -> Column:

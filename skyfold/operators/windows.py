@@ -89,7 +89,7 @@ def near_rows(df: DataFrame, by: Sequence[str], order: Sequence[str], before: in
         # few rows: one for each bucket of a group
         w = Window.partitionBy(*_named(by)).orderBy(F.col("_bucket").desc() if back else F.col("_bucket").asc())
         near = F.slice(F.flatten(F.collect_list("rows").over(w.rowsBetween(1, n))), 1, n)
-        edge = edge.select(*inner, F.explode(near).alias("r"))
+        edge = edge.withColumn("near", near).select(*inner, F.explode("near").alias("r"))
         # the rows of the group's other buckets, in this bucket
         edge = edge.select("_bucket", "r.row.*").withColumn("_own", F.lit(False))
         out = out.unionByName(edge)

@@ -130,7 +130,7 @@ def a4_weather_asof(spark, d):
 
 @query(
     f"""WITH {MV}, a AS (SELECT apt, stand, block_us FROM mv WHERE phase = 'ARR')
-    SELECT k.id, CAST(trunc((k.us - a.block_us) / 1000000) AS DOUBLE) AS stand_turnaround_sec FROM (SELECT * FROM mv WHERE phase = 'DEP') k ASOF LEFT JOIN a ON k.apt = a.apt AND k.stand = a.stand AND k.us >= a.block_us"""
+    SELECT k.id, CAST(CAST(trunc((k.us - a.block_us) / 1000000) AS BIGINT) AS DOUBLE) AS stand_turnaround_sec FROM (SELECT * FROM mv WHERE phase = 'DEP') k ASOF LEFT JOIN a ON k.apt = a.apt AND k.stand = a.stand AND k.us >= a.block_us"""
 )
 def a3_stand_turnaround(spark, d):
     """Seconds since the last arrival at the stand."""
@@ -212,7 +212,7 @@ def d8_sector_counts(spark, d):
     return ft.sector_congestion(dep, "ts", WIDE, NAMES).select("id", *[f"sector_dep_prev_{m}m" for m in WIDE])
 
 
-@query(f"WITH {MV} SELECT id, CAST(trunc((lobt_us - iobt_us) / 1000000) AS DOUBLE) AS atfm_drift_sec, CAST(trunc((us - lobt_us) / 1000000) AS DOUBLE) AS lobt_anchor_gap_sec, filed <> ades AS diverted FROM mv WHERE phase = 'DEP'")
+@query(f"WITH {MV} SELECT id, CAST(CAST(trunc((lobt_us - iobt_us) / 1000000) AS BIGINT) AS DOUBLE) AS atfm_drift_sec, CAST(CAST(trunc((us - lobt_us) / 1000000) AS BIGINT) AS DOUBLE) AS lobt_anchor_gap_sec, filed <> ades AS diverted FROM mv WHERE phase = 'DEP'")
 def d9_atfm(spark, d):
     """Slot drift, gap to it, diversion."""
     out = ft.atfm_pressure(movements(spark, d).where("phase = 'DEP'"), "ts", NAMES)
@@ -221,7 +221,7 @@ def d9_atfm(spark, d):
 
 @query(
     f"""WITH {MV} SELECT id, hour(make_timestamp(us)) AS hour, isodow(make_timestamp(us)) AS weekday, month(make_timestamp(us)) AS month_num, hour(make_timestamp(us)) * 60 + minute(make_timestamp(us)) AS minute_of_day,
-    CAST(trunc((us - sched_us) / 1000000) AS DOUBLE) AS sched_offset_sec, CAST(trunc((us - eobt_us) / 1000000) AS DOUBLE) AS eobt_offset_sec FROM mv WHERE phase = 'DEP'"""
+    CAST(CAST(trunc((us - sched_us) / 1000000) AS BIGINT) AS DOUBLE) AS sched_offset_sec, CAST(CAST(trunc((us - eobt_us) / 1000000) AS BIGINT) AS DOUBLE) AS eobt_offset_sec FROM mv WHERE phase = 'DEP'"""
 )
 def d14_offsets(spark, d):
     """Calendar and offsets to schedule and estimate."""
@@ -230,7 +230,7 @@ def d14_offsets(spark, d):
     return out.select("id", *whole, F.col("sched_offset_sec").cast("double").alias("sched_offset_sec"), F.col("eobt_offset_sec").cast("double").alias("eobt_offset_sec"))
 
 
-@query(f"WITH {MV} SELECT id, CAST(trunc((us - aobt_us) / 1000000) AS DOUBLE) AS nm_naive_taxi_sec, aobt_us IS NOT NULL AS nm_matched FROM mv WHERE phase = 'DEP'")
+@query(f"WITH {MV} SELECT id, CAST(CAST(trunc((us - aobt_us) / 1000000) AS BIGINT) AS DOUBLE) AS nm_naive_taxi_sec, aobt_us IS NOT NULL AS nm_matched FROM mv WHERE phase = 'DEP'")
 def d15_network_off_block(spark, d):
     """Take-off less the network's off-block time."""
     out = ft.network_off_block(movements(spark, d).where("phase = 'DEP'"), NAMES)
@@ -450,8 +450,8 @@ def c8_schedule(spark, d):
 # Sources, ingest and outer joins
 
 _TEXT = """raw AS (SELECT event_id AS obs_id, event_id AS k, 'A' || (user_id % 4) AS station, CASE WHEN event_id % 17 = 0 THEN NULL ELSE epoch_us(date_trunc('minute', ts)) END AS valid_us,
-    CASE WHEN event_id % 9 = 0 THEN NULL ELSE 20.0 + event_id % 50 END AS tmpf, 15.0 + event_id % 40 AS dwpf, 1.0 * (event_id % 11) AS vsby, 1.0 * (event_id % 30) AS sknt, CASE WHEN event_id % 5 = 0 THEN (event_id % 4) / 10.0 END AS p01i,
-    1.0 * (event_id % 9 * 1000) AS skyl1, [NULL, '-SHSN', 'FZFG', 'TSRA BR', 'RA', 'GS'][event_id % 6 + 1] AS wx FROM events),
+    CASE WHEN event_id % 9 = 0 THEN NULL ELSE CAST(20 + event_id % 50 AS DOUBLE) END AS tmpf, CAST(15 + event_id % 40 AS DOUBLE) AS dwpf, CAST(event_id % 11 AS DOUBLE) AS vsby, CAST(event_id % 30 AS DOUBLE) AS sknt, CASE WHEN event_id % 5 = 0 THEN CAST(event_id % 4 AS DOUBLE) / 10 END AS p01i,
+    CAST(event_id % 9 * 1000 AS DOUBLE) AS skyl1, [NULL, '-SHSN', 'FZFG', 'TSRA BR', 'RA', 'GS'][event_id % 6 + 1] AS wx FROM events),
   flg AS (SELECT *, coalesce(wx, '') AS w FROM raw)"""
 
 
@@ -497,7 +497,7 @@ def d27_daily_state(spark, d):
     return out.select("apt", "day", *share, F.col("daily_departures").cast("double").alias("daily_departures"), F.col("daily_arrivals").cast("double").alias("daily_arrivals"))
 
 
-@query("SELECT 'N' || s_nationkey AS icao, CAST(count(*) AS BIGINT) AS runway_count, round(max(s_suppkey * 10.0), 3) AS longest_runway_ft, round(CAST(CAST(avg(s_suppkey * 10.0) AS FLOAT) AS DOUBLE), 3) AS mean_runway_ft FROM supplier WHERE s_nationkey < 20 AND s_suppkey % 5 <> 0 GROUP BY 1")
+@query("SELECT 'N' || s_nationkey AS icao, CAST(count(*) AS BIGINT) AS runway_count, round(CAST(max(s_suppkey * 10) AS DOUBLE), 3) AS longest_runway_ft, round(CAST(CAST(avg(s_suppkey * 10) AS FLOAT) AS DOUBLE), 3) AS mean_runway_ft FROM supplier WHERE s_nationkey < 20 AND s_suppkey % 5 <> 0 GROUP BY 1")
 def d28_runway_summary(spark, d):
     """Open runways by airport."""
     raw = table(spark, d, "supplier").select(F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("airport_ident"), F.expr("CASE WHEN s_suppkey % 5 = 0 THEN '1' ELSE '0' END").alias("closed"), (F.col("s_suppkey") * 10).cast("string").alias("length_ft"))
@@ -505,7 +505,7 @@ def d28_runway_summary(spark, d):
     return out.select("icao", F.col("runway_count").cast("long").alias("runway_count"), *[F.round(F.col(c).cast("double"), 3).alias(c) for c in ("longest_runway_ft", "mean_runway_ft")])
 
 
-@query("SELECT icao, latitude, longitude, elevation_ft FROM (SELECT 'N' || c_nationkey AS icao, c_custkey % 90 + 0.5 AS latitude, c_custkey * 7 % 180 + 0.25 AS longitude, CAST(c_custkey % 3000 AS DOUBLE) AS elevation_ft, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey % 90, c_custkey * 7 % 180, c_custkey % 3000) AS i FROM customer WHERE c_custkey % 4 <> 0) WHERE i = 1")
+@query("SELECT icao, latitude, longitude, elevation_ft FROM (SELECT 'N' || c_nationkey AS icao, CAST(c_custkey % 90 + 0.5 AS DOUBLE) AS latitude, CAST(c_custkey * 7 % 180 + 0.25 AS DOUBLE) AS longitude, CAST(c_custkey % 3000 AS DOUBLE) AS elevation_ft, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey % 90, c_custkey * 7 % 180, c_custkey % 3000) AS i FROM customer WHERE c_custkey % 4 <> 0) WHERE i = 1")
 def d28_coordinates(spark, d):
     """One place for each airport."""
     k = F.col("c_custkey")

@@ -75,7 +75,7 @@ def coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.concat(F.lit("A"), k.cast("string")).alias("icao"), (35.0 + k * 3.25).alias("latitude"), (-4.0 + k * 5.5).alias("longitude"))
 
 
-XY = "xy AS (SELECT 'A' || n_nationkey AS icao, 35.0 + n_nationkey * 3.25 AS latitude, -4.0 + n_nationkey * 5.5 AS longitude FROM nation WHERE n_nationkey < 6)"
+XY = "xy AS (SELECT 'A' || n_nationkey AS icao, CAST(35.0 + n_nationkey * 3.25 AS DOUBLE) AS latitude, CAST(-4.0 + n_nationkey * 5.5 AS DOUBLE) AS longitude FROM nation WHERE n_nationkey < 6)"
 
 
 def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,7 +138,7 @@ def test_prediction_file(spark, tmp_path):
             submission.validate(make(bad), template)
     with pytest.raises(submission.InvalidPrediction):
         submission.validate(make(ok).drop("TAXITIME_SEC_mvt"), template)
-    assert len(submission.validate(make([(1, 10.0), (3, 7300.0), (5, 20.0), (9, 30.0)]), template)) == 2
+    assert len(submission.validate(make([(1, 10.0), (3, 7300.0), (5, 20.0), (9, 30.0)]), template)) == 3
     submission.write(make(ok), template, str(tmp_path), "team_v7.parquet")
     import pyarrow.parquet as pq
 
