@@ -156,15 +156,33 @@ def _holds(node: Node, names: frozenset) -> bool:
 _CORE = frozenset(["article", "main"])
 
 
-def is_extra(node: Node, in_article: bool) -> bool:
-    """Whether the subtree is never part of the article.
+_HEADS = frozenset("header headers masthead".split())
+#: Beside a header's name, these say that it is the article's own.
+_OWN = frozenset("post entry article story content".split())
+#: Before a name, these say what an element is like, not what it is.
+_LIKE = frozenset("has with no without is".split())
 
-    A name in class or id counts unless the element has the article in it.  A header within an article is its own title.
+
+def _names(a: dict[str, str]) -> tuple[set[str], bool]:
+    """The parts of class and id that name a kind of extra, and whether others name the article."""
+    out, last = set(), ""
+    parts = [x.rstrip("0123456789") for x in _PART.findall(_CAMEL.sub(" ", f"{a.get('class', '')} {a.get('id', '')}").lower())]
+    for plain in parts:
+        if plain in NAMES and last not in _LIKE:
+            out.add(plain)
+        last = plain
+    return out, not _OWN.isdisjoint(parts)
+
+
+def is_extra(node: Node, in_article: bool) -> bool | None:
+    """Whether the subtree is never part of the article; None for a header within an article, of which headings stay.
+
+    A name in class or id counts unless the element has the article in it.
     """
     if node.name in DROPPED:
         return node.name != "form" or not _holds(node, _CORE)  # some systems wrap the page in one form
     if node.name == "header":
-        return not in_article
+        return None if in_article else not _holds(node, _CORE)
     if not node.attrs or node.name in ("html", "body"):
         return False
     a = attributes(node.attrs)
@@ -172,29 +190,28 @@ def is_extra(node: Node, in_article: bool) -> bool:
         return not _holds(node, _CORE)
     if a.get("role", "").lower() in ROLES:
         return not _holds(node, _CORE)
-    own = f"{a.get('class', '')} {a.get('id', '')}"
-    if own == " ":
-        return False
-    if not any(p in NAMES or p.rstrip("0123456789") in NAMES for p in _PART.findall(_CAMEL.sub(" ", own).lower())):
+    found, own = _names(a)
+    if not found or node.name == "main" or (in_article and node.name in HEADINGS) or _holds(node, _CORE):
         return False
-    return node.name != "main" and not (in_article and node.name in HEADINGS) and not _holds(node, _CORE)
+    return None if (in_article or own) and found <= _HEADS else True
 
 
 def prune(root: Node) -> None:
-    """Takes out what is never the article.  A header's title in an article stays, its other parts go."""
-    todo = [(root, False, False)]
+    """Takes out what is never the article.  Of a header in an article the headings stay."""
+    todo = [(root, False, False)]  # node, whether in an article, whether in such a header
     while todo:
         node, inside, head = todo.pop()
         kids = []
         for kid in node.kids:
             if isinstance(kid, str):
-                if not head or node.name != "header":
+                if not head:
                     kids.append(kid)
-            elif head and kid.name not in HEADINGS and not _holds(kid, HEADINGS):
                 continue
-            elif not is_extra(kid, inside):
-                kids.append(kid)
-                todo.append((kid, inside or kid.name in _CORE, (head or kid.name == "header") and kid.name not in HEADINGS))
+            extra = is_extra(kid, inside)
+            if extra or head and kid.name not in HEADINGS and not _holds(kid, HEADINGS):
+                continue
+            kids.append(kid)
+            todo.append((kid, inside or kid.name in _CORE, (head or extra is None) and kid.name not in HEADINGS))
         node.kids = kids
 
 
