@@ -293,7 +293,7 @@ def _level_sql(keys: str, name: str, on: str) -> str:
     c AS (SELECT * FROM t WHERE taxi > 0 AND taxi <= 7200),
     {_level_sql("apt, stand, rwy", "a", "c.apt = aq.apt AND c.stand = aq.stand AND c.rwy = aq.rwy")}, {_level_sql("apt, stand", "b", "c.apt = bq.apt AND c.stand = bq.stand")},
     {_level_sql("apt, rwy", "e", "c.apt = eq.apt AND c.rwy = eq.rwy")}, {_level_sql("apt", "f", "c.apt = fq.apt")}
-    SELECT t.id, t.line, t.part, round(coalesce(CASE WHEN a.valid THEN a.p END, CASE WHEN b.valid THEN b.p END, CASE WHEN e.valid THEN e.p END, CASE WHEN f.valid THEN f.p END), 2) AS reference_sec,
+    SELECT t.id, t.line, t.part, round(CAST(CAST(coalesce(CASE WHEN a.valid THEN a.p END, CASE WHEN b.valid THEN b.p END, CASE WHEN e.valid THEN e.p END, CASE WHEN f.valid THEN f.p END) AS FLOAT) AS DOUBLE), 2) AS reference_sec,
       CASE WHEN a.valid THEN 'apt_stand_rwy' WHEN b.valid THEN 'apt_stand' WHEN e.valid THEN 'apt_rwy' WHEN f.valid THEN 'apt' ELSE 'none' END AS reference_level, coalesce(a.n, 0) AS reference_sample
     FROM t LEFT JOIN a ON t.apt = a.apt AND t.stand = a.stand AND t.rwy = a.rwy LEFT JOIN b ON t.apt = b.apt AND t.stand = b.stand LEFT JOIN e ON t.apt = e.apt AND t.rwy = e.rwy LEFT JOIN f ON t.apt = f.apt"""
 )
