@@ -1,13 +1,16 @@
 """Removal of repeated byte strings: every byte that a string of `least` bytes covers which also starts anywhere else.
 
-1. Anchors.  A window of `least` bytes picks, among the grams of `gram` bytes in it, those of least hash.  Equal windows
-   pick alike, so a repeat shares its anchors with its copies, and an anchor whose hash occurs once proves that all
-   windows that pick it are unique.  An anchor's context is all bytes that such windows can reach.
+1. Anchors.  A window of `least` bytes picks, among the grams of `gram` bytes in it, the first of least hash.  Equal
+   windows pick alike, so a window can repeat only if its anchor's hash does.  Neighbouring windows that pick one anchor
+   are an entry; its context is the bytes that they cover.  Each window is in one entry.
 2. Contexts.  (anchor, context) pairs are counted, summed within tasks first.  A context that occurs twice is repeated
    whole.  Distinct contexts of one anchor, one occurrence of each, are compared by their bytes.
-3. Comparison.  The contexts of many anchors are one text with a Burrows-Wheeler transform.  Intervals of equal prefixes
-   are extended backwards, breadth first, which finds the longest common prefixes of neighbouring suffixes by increasing
-   value; it stops at `least`.  Neighbours without a value by then share `least` bytes or more.
+3. Comparison.  Sorted by what follows the anchor, and by what precedes it read backwards, a context's longest match on
+   either side is with a neighbour.  Both lengths together bound its repeated range; where one other context reaches
+   both, that range is it.  The contexts for which none does, cut to their bounds, become one text with a
+   Burrows-Wheeler transform.  Intervals of equal prefixes are extended backwards, breadth first, which finds the longest
+   common prefixes of neighbouring suffixes by increasing value; it stops at `least`.  Neighbours without a value by then
+   share `least` bytes or more.
 4. An anchor with more than `hot` distinct contexts is not gathered in one task: its windows are counted by hash instead.
 5. The repeated ranges go back to every occurrence, and each text loses them.
 
@@ -29,7 +32,7 @@ from .common import _BASE, _U, buffer_of, mix64, powers, rename_inputs, slices,
 
 LEAST = 400
 GRAM = 100
-HOT = 2000
+HOT = 20_000
 #: Bytes of contexts in one transform.
 CHUNK = 1 << 20
 
@@ -49,7 +52,7 @@ def sliding(a: np.ndarray, w: int, op: np.ufunc) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, at: np.ndarray, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Of every anchor: row, place in the row, hash, hash of its context, context's bytes before and from the place on."""
+    """Of every entry: row, the anchor's place in the row and its hash, the context's hash, its bytes before and from the anchor on."""
     n, w = len(data), least - gram + 1
     none = np.zeros(0, np.int64)
     if n < least:
@@ -57,18 +60,27 @@ def anchors(data: np.ndarray, at: np.ndarray, least: int = LEAST, gram: int = GR
     sums = np.zeros(n + 1, _U)
     np.cumsum((data.astype(_U) + _U(1)) * powers(n), out=sums[1:])
     inverse = powers(n + 1, down=True)
-    h = mix64((sums[gram:] - sums[:-gram]) * inverse[: n - gram + 1]) | _U(1)
-    # windows that reach into the next row pick nothing
-    low = sliding(h, w, np.minimum)
-    left = np.repeat(at[1:], np.diff(at))[: len(low)] - np.arange(len(low))
-    low[left < least] = 0
-    picked = sliding(np.concatenate([np.zeros(w - 1, _U), low, np.zeros(w - 1, _U)]), w, np.maximum)
-    place = np.flatnonzero(picked == h)
+    h = mix64((sums[gram:] - sums[:-gram]) * inverse[: n - gram + 1])
+    # the place in the low bits: of equal hashes the first is the least
+    mask = (1 << n.bit_length()) - 1
+    low = sliding(h & _U(~mask & 0xFFFFFFFFFFFFFFFF) | np.arange(len(h), dtype=_U), w, np.minimum)
+    place = (low & _U(mask)).astype(np.int64)
+    # windows that reach into the next row are none
+    inside = np.ones(len(place), bool)
+    ends = at[1:-1]
+    for back in range(0, len(ends), 4096):
+        reach = (ends[back : back + 4096, None] - np.arange(1, least)).ravel()
+        inside[reach[(reach >= 0) & (reach < len(place))]] = False
+    start = np.flatnonzero(inside)
+    if not len(start):
+        return none, none, none, none, none, none
+    place = place[start]
+    fresh = np.concatenate([[True], (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)])
+    begin, place = start[fresh], place[fresh]
+    end = start[np.append(np.flatnonzero(fresh)[1:] - 1, len(start) - 1)] + least
     row = np.searchsorted(at, place, "right") - 1
-    before = np.minimum(place - at[row], w - 1)
-    after = np.minimum(at[row + 1] - place, least)
-    begin, end = place - before, place + after
-    context = mix64((sums[end] - sums[begin]) * inverse[begin] + mix64((before * 4096 + after).astype(_U)))
+    before, after = place - begin, end - place
+    context = mix64((sums[end] - sums[begin]) * inverse[begin] + mix64((before * (4 * least) + after).astype(_U)))
     return row, place - at[row], h[place].view(np.int64), context.view(np.int64), before, after
 
 
@@ -143,12 +155,8 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarr
     return ~known[1:n]
 
 
-def repeated_ranges(contexts: list[bytes], origins: np.ndarray, least: int = LEAST) -> list[tuple[list[int], list[int]]]:
-    """For each context the ranges covered by `least` bytes that another context has too.
-
-    origins: a number for the first byte of each context, consecutive within a document, so that what two contexts of a
-    document have from the same place is no repeat.
-    """
+def repeated_ranges(contexts: list[bytes], least: int = LEAST) -> list[tuple[list[int], list[int]]]:
+    """For each context the ranges covered by `least` bytes that occur again in any."""
     sizes = np.array([len(c) for c in contexts])
     raw = np.frombuffer(b"\0".join([*contexts, b""]), np.uint8).astype(np.int64) + 1
     stops = np.cumsum(sizes + 1) - 1
@@ -157,23 +165,88 @@ def repeated_ranges(contexts: list[bytes], origins: np.ndarray, least: int = LEA
     owner = np.repeat(np.arange(len(sizes)), sizes + 1)
     order = suffix_order(raw, stops[owner], int(sizes.max()))
     alike = common_prefixes(raw, order, least)
-    whose = owner[order]
-    origin = origins[whose] + order - begins[whose]
-    heads = np.flatnonzero(np.concatenate([[True], ~alike]))
-    many = np.minimum.reduceat(origin, heads) != np.maximum.reduceat(origin, heads)
-    found = np.sort(order[np.repeat(many, np.diff(np.append(heads, len(order))))])
+    shared = np.concatenate([[False], alike]) | np.concatenate([alike, [False]])
+    found = order[shared]
     cover = np.zeros(len(raw) + 1, np.int64)
-    np.add.at(cover, found, 1)
-    np.add.at(cover, found + least, -1)
+    cover[found] += 1
+    cover[found + least] -= 1
     edge = np.diff(np.concatenate([[0], np.cumsum(cover) > 0, [0]]).astype(np.int8))
     up, down = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    at = owner[up]
-    cuts = np.searchsorted(at, np.arange(len(sizes) + 1))
+    cuts = np.searchsorted(owner[up], np.arange(len(sizes) + 1))
     return [((up[a:b] - s).tolist(), (down[a:b] - s).tolist()) for a, b, s in zip(cuts, cuts[1:], begins, strict=False)]
 
 
+def _matches(side: np.ndarray, size: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the rows of side by group and content, and the match of each with the one before and after it in that order."""
+    m = len(side)
+    digits = np.stack([group // 255 ** (3 - i) % 255 + 1 for i in range(4)], axis=1).astype(np.uint8)
+    keys = np.ascontiguousarray(np.concatenate([digits, side], axis=1))
+    order = np.argsort(keys.view(f"S{keys.shape[1]}").ravel(), kind="stable")
+    match = np.full(m + 1, -1)
+    a, b = order[:-1], order[1:]
+    match[1:m] = np.where(group[a] == group[b], _common(side, size, a, b), -1)
+    return order, match[:-1], match[1:]
+
+
+def _common(side: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The bytes that rows a and b of side share from their beginning."""
+    out = np.empty(len(a), np.int64)
+    for i in range(0, len(a), 4096):
+        p, q = a[i : i + 4096], b[i : i + 4096]
+        differ = side[p] != side[q]
+        out[i : i + 4096] = np.where(differ.any(axis=1), differ.argmax(axis=1), side.shape[1])
+    return np.minimum(out, np.minimum(size[a], size[b]))
+
+
+def compared(contexts: list[bytes], before: np.ndarray, group: np.ndarray, least: int = LEAST) -> list[tuple[list[int], list[int]]]:
+    """For each context the ranges covered by `least` bytes that another of its group has too, relative to the anchor."""
+    m = len(contexts)
+    sizes = np.array([len(c) for c in contexts])
+    after = sizes - before
+    flat = np.frombuffer(b"".join(contexts), np.uint8) + np.uint8(1)  # 0 pads: no text in UTF-8 has the byte 255
+    anchor = np.concatenate([[0], np.cumsum(sizes)[:-1]]) + before
+    padded = np.concatenate([flat, np.zeros(least, np.uint8)])
+
+    def side(width: int, size: np.ndarray, step: int) -> np.ndarray:
+        at = np.arange(width)
+        out = np.zeros((m, width), np.uint8)
+        for i in range(0, m, 4096):
+            j = slice(i, i + 4096)
+            index = anchor[j, None] + (at if step > 0 else -1 - at)
+            out[j] = np.where(at < size[j, None], padded[np.maximum(index, 0)], 0)
+        return out
+
+    right, left = side(int(after.max()), after, 1), side(max(1, int(before.max())), before, -1)
+    best, reached = [], np.zeros(m, bool)
+    orders = [_matches(right, after, group), _matches(left, before, group)]
+    for order, prev, following in orders:
+        top = np.empty(m, np.int64)
+        top[order] = np.maximum(prev, following)
+        best.append(top)
+    longest, back = best
+    # whether a neighbour on one side is as good on the other
+    for (order, prev, following), own, other, other_size, wanted in ((orders[0], longest, left, before, back), (orders[1], back, right, after, longest)):
+        for step, match in ((-1, prev), (1, following)):
+            fit = np.flatnonzero(match == own[order])
+            fit = fit[match[fit] >= 0]
+            x, y = order[fit], order[fit + step]
+            reached[x] |= _common(other, other_size, x, y) == wanted[x]
+    hopeful = (longest >= 0) & (back >= 0) & (back + longest >= least)
+    out: list[tuple[list[int], list[int]]] = [([], [])] * m
+    for i in np.flatnonzero(hopeful & reached).tolist():
+        out[i] = ([int(-back[i])], [int(longest[i])])
+    # the rest, with all that they may match: cut to what matches anything
+    open_groups = np.unique(group[hopeful & ~reached])
+    rest = np.flatnonzero(hopeful & np.isin(group, open_groups))
+    if len(rest):
+        cut = [contexts[i][before[i] - back[i] : before[i] + longest[i]] for i in rest.tolist()]
+        for i, (a, b) in zip(rest.tolist(), repeated_ranges(cut, least), strict=True):
+            out[i] = ([x - int(back[i]) for x in a], [x - int(back[i]) for x in b])
+    return out
+
+
 def _entries(least: int, gram: int):
-    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("place", pa.int64()), ("anchor", pa.int64()), ("context", pa.int64()), ("before", pa.int32()), ("after", pa.int32())])
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("place", pa.int64()), ("anchor", pa.int64()), ("context", pa.int64()), ("before", pa.int16()), ("after", pa.int16())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -186,17 +259,17 @@ def _entries(least: int, gram: int):
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the contexts asked for: a row for each."""
-    schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("busy", pa.bool_()), ("origin", pa.int64()), ("before", pa.int32()), ("bytes", pa.binary())])
+    schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("before", pa.int32()), ("whole", pa.bool_()), ("bytes", pa.binary())])
     for batch in slices(batches, "text"):
-        rows = []
-        for text, key, wanted in zip(batch["text"], batch["key"].to_pylist(), batch["wanted"].to_pylist(), strict=True):
-            raw = text.as_py().encode()
-            # the key is a hash: two documents' origins don't meet
-            base = key + (1 << 63)
-            for w in wanted:
-                begin = w["place"] - w["before"]
-                rows.append((w["anchor"], w["context"], w["busy"], (base + begin) % (1 << 64) - (1 << 63), w["before"], raw[begin : w["place"] + w["after"]]))
-        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+        rows: list[tuple] = []
+        for text, wanted in zip(batch["text"], batch["wanted"], strict=True):
+            raw, w = text.as_py().encode(), wanted.values
+            place, before, after = (w.field(c).to_numpy().astype(np.int64) for c in ("place", "before", "after"))
+            pieces = [raw[a:b] for a, b in zip((place - before).tolist(), (place + after).tolist(), strict=True)]
+            rows.append((w.field("anchor").to_numpy(), w.field("context").to_numpy(), before, w.field("whole").to_numpy(zero_copy_only=False), pieces))
+        if rows:
+            columns = [np.concatenate(x) for x in list(zip(*rows, strict=True))[:4]]
+            yield pa.record_batch([*[pa.array(c, f.type) for c, f in zip(columns, schema, strict=False)], pa.array([p for r in rows for p in r[4]], pa.binary())], schema=schema)
 
 
 def _compare(least: int, chunk: int):
@@ -205,11 +278,12 @@ def _compare(least: int, chunk: int):
 
     def done(held: pa.Table) -> pa.RecordBatch:
         contexts = held["bytes"].to_pylist()
-        before = held["before"].to_numpy()
-        ranges = repeated_ranges(contexts, held["origin"].to_numpy(), least)
-        keep = [i for i, (a, _) in enumerate(ranges) if a]
-        begins = pa.array([[x - before[i] for x in ranges[i][0]] for i in keep], schema.field(2).type)
-        ends = pa.array([[x - before[i] for x in ranges[i][1]] for i in keep], schema.field(3).type)
+        anchor = held["anchor"].to_numpy()
+        group = np.cumsum(np.concatenate([[0], anchor[1:] != anchor[:-1]]))
+        ranges = compared(contexts, held["before"].to_numpy().astype(np.int64), group, least)
+        keep = [i for i, ((a, _), whole) in enumerate(zip(ranges, held["whole"].to_pylist(), strict=True)) if a and not whole]
+        begins = pa.array([ranges[i][0] for i in keep], schema.field(2).type)
+        ends = pa.array([ranges[i][1] for i in keep], schema.field(3).type)
         some = held.select(["anchor", "context"]).take(pa.array(keep, pa.int64())).combine_chunks()
         columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in some.columns]
         return pa.record_batch([*columns, begins, ends], schema=schema)
@@ -236,21 +310,18 @@ def _compare(least: int, chunk: int):
 
 
 def _windows(least: int):
-    """Of each context of a busy anchor, the hashes of its windows."""
-    schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("start", pa.int32()), ("window", pa.int64()), ("origin", pa.int64())])
+    """Of each context of a busy anchor, the hashes of its windows; a window's start is relative to the anchor."""
+    schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("start", pa.int32()), ("window", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "bytes", 1 << 19):
             parts = []
-            for anchor, context, origin, before, raw in zip(*[batch[c].to_pylist() for c in ("anchor", "context", "origin", "before", "bytes")], strict=True):
+            for anchor, context, before, raw in zip(*[batch[c].to_pylist() for c in schema.names[:2] + ["before", "bytes"]], strict=True):
                 n = len(raw) - least + 1
-                if n < 1:
-                    continue
                 sums = np.zeros(len(raw) + 1, _U)
                 np.cumsum((np.frombuffer(raw, np.uint8).astype(_U) + _U(1)) * powers(len(raw)), out=sums[1:])
-                start = np.arange(n)
                 h = mix64((sums[least:] - sums[:-least]) * powers(n, down=True) + _U(_BASE))
-                parts.append((np.full(n, anchor), np.full(n, context), start - before, h.view(np.int64), origin + start))
+                parts.append((np.full(n, anchor), np.full(n, context), np.arange(n) - before, h.view(np.int64)))
             if parts:
                 yield pa.record_batch([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*parts, strict=True), schema, strict=True)], schema=schema)
 
@@ -277,28 +348,38 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, gram: int = GRAM, hot: int = HOT, chunk: int = CHUNK) -> DataFrame:
-    """(id, key, begins, ends): the repeated byte ranges, not yet joined up, of the documents that have some."""
-    d = _keyed(docs, doc_id, text)
-    entries = stored(d.mapInArrow(_entries(least, gram), "id bigint, key bigint, place bigint, anchor bigint, context bigint, before int, after int"), "anchors")
+def _contexts(d: DataFrame, asked: DataFrame) -> DataFrame:
+    """The bytes of the contexts asked for.  Both joins of the texts take the same columns, so that one shuffle serves them."""
+    w = asked.select("one.id", "one.key", F.struct("anchor", "context", "one.place", "one.before", "one.after", (F.col("n") > 1).alias("whole")).alias("w"))
+    w = w.groupBy("id", "key").agg(F.collect_list("w").alias("wanted"))
+    # a document and its exact copy have one key: either gives the bytes
+    return d.join(w, ["id", "key"]).select("doc_id", "text", "key", "wanted").mapInArrow(_cut, "anchor bigint, context bigint, before int, whole boolean, bytes binary")
+
+
+def _busy(contexts: DataFrame, least: int) -> DataFrame:
+    windows = stored(contexts.mapInArrow(_windows(least), "anchor bigint, context bigint, start int, window bigint"), "windows")
+    twice = windows.groupBy("anchor", "start", "window").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    found = windows.join(twice, ["anchor", "start", "window"]).groupBy("anchor", "context").agg(F.collect_set("start").alias("begins"))
+    return found.select("anchor", "context", "begins", F.transform("begins", lambda x: (x + least).cast("int")).alias("ends"))
+
+
+def repeats(d: DataFrame, least: int, gram: int, hot: int, chunk: int) -> DataFrame:
+    """(id, key, begins, ends): the repeated byte ranges, not yet joined up, of the documents (keyed) that have some."""
+    entries = d.mapInArrow(_entries(least, gram), "id bigint, key bigint, place bigint, anchor bigint, context bigint, before smallint, after smallint")
+    entries = stored(entries, "anchors")
+    again = entries.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    entries = stored(entries.join(again, "anchor"), "entries")
     place = F.struct("id", "key", "place", "before", "after")
     pairs = entries.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(place).alias("one"))
-    kinds = pairs.groupBy("anchor").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).where("all > 1")
-    pairs = stored(pairs.join(kinds, "anchor").select("anchor", "context", "n", "kinds", "one"), "contexts")
-    asked = pairs.where("kinds > 1").select("one.id", "one.key", F.struct("anchor", "context", (F.col("kinds") > hot).alias("busy"), "one.place", "one.before", "one.after").alias("w"))
-    asked = asked.groupBy("id", "key").agg(F.collect_list("w").alias("wanted"))
-    # a document and its exact copy have one key: either gives the bytes
-    cut = d.join(asked, ["id", "key"]).select("text", "key", "wanted").mapInArrow(_cut, "anchor bigint, context bigint, busy boolean, origin bigint, before int, bytes binary")
-    cut = stored(cut, "cuts")
-    calm = cut.where("NOT busy").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(least, chunk), "anchor bigint, context bigint, begins array<int>, ends array<int>")
-    windows = stored(cut.where("busy").mapInArrow(_windows(least), "anchor bigint, context bigint, start int, window bigint, origin bigint"), "windows")
-    twice = windows.groupBy("anchor", "start", "window").agg(F.min("origin").alias("a"), F.max("origin").alias("b")).where("a <> b").select("anchor", "start", "window")
-    busy = windows.join(twice, ["anchor", "start", "window"]).groupBy("anchor", "context").agg(F.sort_array(F.collect_set("start")).alias("begins"))
-    busy = busy.select("anchor", "context", "begins", F.transform("begins", lambda x: (x + least).cast("int")).alias("ends"))
-    found = calm.union(busy).select("anchor", "context", "begins", "ends")
-    whole = pairs.where(f"n > 1 AND one.before + one.after >= {least}")
-    whole = whole.select("anchor", "context", F.array((-F.col("one.before")).cast("int")).alias("begins"), F.array(F.col("one.after")).alias("ends"))
-    found = stored(found.union(whole), "ranges")
+    kinds = pairs.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    pairs = stored(pairs.join(kinds, "anchor"), "contexts")
+    # the same context has the same place about its anchor
+    whole = pairs.where("n > 1").select("anchor", "context", F.array((-F.col("one.before")).cast("int")).alias("begins"), F.array(F.col("one.after").cast("int")).alias("ends"))
+    calm = _contexts(d, pairs.where(f"kinds BETWEEN 2 AND {hot}")).repartition("anchor").sortWithinPartitions("anchor")
+    calm = calm.mapInArrow(_compare(least, chunk), "anchor bigint, context bigint, begins array<int>, ends array<int>")
+    found = calm.union(whole)
+    if pairs.where(f"kinds > {hot}").limit(1).count():
+        found = found.union(_busy(_contexts(d, pairs.where(f"kinds > {hot}")), least))
     hits = entries.join(found, ["anchor", "context"])
     shift = lambda c: F.transform(c, lambda x: x + F.col("place"))
     hits = hits.select("id", "key", shift("begins").alias("begins"), shift("ends").alias("ends"))
@@ -312,6 +393,6 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, gram: int = GRAM, hot: int = HOT, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept, the bytes that stay, of every document."""
-    found = repeats(docs, doc_id, text, least, gram, hot, chunk)
-    d = _keyed(docs, doc_id, text).join(found, ["id", "key"], "left").select("doc_id", "text", "begins", "ends")
+    d = _keyed(docs, doc_id, text)
+    d = d.join(repeats(d, least, gram, hot, chunk), ["id", "key"], "left").select("doc_id", "text", "key", "begins", "ends")
     return d.mapInArrow(_remove, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
