@@ -46,24 +46,30 @@ def range_counts(
     (back, 0) counts events in (t - back, t], (0, ahead) those in (t, t + ahead].  Keys without a time, or with a null
     group, count 0; events without a time or group are in no window.
     """
-    back, ahead = max([0, *(b for b, _ in spans.values())]), max([0, *(a for _, a in spans.values())])
+    return range_counts_of(keys, [(events, event_time, spans)], by, key_time, bucket)
+
+
+def range_counts_of(keys: DataFrame, streams: Sequence[tuple[DataFrame, str, dict[str, tuple[int, int]]]], by: Sequence[str], key_time: str, bucket: int | None = DAY) -> DataFrame:
+    """range_counts of several streams (events, their time, spans) in one shuffle, one sort and one window."""
+    reach = [span for _, _, spans in streams for span in spans.values()]
+    back, ahead = max([0, *(b for b, _ in reach)]), max([0, *(a for _, a in reach)])
     size = None if bucket is None else max(bucket, back, ahead)
-    k = keys.withColumn("_us", micros(key_time)).withColumn("_n", F.lit(0).cast("long")).withColumn("_probe", F.lit(True))
-    e = events.select(*_named(by), micros(event_time).alias("_us"), F.lit(1).cast("long").alias("_n"), F.lit(False).alias("_probe"))
     group = F.lit(True)
     for c in _named(by):
         group = group & c.isNotNull()
-    e = spread(e.where(F.col("_us").isNotNull() & group), back, ahead, size).drop("_own")
     own = F.floor(F.col("_us") / F.lit(size)) if size else F.lit(0)
-    k = k.withColumn("_bucket", own.cast("long"))
-    both = k.unionByName(e, allowMissingColumns=True)
+    both = keys.withColumn("_us", micros(key_time)).withColumn("_bucket", own.cast("long")).withColumn("_probe", F.lit(True))
+    for i, (events, event_time, _) in enumerate(streams):
+        e = events.select(*_named(by), micros(event_time).alias("_us"), F.lit(1).cast("long").alias(f"_n{i}"), F.lit(False).alias("_probe"))
+        e = spread(e.where(F.col("_us").isNotNull() & group), back, ahead, size).drop("_own")
+        both = both.unionByName(e, allowMissingColumns=True)
     w = Window.partitionBy(*_named(by), "_bucket").orderBy("_us")
-    out = {}
-    known = group & F.col("_us").isNotNull()
-    for name, (b, a) in spans.items():
-        frame = w.rangeBetween(-b + 1, 0) if b else w.rangeBetween(1, a)
-        out[name] = F.when(known, F.coalesce(F.sum("_n").over(frame), F.lit(0))).otherwise(F.lit(0)).cast("long")
-    return both.withColumns(out).where("_probe").drop("_us", "_n", "_probe", "_bucket")
+    known, out = group & F.col("_us").isNotNull(), {}
+    for i, (_, _, spans) in enumerate(streams):
+        for name, (b, a) in spans.items():
+            frame = w.rangeBetween(-b + 1, 0) if b else w.rangeBetween(1, a)
+            out[name] = F.when(known, F.coalesce(F.sum(f"_n{i}").over(frame), F.lit(0))).otherwise(F.lit(0)).cast("long")
+    return both.withColumns(out).where("_probe").drop("_us", "_probe", "_bucket", *[f"_n{i}" for i in range(len(streams))])
 
 
 def horizons(prefix: str, minutes: Sequence[int], back: bool = True, ahead: bool = True) -> dict[str, tuple[int, int]]:

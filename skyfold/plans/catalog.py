@@ -90,6 +90,17 @@ def w5_airport_arrivals(spark, d):
     return range_counts(dep, m.where("phase = 'ARR'"), ["apt"], "ts", "ts", horizons("apt_arr", WIDE)).drop("apt", "ts")
 
 
+@query(
+    f"""WITH {MV}, c AS (SELECT id, {_counts_sql('apt_arr', APT, 'us', ARR, minutes=(30, 240))}, {_counts_sql('apt_dep', APT, 'us', DEP, minutes=(30, 240))} FROM mv k WHERE phase = 'DEP')
+    SELECT *, round(apt_arr_prev_30m / nullif(apt_dep_prev_30m + apt_arr_prev_30m, 0), 6) AS arr_dep_ratio_30m FROM c"""
+)
+def d3_airport_features(spark, d):
+    """D3: arrivals and departures around each departure, in one window, and the arrivals' share."""
+    m = movements(spark, d)
+    out = ft.airport_features(m, m.where("phase = 'DEP'").select("id", "apt", "ts"), "ts", True, (30, 240), NAMES)
+    return _rounded(out.drop("apt", "ts"), "arr_dep_ratio_30m")
+
+
 @query(f"WITH {MV} SELECT id, {_counts_sql('rwy_dep', RWY, 'block_us', DEP, True, False)} FROM mv k WHERE phase = 'DEP'")
 def w5_causal_counts(spark, d):
     """W5, causal: take-offs at the runway up to each off-block time."""

@@ -17,7 +17,7 @@ from ..functions.scalar import calendar, micros, ratio, seconds_between
 from ..operators.asof import asof_backward
 from ..operators.bins import day, fixed_bin, sliding_summary
 from ..operators.aggregates import joined_set
-from ..operators.windows import DAY, MINUTE, gaps, horizons, range_counts
+from ..operators.windows import DAY, MINUTE, gaps, horizons, range_counts, range_counts_of
 from .movements import NAMES, Names
 
 MINUTES = (5, 10, 15, 30, 60)
@@ -46,8 +46,8 @@ def runway_features(df: DataFrame, anchor: str, ahead: bool, minutes: Sequence[i
 def airport_features(df: DataFrame, dep: DataFrame, anchor: str, ahead: bool, minutes: Sequence[int] = MINUTES, n: Names = NAMES, bucket: int | None = DAY) -> DataFrame:
     """dep with arrivals and departures at the airport in the windows, and the arrivals' share of half an hour."""
     by = [n.airport]
-    out = range_counts(dep, arrivals(df, n), by, anchor, n.moved, horizons("apt_arr", minutes, True, ahead), bucket)
-    out = range_counts(out, df.where(F.col(n.phase) == n.departed), by, anchor, n.moved, horizons("apt_dep", minutes, True, ahead), bucket)
+    streams = [(arrivals(df, n), n.moved, horizons("apt_arr", minutes, True, ahead)), (df.where(F.col(n.phase) == n.departed), n.moved, horizons("apt_dep", minutes, True, ahead))]
+    out = range_counts_of(dep, streams, by, anchor, bucket)
     if 30 in minutes:
         out = out.withColumn("arr_dep_ratio_30m", ratio("apt_arr_prev_30m", F.col("apt_dep_prev_30m") + F.col("apt_arr_prev_30m")))
     return out
