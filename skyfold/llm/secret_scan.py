@@ -117,7 +117,8 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: t
     for a blob without unseen pairs.  ledger: (blob, rule), the pairs seen before and now.
     """
     held = blobs(versions, path, text)
-    scanned = stored(scan(held, unseen(held, rules, ledger), rules), "scanned").dropDuplicates(["blob"])
+    # a blob comes twice where rows alike in path and text hold it; one row of it is joined to however many paths
+    scanned = stored(scan(held, unseen(held, rules, ledger), rules).dropDuplicates(["blob"]), "scanned")
     now = scanned.select("blob", F.explode("rules").alias("rule"))
     if ledger is not None:
         now = now.union(rename_inputs(ledger, blob="blob", rule="rule")).distinct()
