@@ -129,6 +129,20 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return h, np.searchsorted(at, first, "right") - 1
 
 
+def forest_roots(parents: DataFrame, name: str = "roots") -> DataFrame:
+    """(node, root) of a forest given as (node, parent), one parent each, by pointer jumping: rounds by log of the depth.
+
+    The join's other side is a table with one row for each node, so a parent of very many nodes can be split.
+    """
+    p = stored(parents.select("node", "parent"), name)
+    while True:
+        up = p.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
+        p = stored(p.join(up, "parent", "left").select("node", F.coalesce("grand", "parent").alias("parent"), F.col("grand").isNotNull().alias("moved")), name)
+        if not p.where("moved").limit(1).count():
+            return p.select("node", F.col("parent").alias("root"))
+        p = p.drop("moved")
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root): the smallest node that each node of the undirected edges (a, b) reaches.
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _U, buffer_of, components, mix64, rename_inputs, slices, stored, word_hashes
+from .common import _U, buffer_of, components, forest_roots, mix64, rename_inputs, slices, stored, word_hashes
 
 SHINGLE = 5
 THRESHOLD = Fraction(4, 5)
@@ -41,7 +41,8 @@ THRESHOLD = Fraction(4, 5)
 HOT = 1 << 18
 #: Copies of a shingle in a slice, and in all such slices together, from which on it may come last.
 HOT_IN_SLICE, HOT_IN_ALL = 3, 48
-BUCKETS = 1024
+#: Pieces that a slice's entries are dealt into at least; twice the shuffle partitions, if those are more.
+BUCKETS = 256
 #: Tiles in which a node is first held against its neighbours, and children of one parent in a verifying task.
 FIRST_TILES, CHILDREN = 4, 256
 _SCALE = 1024  # of the logarithm of sizes in entries
@@ -102,7 +103,7 @@ def _entries(hot: np.ndarray, t: Fraction, buckets: int, k: int):
     shorter = 2 * t / (1 + t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             flat, cuts = shingle_rows(*buffer_of(batch["text"]), k)
             late = np.zeros(len(flat), bool)
             if len(hot):
@@ -282,6 +283,15 @@ def _across(tiles: DataFrame, roots: DataFrame, t: Fraction) -> DataFrame:
     return x.join(y, "tile").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _merged(nodes: DataFrame, roots: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, root) after the links `more` between components: those are few, and only their roots are walked."""
+    every = stored(nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "rooted")
+    end = lambda x: every.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+    edges = more.join(end("a"), "a").join(end("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    top = components(edges).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return every.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+
+
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: Fraction = THRESHOLD, k: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (equal sets share it; null for an empty set), key and kept.
 
@@ -290,7 +300,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     d = rename_inputs(docs, doc_id=doc_id, text=text)
     # a document and its exact copy under one id have one key
     d = d.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    entries = d.mapInArrow(_entries(hot_shingles(d, k), threshold, BUCKETS, k), "bucket int, kind tinyint, doc_id bigint, key bigint, node bigint, n bigint, data binary")
+    buckets = max(BUCKETS, 2 * int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    entries = d.mapInArrow(_entries(hot_shingles(d, k), threshold, buckets, k), "bucket int, kind tinyint, doc_id bigint, key bigint, node bigint, n bigint, data binary")
     met = entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_tiles(threshold), "kind tinyint, doc_id bigint, key bigint, node bigint, n bigint, tile bigint, size int, data binary")
     met = stored(met, "tiles")
     rows = met.where("kind = 0").select("doc_id", "key", "node", "n", "data")
@@ -302,8 +313,10 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     near = _allowed(_neighbours(tiles), nodes, threshold)
     # one parent each is enough here: what it leaves apart comes up again below
     links = _verified(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), nodes, d, threshold, k)
-    more = _verified(_allowed(_across(tiles, components(links), threshold), nodes, threshold), nodes, d, threshold, k)
-    roots = components(links.union(more))
+    # each node has one smaller neighbour at most: the links are a forest
+    roots = forest_roots(links.select(F.col("b").alias("node"), F.col("a").alias("parent")))
+    more = _verified(_allowed(_across(tiles, roots, threshold), nodes, threshold), nodes, d, threshold, k)
+    roots = _merged(nodes, roots, more)
 
     rows = rows.select("doc_id", "key", F.when(F.col("n") > 0, F.col("node")).alias("node"), "n")
     rooted = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -91,8 +91,9 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
     place = F.struct(*_DOC, "place")
     found, step = None, 1
     while True:
-        # a suffix alone in its class shares no run with another from here on
-        many = here.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
+        # a suffix alone in its class shares no run with another from here on; counts are tables before they are joined
+        # back, so that a hot class's side of the join can be split
+        many = stored(here.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b"), f"many{step}")
         here = stored(here.join(many, ["a", "b"]), f"classes{step}")
         sized = here.select(*_DOC, "place", "a", "b", F.explode(F.filter("runs", lambda x: (x >= step) & (x < 2 * step))).alias("length"))
         if step > 1:
@@ -102,6 +103,7 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
             sized = sized.withColumn("c", F.col("a")).withColumn("d", F.col("b"))
         sized = sized.select(*_DOC, "place", "length", *_joined("r", F.col("a"), F.col("b"), F.col("c"), F.col("d"), F.col("length")))
         firsts = sized.groupBy("ra", "rb").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("ra", "rb", "first")
+        firsts = stored(firsts, f"firsts{step}")
         later = sized.join(firsts, ["ra", "rb"]).where(place != F.col("first")).select(*_DOC, "place", "length")
         later = stored(later, f"later{step}")
         found = later if found is None else found.union(later)

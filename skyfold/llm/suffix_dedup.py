@@ -367,12 +367,13 @@ def repeats(d: DataFrame, least: int, gram: int, hot: int, chunk: int) -> DataFr
     """(id, key, begins, ends): the repeated byte ranges, not yet joined up, of the documents (keyed) that have some."""
     entries = d.mapInArrow(_entries(least, gram), "id bigint, key bigint, place bigint, anchor bigint, context bigint, before smallint, after smallint")
     entries = stored(entries, "anchors")
-    again = entries.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # counts are tables before they are joined back, so that a hot anchor's side of the join can be split
+    again = stored(entries.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "again")
     entries = stored(entries.join(again, "anchor"), "entries")
     place = F.struct("id", "key", "place", "before", "after")
-    pairs = entries.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(place).alias("one"))
-    kinds = pairs.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    pairs = stored(pairs.join(kinds, "anchor"), "contexts")
+    pairs = stored(entries.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(place).alias("one")), "pairs")
+    kinds = stored(pairs.groupBy("anchor").agg(F.count("*").alias("kinds")), "kinds")
+    pairs = pairs.join(kinds, "anchor")
     # the same context has the same place about its anchor
     whole = pairs.where("n > 1").select("anchor", "context", F.array((-F.col("one.before")).cast("int")).alias("begins"), F.array(F.col("one.after").cast("int")).alias("ends"))
     calm = _contexts(d, pairs.where(f"kinds BETWEEN 2 AND {hot}")).repartition("anchor").sortWithinPartitions("anchor")
