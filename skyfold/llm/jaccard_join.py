@@ -12,8 +12,8 @@ Equal sets are one node from the start, whatever their number.  For the others t
    are shingles that one of them lacks, so they bound the overlap from above.
 4. Exact intersection of sorted arrays for what is left, from the whole texts.
 
-Groups of near copies are not expanded into pairs.  First each node is held against a neighbour or two in its first
-tiles, and the links give components.  Then only the pairs of a tile's nodes in different components are made, filtered
+Groups of near copies are not expanded into pairs.  First each node is held against two of its neighbours by size in its
+first tiles, and the links give components.  Then only the pairs of a tile's nodes in different components are made, filtered
 and verified: no link between components is lost, and links within one add nothing.
 
 Inputs that need a rule: a null text, or one without words, has an empty set and links with nothing; a text of fewer
@@ -271,6 +271,13 @@ def _neighbours(tiles: DataFrame) -> DataFrame:
     return near.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
+def _least_and_greatest(pairs: DataFrame) -> DataFrame:
+    """Of each node's pairs those with its least and its greatest neighbour."""
+    both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    ends = both.groupBy("u").agg(F.array(F.min("v"), F.max("v")).alias("vs")).select("u", F.explode("vs").alias("v"))
+    return ends.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+
+
 def _across(tiles: DataFrame, roots: DataFrame, t: Fraction) -> DataFrame:
     """All pairs of a tile whose nodes are in different components and whose sizes allow a link."""
     inside = tiles.join(roots, "node", "left").select("tile", "node", "size", F.coalesce("root", "node").alias("root"))
@@ -284,10 +291,10 @@ def _across(tiles: DataFrame, roots: DataFrame, t: Fraction) -> DataFrame:
 
 
 def _merged(nodes: DataFrame, roots: DataFrame, more: DataFrame) -> DataFrame:
-    """(node, root) after the links `more` between components: those are few, and only their roots are walked."""
+    """(node, root) after the links `more`: of those between components, only the roots are walked."""
     every = stored(nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "rooted")
     end = lambda x: every.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
-    edges = more.join(end("a"), "a").join(end("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    edges = more.join(end("a"), "a").join(end("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b")
     top = components(edges).select(F.col("node").alias("root"), F.col("root").alias("top"))
     return every.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
 
@@ -310,11 +317,11 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     nodes = rows.where("n > 0").join(tiles.select("node").distinct(), "node", "left_semi")
     nodes = stored(nodes.groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("data").alias("data")), "nodes")
 
-    near = _allowed(_neighbours(tiles), nodes, threshold)
-    # one parent each is enough here: what it leaves apart comes up again below
-    links = _verified(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), nodes, d, threshold, k)
-    # each node has one smaller neighbour at most: the links are a forest
-    roots = forest_roots(links.select(F.col("b").alias("node"), F.col("a").alias("parent")))
+    # two of a node's neighbours are enough here: what they leave apart comes up again below
+    links = _verified(_least_and_greatest(_allowed(_neighbours(tiles), nodes, threshold)), nodes, d, threshold, k)
+    # with one smaller neighbour for each node the links are a forest; the other links merge its trees
+    parents = links.groupBy("b").agg(F.min("a").alias("a"))
+    roots = _merged(nodes, forest_roots(parents.select(F.col("b").alias("node"), F.col("a").alias("parent"))), links)
     more = _verified(_allowed(_across(tiles, roots, threshold), nodes, threshold), nodes, d, threshold, k)
     roots = _merged(nodes, roots, more)
 

@@ -100,7 +100,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     d = rename_inputs(docs, doc_id=doc_id, text=text, lang=lang, source=source)
     d = d.withColumn("domain", domain(F.col("source")))
     # ties in the order: rows alike in all of this share one fate
-    d = d.select("doc_id", "domain", "lang", "source", n_tokens(F.col("text")).alias("n_tokens"), F.xxhash64("text").alias("_t"))
+    d = d.select("doc_id", "domain", "lang", "source", n_tokens(F.col("text")).alias("n_tokens"), F.md5("text").alias("_t"))
     d = stored(d, "tokens")
     leaves = d.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
     total = leaves.agg(F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * F.lit(fraction))).scalar()
@@ -114,8 +114,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
         on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
     d = d.join(leaf, on).drop(*[f"_{k}" for k in LEVELS])
     # the epoch of which a part is taken is the one after the whole ones
-    d = d.withColumn("_order", F.xxhash64("doc_id", "_t", F.lit(seed), "whole"))
-    d = d.withColumn("_slice", F.floor((F.shiftrightunsigned("_order", 1) / F.lit(2.0**63)) * slices).cast("int"))
+    digest = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "_t", F.lit(str(seed)), F.col("whole").cast("string")))
+    d = d.withColumn("_order", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))  # 60 bits
+    d = d.withColumn("_slice", F.floor((F.col("_order") / F.lit(2.0**60)) * slices).cast("int"))
     d = d.withColumn("_slice", F.least("_slice", F.lit(slices - 1)))
     by_slice = d.groupBy(*LEVELS, "_slice").agg(F.sum("n_tokens").alias("_sum"))
     run = Window.partitionBy(*LEVELS).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -125,9 +126,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     for k in LEVELS:
         on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
     d = d.join(s, on).drop("_s", *[f"_{k}" for k in LEVELS])
-    # the slice's order is that of the upper bits; RANGE makes ties share their sum
-    key = F.shiftrightunsigned("_order", 1)
-    within = Window.partitionBy(*LEVELS, "_slice").orderBy(key)
+    # a slice has the order's upper bits; RANGE makes ties share their sum
+    within = Window.partitionBy(*LEVELS, "_slice").orderBy("_order")
     ahead = F.coalesce(F.sum("n_tokens").over(within.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
     part = (F.col("_before") + ahead < F.col("rest")).cast("int")
     return d.select("doc_id", *LEVELS, "n_tokens", F.col("budget").alias("leaf_budget"), (F.col("whole") + part).cast("long").alias("copies"), "_t")
@@ -138,7 +138,7 @@ def resample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **sett
     key = F.xxhash64(F.col("_id"), F.col("_t"))
     taken = mix(docs, doc_id, text, **settings).where("copies > 0").withColumn("_id", F.col("doc_id"))
     taken = taken.groupBy("_id", "_t", *LEVELS).agg(F.max("copies").alias("copies"))
-    d = docs.select(F.struct("*").alias("_row"), docs[f"`{doc_id}`"].alias("_id"), F.xxhash64(docs[f"`{text}`"]).alias("_t"), docs[f"`{settings.get('lang', 'lang')}`"].alias("_l"), docs[f"`{settings.get('source', 'source')}`"].alias("_s"))
+    d = docs.select(F.struct("*").alias("_row"), docs[f"`{doc_id}`"].alias("_id"), F.md5(docs[f"`{text}`"]).alias("_t"), docs[f"`{settings.get('lang', 'lang')}`"].alias("_l"), docs[f"`{settings.get('source', 'source')}`"].alias("_s"))
     t = taken.select(key.alias("_key"), F.col("lang").alias("_tl"), F.col("source").alias("_ts"), "copies")
     # rows alike in id, text, language and source share one fate
     d = d.withColumn("_key", key).join(t, "_key").where(F.col("_l").eqNullSafe(F.col("_tl")) & F.col("_s").eqNullSafe(F.col("_ts")))
