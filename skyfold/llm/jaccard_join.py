@@ -12,9 +12,9 @@ Equal sets are one node from the start, whatever their number.  For the others t
    are shingles that one of them lacks, so they bound the overlap from above.
 4. Exact intersection of sorted arrays for what is left, from the whole texts.
 
-Groups of near copies are not expanded into pairs.  First each node is held against two of its neighbours by size in its
-first tiles, and the links give components.  Then only the pairs of a tile's nodes in different components are made, filtered
-and verified: no link between components is lost, and links within one add nothing.
+Groups of near copies are not expanded into pairs.  First each node meets neighbours by size in its first tiles and is
+held against the likeliest few, and the links give components.  Then only the pairs of a tile's nodes in different
+components are made, filtered and verified: no link between components is lost, and links within one add nothing.
 
 Inputs that need a rule: a null text, or one without words, has an empty set and links with nothing; a text of fewer
 words than a shingle has one shingle, all its words; repeated ids and rows are documents of their own that link (equal
@@ -43,8 +43,9 @@ HOT = 1 << 18
 HOT_IN_SLICE, HOT_IN_ALL = 3, 48
 #: Pieces that a slice's entries are dealt into at least; twice the shuffle partitions, if those are more.
 BUCKETS = 256
-#: Tiles in which a node is first held against its neighbours, and children of one parent in a verifying task.
-FIRST_TILES, CHILDREN = 4, 256
+#: Tiles in which a node first meets neighbours, the neighbours that it is held against, and children of one parent in a
+#: verifying task.
+FIRST_TILES, FIRST_LINKS, CHILDREN = 8, 3, 256
 _SCALE = 1024  # of the logarithm of sizes in entries
 _TURNS = _U(0x9FB21C651E98DF25)
 
@@ -193,25 +194,28 @@ def _tiles(t: Fraction):
 
 
 def _bounded(t: Fraction):
-    """Pairs whose bitmaps and sizes allow a link.  The larger bitmap is folded onto the smaller one."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """Pairs whose bitmaps and sizes allow a link, with the most that their similarity can be.
+
+    The larger bitmap is folded onto the smaller one.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("most", pa.float64())])
 
-    def allowed(na: int, nb: int, x: bytes, y: bytes) -> bool:
+    def most(na: int, nb: int, x: bytes, y: bytes) -> float | None:
         if min(na, nb) * t.denominator < max(na, nb) * t.numerator:
-            return False
+            return None
         if len(x) > len(y):
             x, y = y, x
         p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
         if len(q) > len(p):
             q = np.bitwise_xor.reduce(q.reshape(-1, len(p)), axis=0)
-        differ = int(np.bitwise_count(p ^ q).sum())
-        overlap = (na + nb - differ) // 2
-        return overlap * t.denominator >= (na + nb - overlap) * t.numerator
+        overlap = (na + nb - int(np.bitwise_count(p ^ q).sum())) // 2
+        union = na + nb - overlap
+        return overlap / union if overlap * t.denominator >= union * t.numerator else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [allowed(*row) for row in zip(*[batch[c].to_pylist() for c in ("na", "nb", "xa", "xb")], strict=True)]
-            yield pa.record_batch([batch["a"], batch["b"]], schema=schema).filter(pa.array(keep, pa.bool_()))
+            found = pa.array([most(*row) for row in zip(*[batch[c].to_pylist() for c in ("na", "nb", "xa", "xb")], strict=True)], pa.float64())
+            yield pa.record_batch([batch["a"], batch["b"], found], schema=schema).filter(found.is_valid())
 
     return run
 
@@ -257,7 +261,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, t: Fraction,
 def _allowed(pairs: DataFrame, nodes: DataFrame, t: Fraction) -> DataFrame:
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("data").alias("xa"))
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("data").alias("xb"))
-    return stored(pairs.join(left, "a").join(right, "b").mapInArrow(_bounded(t), "a bigint, b bigint"), "candidates")
+    return stored(pairs.join(left, "a").join(right, "b").mapInArrow(_bounded(t), "a bigint, b bigint, most double"), "candidates")
 
 
 def _neighbours(tiles: DataFrame) -> DataFrame:
@@ -271,11 +275,12 @@ def _neighbours(tiles: DataFrame) -> DataFrame:
     return near.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def _least_and_greatest(pairs: DataFrame) -> DataFrame:
-    """Of each node's pairs those with its least and its greatest neighbour."""
-    both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    ends = both.groupBy("u").agg(F.array(F.min("v"), F.max("v")).alias("vs")).select("u", F.explode("vs").alias("v"))
-    return ends.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    """Of each node's pairs those with the greatest bounds.  A node has at most two pairs for each of its first tiles."""
+    both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "most").union(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"), "most"))
+    turn = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("most"), "v"))
+    best = both.withColumn("i", turn).where(F.col("i") <= FIRST_LINKS)
+    return best.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
 
 
 def _across(tiles: DataFrame, roots: DataFrame, t: Fraction) -> DataFrame:
@@ -317,12 +322,12 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     nodes = rows.where("n > 0").join(tiles.select("node").distinct(), "node", "left_semi")
     nodes = stored(nodes.groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("data").alias("data")), "nodes")
 
-    # two of a node's neighbours are enough here: what they leave apart comes up again below
-    links = _verified(_least_and_greatest(_allowed(_neighbours(tiles), nodes, threshold)), nodes, d, threshold, k)
+    # a few of a node's neighbours are enough here: what they leave apart comes up again below
+    links = _verified(_likeliest(_allowed(_neighbours(tiles), nodes, threshold)), nodes, d, threshold, k)
     # with one smaller neighbour for each node the links are a forest; the other links merge its trees
     parents = links.groupBy("b").agg(F.min("a").alias("a"))
     roots = _merged(nodes, forest_roots(parents.select(F.col("b").alias("node"), F.col("a").alias("parent"))), links)
-    more = _verified(_allowed(_across(tiles, roots, threshold), nodes, threshold), nodes, d, threshold, k)
+    more = _verified(_allowed(_across(tiles, roots, threshold), nodes, threshold).select("a", "b"), nodes, d, threshold, k)
     roots = _merged(nodes, roots, more)
 
     rows = rows.select("doc_id", "key", F.when(F.col("n") > 0, F.col("node")).alias("node"), "n")
