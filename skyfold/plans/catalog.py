@@ -122,6 +122,30 @@ def w1_w3_gaps(spark, d):
     return gaps(dep, ["apt", "rwy"], "ts", ["id"]).select("id", "prev_gap_sec", "next_gap_sec", r6("mean_gap_sec").alias("mean_gap_sec"))
 
 
+@query(
+    f"""WITH {MV}, {_GAP_SQL}, r AS (SELECT id, prev_gap_sec, next_gap_sec, round(CASE WHEN count(prev_gap_sec) OVER r >= 2 THEN avg(prev_gap_sec) OVER r END, 6) AS mean_gap_sec
+      FROM g WINDOW r AS (PARTITION BY apt, rwy ORDER BY us, id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+    c AS (SELECT id, {_counts_sql('rwy_dep', RWY, 'us', DEP)} FROM mv k WHERE phase = 'DEP')
+    SELECT c.*, prev_gap_sec AS prev_dep_gap_sec, next_gap_sec AS next_dep_gap_sec, mean_gap_sec AS rwy_service_interval_sec FROM c JOIN r ON c.id = r.id"""
+)
+def d2_runway_features(spark, d):
+    """Gaps, service interval and counts at the runway, one row for each departure."""
+    out = ft.runway_features(movements(spark, d), "ts", True, WIDE, NAMES)
+    names = [f"rwy_dep_{x}_{m}m" for m in WIDE for x in ("prev", "next")]
+    return out.select("id", *names, "prev_dep_gap_sec", "next_dep_gap_sec", r6("rwy_service_interval_sec").alias("rwy_service_interval_sec"))
+
+
+@query(
+    f"""WITH {MV}, {OBS}, j AS (SELECT mv.id, temperature_c, dewpoint_c, snow, deicing_proxy, CAST(trunc((mv.us - obs.us) / 1000000) AS BIGINT) AS age FROM (SELECT * FROM mv WHERE phase = 'DEP') mv ASOF LEFT JOIN obs ON mv.apt = obs.station AND mv.us >= obs.us)
+    SELECT id, round(temperature_c, 6) AS temperature_c, round(dewpoint_c, 6) AS dewpoint_c, snow, deicing_proxy, round(CAST(CAST(age / 60 AS FLOAT) AS DOUBLE), 3) AS observation_age_min, round(temperature_c - dewpoint_c, 6) AS dewpoint_spread_c FROM j"""
+)
+def d12_weather(spark, d):
+    """The last observation's fields, its age and the spread; a matched null stays null."""
+    dep = movements(spark, d).where("phase = 'DEP'")
+    out = ft.weather(dep, s.observations(spark, d), "ts", ["temperature_c", "dewpoint_c", "snow", "deicing_proxy", "absent"], NAMES)
+    return out.select("id", r6("temperature_c").alias("temperature_c"), r6("dewpoint_c").alias("dewpoint_c"), "snow", "deicing_proxy", F.round(F.col("observation_age_min").cast("double"), 3).alias("observation_age_min"), r6("dewpoint_spread_c").alias("dewpoint_spread_c"))
+
+
 @query(f"WITH {MV}, c AS (SELECT apt, us, count(*) AS n FROM mv GROUP BY 1, 2) SELECT apt, us, n, CAST(sum(n) OVER (PARTITION BY apt ORDER BY us) AS BIGINT) AS running FROM c")
 def w4_running_count(spark, d):
     """Movements at each instant, and up to it."""
@@ -554,6 +578,13 @@ def d29_regimes(spark, d):
     return _rounded(out, "r_no_reference", "r_additional", "mean_deicing", "winter_additional", "summer_additional")
 
 
+@query(f"WITH {_DEICE} SELECT round(corr(deicing, nr), 6) AS r_no_reference, round(corr(deicing, additional_min), 6) AS r_additional FROM j")
+def g12_correlation(spark, d):
+    """Correlations over all months and airports."""
+    _, j = _regimes(spark, d)
+    return _rounded(j.agg(agg.pearson("deicing", "no_reference_share").alias("r_no_reference"), agg.pearson("deicing", "additional_min").alias("r_additional")), "r_no_reference", "r_additional")
+
+
 @query(f"WITH {OBS} SELECT station AS apt, year(ts) AS year, month(ts) AS month_num, round(avg(CASE WHEN deicing_proxy THEN 1.0 ELSE 0 END), 6) AS deicing, round(avg(CASE WHEN snow THEN 1.0 ELSE 0 END), 6) AS snow, round(avg(CASE WHEN freezing_precip THEN 1.0 ELSE 0 END), 6) AS freezing, round(min(temperature_c), 6) AS min_temperature_c FROM obs GROUP BY 1, 2, 3")
 def d29_monthly_weather(spark, d):
     """Weather by airport and month."""
