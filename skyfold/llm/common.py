@@ -98,7 +98,7 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], name: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], name: str, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the column holds about limit bytes in each: temporary arrays stay small."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(name))

@@ -46,6 +46,8 @@ BUCKETS = 256
 #: Tiles in which a node first meets neighbours, the neighbours that it is held against, and children of one parent in a
 #: verifying task.
 FIRST_TILES, FIRST_LINKS, CHILDREN = 8, 3, 256
+#: Nodes of a tile that a task gathers at most twice of.
+PART = 2000
 _SCALE = 1024  # of the logarithm of sizes in entries
 _TURNS = _U(0x9FB21C651E98DF25)
 
@@ -104,7 +106,7 @@ def _entries(hot: np.ndarray, t: Fraction, buckets: int, k: int):
     shorter = 2 * t / (1 + t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             flat, cuts = shingle_rows(*buffer_of(batch["text"]), k)
             late = np.zeros(len(flat), bool)
             if len(hot):
@@ -283,16 +285,85 @@ def _likeliest(pairs: DataFrame) -> DataFrame:
     return best.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
 
 
-def _across(tiles: DataFrame, roots: DataFrame, t: Fraction) -> DataFrame:
-    """All pairs of a tile whose nodes are in different components and whose sizes allow a link."""
+def _blocks(t: Fraction):
+    """Pairs of a block of a tile that may link: different roots, sizes in reach, and a bitmap bound that allows it.
+
+    Rows come sorted by block.  A block is one part of a tile with itself (lo = hi), or two parts with each other.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    names = ["tile", "lo", "hi", "part", "node", "size", "root", "n", "data"]
+
+    def meet(part: np.ndarray, cross: bool, cols: dict[str, np.ndarray], maps: list[bytes]) -> Iterator[np.ndarray]:
+        width = np.array([len(x) for x in maps])
+        for w in np.unique(width).tolist():
+            # sizes in reach have bitmaps of one length, or of one and its double, which is folded
+            mine, wider = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+            small = np.frombuffer(b"".join(maps[i] for i in mine), np.uint64).reshape(len(mine), -1)
+            both, rows = [small], [mine]
+            if len(wider):
+                raw = np.frombuffer(b"".join(maps[i] for i in wider), np.uint64).reshape(len(wider), 2, -1)
+                both.append(raw[:, 0] ^ raw[:, 1])
+                rows.append(wider)
+            other, place = np.concatenate(both), np.concatenate(rows)
+            for k in range(0, len(mine), 256):
+                x = mine[k : k + 256]
+                differ = np.zeros((len(x), len(place)), np.int64)
+                for word in range(small.shape[1]):
+                    differ += np.bitwise_count(small[k : k + 256, None, word] ^ other[None, :, word])
+                na, nb = cols["n"][x][:, None], cols["n"][place][None]
+                overlap = (na + nb - differ) // 2
+                fit = overlap * t.denominator >= (na + nb - overlap) * t.numerator
+                fit &= np.minimum(na, nb) * t.denominator >= np.maximum(na, nb) * t.numerator
+                fit &= cols["root"][x][:, None] != cols["root"][place][None]
+                ea, eb = cols["even"][x][:, None], cols["even"][place][None]
+                fit &= np.where(na < nb, ea, np.where(nb < na, eb, ea | eb))
+                if cross:
+                    fit &= part[x][:, None] != part[place][None]
+                i, j = np.nonzero(fit)
+                yield np.stack([cols["node"][x[i]], cols["node"][place[j]]])
+
+    def done(held: pa.Table) -> pa.RecordBatch:
+        cols = {c: held[c].to_numpy() for c in ("node", "root", "n", "size")}
+        cols["even"] = cols["size"] % 2 == 0
+        cross = held["lo"][0].as_py() != held["hi"][0].as_py()
+        found = np.concatenate([np.zeros((2, 0), np.int64), *meet(held["part"].to_numpy(), cross, cols, held["data"].to_pylist())], axis=1)
+        found = np.unique(np.sort(found, axis=0), axis=1)
+        return pa.record_batch([pa.array(found[0]), pa.array(found[1])], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+        for batch in batches:
+            keys = np.stack([batch[c].to_numpy() for c in names[:3]], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                if y == x:
+                    continue
+                key = tuple(keys[x])
+                if key != now and held:
+                    yield done(pa.Table.from_batches(held))
+                    held = []
+                now = key
+                held.append(batch.slice(x, y - x))
+        if held:
+            yield done(pa.Table.from_batches(held))
+
+    return run
+
+
+def _across(tiles: DataFrame, roots: DataFrame, nodes: DataFrame, t: Fraction) -> DataFrame:
+    """All pairs of a tile whose nodes are in different components and may link.
+
+    A tile is dealt into parts of some `PART` nodes, and each two parts meet in a task: no task gathers a large tile.
+    """
     inside = tiles.join(roots, "node", "left").select("tile", "node", "size", F.coalesce("root", "node").alias("root"))
-    mixed = inside.groupBy("tile").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("tile")
-    inside = stored(inside.join(mixed, "tile"), "mixed")
-    x = inside.select("tile", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("root").alias("ra"))
-    y = inside.select("tile", F.col("node").alias("b"), F.col("size").alias("sb"), F.col("root").alias("rb"))
-    # a is the smaller set, by an entry of a smaller set; equal sizes come up both ways
-    fits = f"ra <> rb AND sa % 2 = 0 AND shiftright(sb, 1) - shiftright(sa, 1) BETWEEN 0 AND {int(-log(t) * _SCALE) + 2}"
-    return x.join(y, "tile").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    mixed = inside.groupBy("tile").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("x <> y")
+    inside = inside.join(stored(mixed.select("tile", "parts"), "mixed"), "tile").withColumn("part", F.pmod(F.xxhash64("node", "tile"), "parts").cast("int"))
+    inside = inside.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    inside = inside.select("tile", F.least("part", "with").alias("lo"), F.greatest("part", "with").alias("hi"), "part", "node", "size", "root")
+    full = inside.join(nodes.select("node", "n", "data"), "node").select("tile", "lo", "hi", "part", "node", "size", "root", "n", "data")
+    full = full.repartition("tile", "lo", "hi").sortWithinPartitions("tile", "lo", "hi")
+    return stored(full.mapInArrow(_blocks(t), "a bigint, b bigint").distinct(), "across")
 
 
 def _merged(nodes: DataFrame, roots: DataFrame, more: DataFrame) -> DataFrame:
@@ -327,7 +398,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     # with one smaller neighbour for each node the links are a forest; the other links merge its trees
     parents = links.groupBy("b").agg(F.min("a").alias("a"))
     roots = _merged(nodes, forest_roots(parents.select(F.col("b").alias("node"), F.col("a").alias("parent"))), links)
-    more = _verified(_allowed(_across(tiles, roots, threshold), nodes, threshold).select("a", "b"), nodes, d, threshold, k)
+    more = _verified(_across(tiles, roots, nodes, threshold), nodes, d, threshold, k)
     roots = _merged(nodes, roots, more)
 
     rows = rows.select("doc_id", "key", F.when(F.col("n") > 0, F.col("node")).alias("node"), "n")

@@ -314,7 +314,7 @@ def _windows(least: int):
     schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("start", pa.int32()), ("window", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "bytes", 1 << 19):
+        for batch in slices(batches, "bytes", 1 << 18):
             parts = []
             for anchor, context, before, raw in zip(*[batch[c].to_pylist() for c in schema.names[:2] + ["before", "bytes"]], strict=True):
                 n = len(raw) - least + 1
