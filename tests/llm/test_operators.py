@@ -134,10 +134,16 @@ def test_jaccard(spark, seed):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(h.jaccard_components(list(zip(ids, texts))))
 
 
-def test_jaccard_large_group(spark):
-    """Near copies that differ from each other are one component, and strangers with their passage are not in it."""
+@pytest.mark.parametrize("part,links", [(2000, 3), (6, 1)])
+def test_jaccard_large_group(spark, monkeypatch, part, links):
+    """Near copies that differ from each other are one component, and strangers with their passage are not in it.
+
+    Also with tiles dealt into many parts, and with little linked before pairs between components are looked at.
+    """
     from skyfold.llm import jaccard_join as m
 
+    monkeypatch.setattr(m, "PART", part)
+    monkeypatch.setattr(m, "FIRST_LINKS", links)
     words = h.vocabulary(5, 3000)
     base = words[:300]
     texts = []
