@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD_GAP, rename_inputs
 
-BUCKETS = 1 << 16
+#: So many that junk's own n-grams seldom share a bucket with the target's.
+BUCKETS = 1 << 20
 TARGET_ROWS = 20_000
 #: Nats by n-gram.  The corpus's own text scores near 0, what the target has none of far below.
 THRESHOLD = -0.5
@@ -45,6 +46,11 @@ def _bucket(x: Column, buckets: int) -> Column:
     return F.pmod(x, F.lit(buckets)).cast("int")
 
 
+def _grams(h: Column, buckets: int) -> Column:
+    """The buckets of the words, then of the pairs, with a null after the last pair."""
+    return F.concat(F.transform(h, lambda x: _bucket(x, buckets)), _pairs(h, lambda a, b: F.when(b.isNotNull(), _bucket(F.xxhash64(a, b), buckets))))
+
+
 def _tail(name: str) -> Column:
     return F.slice(name, 2, F.greatest(F.size(name), F.lit(1)))
 
@@ -102,9 +108,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     d = rename_inputs(docs, doc_id=doc_id, text=text)
     d = d.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"), "left")
     d = d.select(F.col("label_id").isNotNull().cast("long").alias("trusted"), _hashes(F.coalesce("text", F.lit(""))).alias("_h"))
-    one = F.transform("_h", lambda x: _bucket(x, buckets))
-    two = _pairs(F.col("_h"), lambda a, b: F.when(b.isNotNull(), _bucket(F.xxhash64(a, b), buckets)))
-    grams = d.select("trusted", F.explode(F.concat(one, two)).alias("bucket")).where("bucket IS NOT NULL")
+    grams = d.select("trusted", F.explode(_grams(F.col("_h"), buckets)).alias("bucket")).where("bucket IS NOT NULL")
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").alias("target"))
     every = d.sparkSession.range(0, buckets, 1, 1).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0, ["raw", "target"])
     whole = every.agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("all"), F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"))
@@ -115,8 +119,8 @@ def log_ratios(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
 def _judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", good: str = "quality", buckets: int = BUCKETS, target_rows: int = TARGET_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     llr = log_ratios(docs, labels, doc_id, text, label_id, good, buckets, target_rows).select("llr").scalar()
     d = statistics(docs, doc_id, text).withColumn("_llr", llr)
-    value = _pairs(F.col("_h"), lambda a, b: F.get(F.col("_llr"), _bucket(a, buckets)) + F.when(b.isNull(), F.lit(0.0)).otherwise(F.get(F.col("_llr"), _bucket(F.xxhash64(a, b), buckets))))
-    total = F.aggregate(value, F.lit(0.0), lambda s, x: s + x)
+    # the table of ratios is read in one place, so that the optimizer puts it there and no row carries a copy of it
+    total = F.aggregate(_grams(F.col("_h"), buckets), F.lit(0.0), lambda s, x: s + F.coalesce(F.get(F.col("_llr"), x), F.lit(0.0)))
     d = d.withColumn("score", F.when(F.col("n_words") > 0, total / (2 * F.col("n_words") - 1)).otherwise(F.lit(0.0)))
     d = d.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
     return d.drop("_h", "_llr")

@@ -229,6 +229,21 @@ def test_quality_without_labels(spark):
     assert got.score == 0.0
 
 
+def test_quality_of_many_ngrams(spark):
+    """Far more distinct n-grams than 65,536: junk of its own words is still told from what the target has."""
+    import random
+
+    from skyfold.llm import quality as m
+
+    rnd, words = random.Random(4), h.vocabulary(4, 3000)
+    good = [" ".join(rnd.choice(words) for _ in range(200)) for _ in range(800)]
+    junk = [" ".join(f"{rnd.choice(words)}{rnd.randrange(3)}$$$" for _ in range(200)) for _ in range(30)]
+    labels = spark.createDataFrame([(i, int(i < 800), 0) for i in range(830)], "doc_id long, quality int, toxic int")
+    got = m.judge(documents(spark, good + junk), labels).collect()
+    assert not any(r.base_failed for r in got)
+    assert sorted(r.doc_id for r in got if r.kept) == list(range(800))
+
+
 # 6
 
 
