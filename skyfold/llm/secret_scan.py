@@ -114,17 +114,33 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: t
     """(findings, ledger) of versions (path, text; a path may have many).
 
     findings: (path, blob, spans), a row for each version; spans are those of the pairs that this call scanned, null
-    for a blob without unseen pairs.  ledger: (blob, rule), the pairs seen before and now.
+    for a blob without unseen pairs (all_findings has those of every pair).  ledger: (blob, rule, spans), the pairs seen
+    before and now with what was found.  The rules of a call are of different kinds.
     """
+    if len({r.kind for r in rules}) < len(rules):
+        raise ValueError("two rules of one kind")
     held = blobs(versions, path, text)
     # a blob comes twice where rows alike in path and text hold it; one row of it is joined to however many paths
     scanned = stored(scan(held, unseen(held, rules, ledger), rules).dropDuplicates(["blob"]), "scanned")
-    now = scanned.select("blob", F.explode("rules").alias("rule"))
+    now = scanned.select("blob", F.explode("rules").alias("rule"), F.col("spans").alias("_all"))
+    now = now.select("blob", "rule", F.filter("_all", lambda s: s["kind"] == F.regexp_replace("rule", "@[0-9]+$", "")).alias("spans"))
     if ledger is not None:
-        now = now.union(rename_inputs(ledger, blob="blob", rule="rule")).distinct()
+        now = now.union(rename_inputs(ledger, blob="blob", rule="rule", spans="spans")).dropDuplicates(["blob", "rule"])
     return held.drop("text").join(scanned.drop("rules"), "blob", "left").select("path", "blob", "spans"), now
 
 
+def all_findings(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path: str = "path", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(findings, ledger) like scan_versions, but spans are all that the rules find, in this call or an earlier one."""
+    _, after = scan_versions(versions, ledger, rules, path, text)
+    held = blobs(versions, path, text).select("path", "blob")
+    names = F.array(*[F.lit(r.name) for r in rules])
+    known = after.where(F.array_contains(names, F.col("rule"))).join(held.select("blob").distinct(), "blob", "left_semi")
+    placed = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.array_position(names, F.col("rule")).alias("i"), s["end"].alias("end"), s["kind"].alias("kind")))
+    one = known.select("blob", placed.alias("s")).groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("s"))).alias("s"))
+    one = one.select("blob", F.transform("s", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
+    return held.join(one, "blob", "left").select("path", "blob", "spans"), after
+
+
 def digest(findings: DataFrame) -> DataFrame:
     """path, n_assign, n_access, n_hex, base_sha256 and spans of findings by the base rules."""
     spans = F.coalesce("spans", F.array())

@@ -74,6 +74,19 @@ def test_secret_ledger(spark):
     assert after.count() == 6 + 1 + 3
 
 
+def test_secret_old_blob_on_new_path(spark):
+    """What an earlier call found is joined to paths and rule versions of later ones."""
+    from skyfold.llm import secret_scan as m
+
+    text = "token=abcdef " + "0123456789abcdef01234567"
+    one, two = (spark.createDataFrame([(p, text)], "path string, text string") for p in ("p", "r"))
+    _, ledger = m.scan_versions(one)
+    for rules in (m.RULES, (*m.RULES[:2], m.Rule("hex", 2, "[0-9a-f]{24,}", 24))):
+        found, _ = m.all_findings(two, ledger, rules)
+        got = m.digest(found).collect()
+        assert [(r.path, r.n_assign, r.n_access, r.n_hex, r.spans) for r in got] == [("r", 1, 0, 1, "assign:0:12,hex:13:37")]
+
+
 # 2
 
 
