@@ -662,6 +662,14 @@ def s1_union_relaxed(spark, d):
     return union_relaxed([a, b])
 
 
+@query("SELECT n_nationkey AS k, CAST(n_nationkey AS DOUBLE) AS x, n_name AS label FROM nation UNION ALL SELECT c_custkey, c_acctbal, NULL FROM customer")
+def s1_union_whole(spark, d):
+    """The same over every customer."""
+    a = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_nationkey").cast("smallint").alias("x"), F.col("n_name").alias("label"))
+    b = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("x"), F.lit(None).cast("string").alias("label"))
+    return union_relaxed([a, b])
+
+
 @query("SELECT CAST(greatest(m, DATE '2025-01-15') AS DATE) AS begin, CAST(least(m + INTERVAL 1 MONTH, DATE '2025-04-10') AS DATE) AS stop FROM (SELECT unnest(generate_series(DATE '2025-01-01', DATE '2025-04-09', INTERVAL 1 MONTH)) AS m)")
 def t5_month_edges(spark, d):
     """T5: months of a span, held to it."""

@@ -49,5 +49,10 @@ def test_without_sql(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0
 
 
+def test_union_whole(spark):
+    n = sum(spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("nation", "customer"))
+    assert entry.queries()["s1_union_whole"](spark, SF).count() == n
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
