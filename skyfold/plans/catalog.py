@@ -290,6 +290,17 @@ def d13_airport_state(spark, d):
     return ft.airport_state(m.where("phase = 'DEP'"), daily, "ts", NAMES).select("id", "daily_departures", "daily_arrivals")
 
 
+@query(
+    f"""WITH {MV}, d AS (SELECT apt, us // 86400000000 AS k, count(*) FILTER (phase = 'DEP') AS daily_departures, count(*) FILTER (phase = 'ARR') AS daily_arrivals FROM mv GROUP BY 1, 2)
+    SELECT k.id, CAST(daily_departures AS DOUBLE) AS daily_departures, CAST(daily_arrivals AS DOUBLE) AS daily_arrivals FROM mv k LEFT JOIN d ON k.apt = d.apt AND k.us // 86400000000 = d.k WHERE k.phase = 'DEP'"""
+)
+def d13_airport_whole(spark, d):
+    """Totals of the departure's day over every movement."""
+    m = movements(spark, d)
+    daily = m.groupBy("apt", day("ts").alias("day")).agg(F.count_if(F.col("phase") == "DEP").cast("double").alias("daily_departures"), F.count_if(F.col("phase") == "ARR").cast("double").alias("daily_arrivals"))
+    return ft.airport_state(m.where("phase = 'DEP'"), daily, "ts", NAMES).select("id", "daily_departures", "daily_arrivals")
+
+
 @query("SELECT c_custkey, s_count, CAST(s_longest AS DOUBLE) AS s_longest FROM customer LEFT JOIN (SELECT s_nationkey, count(*) AS s_count, max(s_acctbal) AS s_longest FROM supplier WHERE s_acctbal > 0 GROUP BY 1) ON c_nationkey = s_nationkey")
 def j2_dimension_join(spark, d):
     """A left join of a summarised dimension."""
@@ -515,23 +526,40 @@ _DAYS = """sl AS (SELECT 'A' || (o_custkey % 4) AS apt, CAST(o_orderdate AS DATE
   ar AS (SELECT 'A' || (o_custkey % 4) AS apt, CAST(o_orderdate AS DATE) AS day, count(*) FILTER (o_orderstatus = 'O') AS arr, sum(o_orderkey % 10) AS dly FROM orders WHERE o_orderkey % 4 <> 0 GROUP BY 1, 2)"""
 
 
-@query(
-    f"""WITH {_DAYS} SELECT coalesce(sl.apt, ar.apt) AS apt, coalesce(sl.day, ar.day) AS day, round(CAST(CAST(reg / nullif(dep, 0) AS FLOAT) AS DOUBLE), 5) AS atfm_regulated_share, round(CAST(CAST(late / nullif(reg, 0) AS FLOAT) AS DOUBLE), 5) AS atfm_slot_late_share,
-    CAST(dep AS DOUBLE) AS daily_departures, CAST(arr AS DOUBLE) AS daily_arrivals, round(CAST(CAST(dly / nullif(arr, 0) AS FLOAT) AS DOUBLE), 5) AS arr_atfm_delay_min FROM sl FULL JOIN ar ON sl.apt = ar.apt AND sl.day = ar.day"""
-)
-def d27_daily_state(spark, d):
-    """Shares by day from two sheets, with a full join."""
+def _daily(spark, d, departed: str, arrived: str) -> DataFrame:
+    """Shares by day of two sheets, of the orders that each condition names."""
     o = table(spark, d, "orders").withColumn("FLT_DATE", F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd")).withColumn("APT_ICAO", F.concat(F.lit("A"), (F.col("o_custkey") % 4).cast("string")))
     n = lambda x: F.count_if(x).cast("string")
     f = F.col("o_orderstatus") == "F"
-    slots = o.where("o_orderkey % 3 <> 0").groupBy("APT_ICAO", "FLT_DATE").agg(F.count("*").cast("string").alias("FLT_DEP_1"), n(f).alias("FLT_DEP_REG_1"), n(f & (F.col("o_totalprice") > 200000)).alias("FLT_DEP_OUT_LATE_1"), F.lit("0").alias("FLT_DEP_OUT_EARLY_1"))
-    delays = o.where("o_orderkey % 4 <> 0").groupBy("APT_ICAO", "FLT_DATE").agg(n(F.col("o_orderstatus") == "O").alias("FLT_ARR_1"), F.sum(F.col("o_orderkey") % 10).cast("string").alias("DLY_APT_ARR_1"))
+    slots = o.where(departed).groupBy("APT_ICAO", "FLT_DATE").agg(F.count("*").cast("string").alias("FLT_DEP_1"), n(f).alias("FLT_DEP_REG_1"), n(f & (F.col("o_totalprice") > 200000)).alias("FLT_DEP_OUT_LATE_1"), F.lit("0").alias("FLT_DEP_OUT_EARLY_1"))
+    delays = o.where(arrived).groupBy("APT_ICAO", "FLT_DATE").agg(n(F.col("o_orderstatus") == "O").alias("FLT_ARR_1"), F.sum(F.col("o_orderkey") % 10).cast("string").alias("DLY_APT_ARR_1"))
     delays = delays.withColumns({f"DLY_APT_ARR_{c}_1": F.lit("0") for c in ingest.CAUSES})
     out = ingest.daily_state(slots, delays, ("A0", "A1", "A2", "A3"))
     share = [F.round(F.col(c).cast("double"), 5).alias(c) for c in ("atfm_regulated_share", "atfm_slot_late_share", "arr_atfm_delay_min")]
     return out.select("apt", "day", *share, F.col("daily_departures").cast("double").alias("daily_departures"), F.col("daily_arrivals").cast("double").alias("daily_arrivals"))
 
 
+@query(
+    f"""WITH {_DAYS} SELECT coalesce(sl.apt, ar.apt) AS apt, coalesce(sl.day, ar.day) AS day, round(CAST(CAST(reg / nullif(dep, 0) AS FLOAT) AS DOUBLE), 5) AS atfm_regulated_share, round(CAST(CAST(late / nullif(reg, 0) AS FLOAT) AS DOUBLE), 5) AS atfm_slot_late_share,
+    CAST(dep AS DOUBLE) AS daily_departures, CAST(arr AS DOUBLE) AS daily_arrivals, round(CAST(CAST(dly / nullif(arr, 0) AS FLOAT) AS DOUBLE), 5) AS arr_atfm_delay_min FROM sl FULL JOIN ar ON sl.apt = ar.apt AND sl.day = ar.day"""
+)
+def d27_daily_state(spark, d):
+    """Shares by day from two sheets, with a full join."""
+    return _daily(spark, d, "o_orderkey % 3 <> 0", "o_orderkey % 4 <> 0")
+
+
+_WHOLE_DAYS = _DAYS.replace(" WHERE o_orderkey % 3 <> 0", "").replace(" WHERE o_orderkey % 4 <> 0", "")
+
+
+@query(
+    f"""WITH {_WHOLE_DAYS} SELECT coalesce(sl.apt, ar.apt) AS apt, coalesce(sl.day, ar.day) AS day, round(CAST(CAST(reg / nullif(dep, 0) AS FLOAT) AS DOUBLE), 5) AS atfm_regulated_share, round(CAST(CAST(late / nullif(reg, 0) AS FLOAT) AS DOUBLE), 5) AS atfm_slot_late_share,
+    CAST(dep AS DOUBLE) AS daily_departures, CAST(arr AS DOUBLE) AS daily_arrivals, round(CAST(CAST(dly / nullif(arr, 0) AS FLOAT) AS DOUBLE), 5) AS arr_atfm_delay_min FROM sl FULL JOIN ar ON sl.apt = ar.apt AND sl.day = ar.day"""
+)
+def d27_daily_whole(spark, d):
+    """The same over every order."""
+    return _daily(spark, d, "true", "true")
+
+
 @query("SELECT 'N' || s_nationkey AS icao, CAST(count(*) AS BIGINT) AS runway_count, round(CAST(max(s_suppkey * 10) AS DOUBLE), 3) AS longest_runway_ft, round(CAST(CAST(avg(s_suppkey * 10) AS FLOAT) AS DOUBLE), 3) AS mean_runway_ft FROM supplier WHERE s_nationkey < 20 AND s_suppkey % 5 <> 0 GROUP BY 1")
 def d28_runway_summary(spark, d):
     """Open runways by airport."""

@@ -54,5 +54,17 @@ def test_union_whole(spark):
     assert entry.queries()["s1_union_whole"](spark, SF).count() == n
 
 
+def test_days_whole(spark):
+    """Every movement and every order is in its day's totals."""
+    from pyspark.sql import functions as F
+
+    from skyfold.plans.surrogate import movements
+
+    orders = spark.read.parquet(f"{SF}/orders.parquet").count()
+    assert entry.queries()["d27_daily_whole"](spark, SF).agg(F.sum("daily_departures")).first()[0] == orders
+    days = movements(spark, SF).where("phase = 'DEP' AND apt IS NOT NULL").groupBy("apt", F.to_date("ts")).count()
+    assert entry.queries()["d13_airport_whole"](spark, SF).agg(F.sum("daily_departures")).first()[0] == days.agg(F.sum(F.col("count") * F.col("count"))).first()[0]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
