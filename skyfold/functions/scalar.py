@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -75,8 +75,10 @@ def fahrenheit_to_celsius(c: str | Column) -> Column:
 KM_IN_MILE, MS_IN_KNOT, MM_IN_INCH, M_IN_FOOT = 1.609344, 0.514444, 25.4, 0.3048
 
 
-def filled_with_mean(c: str | Column) -> Column:
-    """The column with nulls replaced by its mean over the whole frame that it is used on."""
-    from pyspark.sql import Window
+def filled_with_mean(df: DataFrame, column: str, into: str | None = None) -> DataFrame:
+    """df with the column's nulls replaced by its mean over the frame; all null stays null.
 
-    return F.coalesce(col(c), F.avg(col(c)).over(Window.partitionBy(F.lit(0))))
+    The mean is a scalar subquery, summed within tasks first: one row reaches the others, the frame isn't gathered.
+    """
+    mean = df.agg(F.avg(F.col(f"`{column}`"))).scalar()
+    return df.withColumn(into or column, F.coalesce(F.col(f"`{column}`"), mean))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import col
+from .ranks import running_total
 
 
 def rmse(pred, truth) -> Column:
@@ -45,15 +46,23 @@ def percentile_linear(c, q: float) -> Column:
 def nearest_percentiles(df: DataFrame, by: Sequence[str], value: str, points: dict[str, float]) -> DataFrame:
     """by and the values at rank round(q (n - 1)), halves rounded up: a member of the data, not an interpolation.
 
-    Distinct values are counted first, and running counts find the ranks, so a group's rows need not meet in a task.
+    Distinct values are counted first.  One running sum over all of them, by group and value, finds the ranks: neither a
+    large group nor the whole table meets in a task.  Without groups and values there is one row of nulls.
     """
-    groups = [F.col(f"`{c}`") for c in by]
+    own = [f"_g{i}" for i in range(len(by))]
+    groups = [F.col(f"`{c}`").alias(g) for c, g in zip(by, own, strict=True)]
     counts = df.where(F.col(f"`{value}`").isNotNull()).groupBy(*groups, F.col(f"`{value}`").alias("_v")).agg(F.count("*").alias("_n"))
-    near = Window.partitionBy(*groups) if by else Window.partitionBy(F.lit(0))
-    run = near.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("_end", F.sum("_n").over(run)).withColumn("_all", F.sum("_n").over(near))
+    counts = running_total(counts, [*[F.col(g).asc_nulls_first() for g in own], F.col("_v").asc()], F.col("_n"), "_end")
+    sums = counts.groupBy(*own).agg(F.min(F.col("_end") - F.col("_n")).alias("_start"), F.sum("_n").alias("_all"))
+    on = F.lit(True)
+    for g in own:
+        on = on & F.col(g).eqNullSafe(F.col(f"_r{g}"))
+    right = sums.select(*[F.col(g).alias(f"_r{g}") for g in own], "_start", "_all")
     rank = lambda q: F.floor((F.col("_all") - 1) * q + 0.5)
-    return counts.groupBy(*groups).agg(*[F.min(F.when(F.col("_end") > rank(q), F.col("_v"))).alias(k) for k, q in points.items()])
+    at = F.col("_end") - F.col("_start")
+    found = counts.join(right, on) if by else counts.withColumns({c: sums.select(c).scalar() for c in ("_start", "_all")})
+    out = found.groupBy(*own).agg(*[F.min(F.when(at > rank(q), F.col("_v"))).alias(k) for k, q in points.items()])
+    return out.select(*[F.col(g).alias(c) for g, c in zip(own, by, strict=True)], *points)
 
 
 def pearson(x, y) -> Column:

@@ -279,22 +279,11 @@ def d1_movement_airport(spark, d):
     return prepare_movements(m, NAMES).select("id", F.col("apt").alias("apt_mvt"))
 
 
-@query(
-    f"""WITH {MV}, d AS (SELECT apt, us // 86400000000 AS k, count(*) FILTER (phase = 'DEP') AS daily_departures, count(*) FILTER (phase = 'ARR') AS daily_arrivals FROM mv WHERE id % 3 <> 0 GROUP BY 1, 2)
-    SELECT k.id, CAST(daily_departures AS DOUBLE) AS daily_departures, CAST(daily_arrivals AS DOUBLE) AS daily_arrivals FROM mv k LEFT JOIN d ON k.apt = d.apt AND k.us // 86400000000 = d.k WHERE k.phase = 'DEP'"""
-)
-def d13_airport_state(spark, d):
-    """Totals of the departure's day."""
-    m = movements(spark, d)
-    daily = m.where("id % 3 <> 0").groupBy("apt", day("ts").alias("day")).agg(F.count_if(F.col("phase") == "DEP").cast("double").alias("daily_departures"), F.count_if(F.col("phase") == "ARR").cast("double").alias("daily_arrivals"))
-    return ft.airport_state(m.where("phase = 'DEP'"), daily, "ts", NAMES).select("id", "daily_departures", "daily_arrivals")
-
-
 @query(
     f"""WITH {MV}, d AS (SELECT apt, us // 86400000000 AS k, count(*) FILTER (phase = 'DEP') AS daily_departures, count(*) FILTER (phase = 'ARR') AS daily_arrivals FROM mv GROUP BY 1, 2)
     SELECT k.id, CAST(daily_departures AS DOUBLE) AS daily_departures, CAST(daily_arrivals AS DOUBLE) AS daily_arrivals FROM mv k LEFT JOIN d ON k.apt = d.apt AND k.us // 86400000000 = d.k WHERE k.phase = 'DEP'"""
 )
-def d13_airport_whole(spark, d):
+def d13_airport_state(spark, d):
     """Totals of the departure's day over every movement."""
     m = movements(spark, d)
     daily = m.groupBy("apt", day("ts").alias("day")).agg(F.count_if(F.col("phase") == "DEP").cast("double").alias("daily_departures"), F.count_if(F.col("phase") == "ARR").cast("double").alias("daily_arrivals"))
@@ -522,17 +511,17 @@ def d26_official_sheet(spark, d):
     return _rounded(out, "reference_min", "additional_min", "no_reference_share")
 
 
-_DAYS = """sl AS (SELECT 'A' || (o_custkey % 4) AS apt, CAST(o_orderdate AS DATE) AS day, count(*) AS dep, count(*) FILTER (o_orderstatus = 'F') AS reg, count(*) FILTER (o_orderstatus = 'F' AND o_totalprice > 200000) AS late FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1, 2),
-  ar AS (SELECT 'A' || (o_custkey % 4) AS apt, CAST(o_orderdate AS DATE) AS day, count(*) FILTER (o_orderstatus = 'O') AS arr, sum(o_orderkey % 10) AS dly FROM orders WHERE o_orderkey % 4 <> 0 GROUP BY 1, 2)"""
+_DAYS = """sl AS (SELECT 'A' || (o_custkey % 4) AS apt, CAST(o_orderdate AS DATE) AS day, count(*) AS dep, count(*) FILTER (o_orderstatus = 'F') AS reg, count(*) FILTER (o_orderstatus = 'F' AND o_totalprice > 200000) AS late FROM orders GROUP BY 1, 2),
+  ar AS (SELECT 'A' || (o_custkey % 4) AS apt, CAST(o_orderdate AS DATE) + 1 AS day, count(*) FILTER (o_orderstatus = 'O') AS arr, sum(o_orderkey % 10) AS dly FROM orders GROUP BY 1, 2)"""
 
 
-def _daily(spark, d, departed: str, arrived: str) -> DataFrame:
-    """Shares by day of two sheets, of the orders that each condition names."""
+def _daily(spark, d) -> DataFrame:
+    """Shares by day of two sheets over every order.  Arrivals land a day after the order, so the sheets' days differ."""
     o = table(spark, d, "orders").withColumn("FLT_DATE", F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd")).withColumn("APT_ICAO", F.concat(F.lit("A"), (F.col("o_custkey") % 4).cast("string")))
     n = lambda x: F.count_if(x).cast("string")
     f = F.col("o_orderstatus") == "F"
-    slots = o.where(departed).groupBy("APT_ICAO", "FLT_DATE").agg(F.count("*").cast("string").alias("FLT_DEP_1"), n(f).alias("FLT_DEP_REG_1"), n(f & (F.col("o_totalprice") > 200000)).alias("FLT_DEP_OUT_LATE_1"), F.lit("0").alias("FLT_DEP_OUT_EARLY_1"))
-    delays = o.where(arrived).groupBy("APT_ICAO", "FLT_DATE").agg(n(F.col("o_orderstatus") == "O").alias("FLT_ARR_1"), F.sum(F.col("o_orderkey") % 10).cast("string").alias("DLY_APT_ARR_1"))
+    slots = o.groupBy("APT_ICAO", "FLT_DATE").agg(F.count("*").cast("string").alias("FLT_DEP_1"), n(f).alias("FLT_DEP_REG_1"), n(f & (F.col("o_totalprice") > 200000)).alias("FLT_DEP_OUT_LATE_1"), F.lit("0").alias("FLT_DEP_OUT_EARLY_1"))
+    delays = o.withColumn("FLT_DATE", F.date_format(F.date_add(F.col("o_orderdate").cast("timestamp").cast("date"), 1), "yyyy-MM-dd")).groupBy("APT_ICAO", "FLT_DATE").agg(n(F.col("o_orderstatus") == "O").alias("FLT_ARR_1"), F.sum(F.col("o_orderkey") % 10).cast("string").alias("DLY_APT_ARR_1"))
     delays = delays.withColumns({f"DLY_APT_ARR_{c}_1": F.lit("0") for c in ingest.CAUSES})
     out = ingest.daily_state(slots, delays, ("A0", "A1", "A2", "A3"))
     share = [F.round(F.col(c).cast("double"), 5).alias(c) for c in ("atfm_regulated_share", "atfm_slot_late_share", "arr_atfm_delay_min")]
@@ -545,19 +534,7 @@ def _daily(spark, d, departed: str, arrived: str) -> DataFrame:
 )
 def d27_daily_state(spark, d):
     """Shares by day from two sheets, with a full join."""
-    return _daily(spark, d, "o_orderkey % 3 <> 0", "o_orderkey % 4 <> 0")
-
-
-_WHOLE_DAYS = _DAYS.replace(" WHERE o_orderkey % 3 <> 0", "").replace(" WHERE o_orderkey % 4 <> 0", "")
-
-
-@query(
-    f"""WITH {_WHOLE_DAYS} SELECT coalesce(sl.apt, ar.apt) AS apt, coalesce(sl.day, ar.day) AS day, round(CAST(CAST(reg / nullif(dep, 0) AS FLOAT) AS DOUBLE), 5) AS atfm_regulated_share, round(CAST(CAST(late / nullif(reg, 0) AS FLOAT) AS DOUBLE), 5) AS atfm_slot_late_share,
-    CAST(dep AS DOUBLE) AS daily_departures, CAST(arr AS DOUBLE) AS daily_arrivals, round(CAST(CAST(dly / nullif(arr, 0) AS FLOAT) AS DOUBLE), 5) AS arr_atfm_delay_min FROM sl FULL JOIN ar ON sl.apt = ar.apt AND sl.day = ar.day"""
-)
-def d27_daily_whole(spark, d):
-    """The same over every order."""
-    return _daily(spark, d, "true", "true")
+    return _daily(spark, d)
 
 
 @query("SELECT 'N' || s_nationkey AS icao, CAST(count(*) AS BIGINT) AS runway_count, round(CAST(max(s_suppkey * 10) AS DOUBLE), 3) AS longest_runway_ft, round(CAST(CAST(avg(s_suppkey * 10) AS FLOAT) AS DOUBLE), 3) AS mean_runway_ft FROM supplier WHERE s_nationkey < 20 AND s_suppkey % 5 <> 0 GROUP BY 1")
@@ -646,14 +623,15 @@ def d30_event_coverage(spark, d):
 
 
 def _prediction(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Every order in both files; keys of some are others in the template, so that keys are absent and extra."""
     o = table(spark, d, "orders")
-    template = o.where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("MVT_ID_mvt"))
+    template = o.select(F.expr("CASE WHEN o_orderkey % 5 = 0 THEN -o_orderkey ELSE o_orderkey END").alias("MVT_ID_mvt"))
     bad = F.expr("CASE WHEN o_orderkey % 101 = 0 THEN NULL WHEN o_orderkey % 103 = 0 THEN double('NaN') WHEN o_orderkey % 107 = 0 THEN double('Infinity') WHEN o_orderkey % 109 = 0 THEN -1.0 ELSE o_totalprice / 50 END")
-    return o.where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("MVT_ID_mvt"), bad.alias("TAXITIME_SEC_mvt")), template
+    return o.select(F.expr("CASE WHEN o_orderkey % 7 = 0 THEN -2 * o_orderkey - 1 ELSE o_orderkey END").alias("MVT_ID_mvt"), bad.alias("TAXITIME_SEC_mvt")), template
 
 
-_PRED = """p AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 101 = 0 THEN NULL WHEN o_orderkey % 103 = 0 THEN 'NaN'::DOUBLE WHEN o_orderkey % 107 = 0 THEN 'Infinity'::DOUBLE WHEN o_orderkey % 109 = 0 THEN -1.0 ELSE o_totalprice / 50 END AS v FROM orders WHERE o_orderkey % 7 <> 0),
-  t AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 5 <> 0)"""
+_PRED = """p AS (SELECT CASE WHEN o_orderkey % 7 = 0 THEN -2 * o_orderkey - 1 ELSE o_orderkey END AS k, CASE WHEN o_orderkey % 101 = 0 THEN NULL WHEN o_orderkey % 103 = 0 THEN 'NaN'::DOUBLE WHEN o_orderkey % 107 = 0 THEN 'Infinity'::DOUBLE WHEN o_orderkey % 109 = 0 THEN -1.0 ELSE o_totalprice / 50 END AS v FROM orders),
+  t AS (SELECT CASE WHEN o_orderkey % 5 = 0 THEN -o_orderkey ELSE o_orderkey END AS k FROM orders)"""
 
 
 @query(
@@ -682,18 +660,10 @@ def g19_leaderboard(spark, d):
     return leaderboard(items).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("SELECT n_nationkey AS k, CAST(n_nationkey AS DOUBLE) AS x, n_name AS label FROM nation UNION ALL SELECT c_custkey, c_acctbal, NULL FROM customer WHERE c_custkey < 50")
+@query("SELECT n_nationkey AS k, CAST(n_nationkey AS DOUBLE) AS x, n_name AS label FROM nation UNION ALL SELECT c_custkey, c_acctbal, NULL FROM customer")
 def s1_union_relaxed(spark, d):
     """Files of different types and columns in one frame."""
     a = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_nationkey").cast("smallint").alias("x"), F.col("n_name").alias("label"))
-    b = table(spark, d, "customer").where("c_custkey < 50").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("x"), F.lit(None).cast("string").alias("label"))
-    return union_relaxed([a, b])
-
-
-@query("SELECT n_nationkey AS k, CAST(n_nationkey AS DOUBLE) AS x, n_name AS label FROM nation UNION ALL SELECT c_custkey, c_acctbal, NULL FROM customer")
-def s1_union_whole(spark, d):
-    """The same over every customer."""
-    a = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_nationkey").cast("smallint").alias("x"), F.col("n_name").alias("label"))
     b = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("x"), F.lit(None).cast("string").alias("label"))
     return union_relaxed([a, b])
 
@@ -708,8 +678,7 @@ def t5_month_edges(spark, d):
 def p11_fill_mean(spark, d):
     """Unknown values filled with the mean."""
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.expr("CASE WHEN l_partkey % 3 <> 0 THEN l_extendedprice END").alias("x"))
-    mean = li.agg(F.avg("x")).scalar()
-    return li.select("l_orderkey", "l_linenumber", "l_partkey", F.round(F.coalesce("x", mean), 4).alias("filled"))
+    return filled_with_mean(li, "x").select("l_orderkey", "l_linenumber", "l_partkey", F.round("x", 4).alias("filled"))
 
 
 @query("WITH l AS (SELECT DISTINCT p_type AS v FROM part WHERE p_partkey % 2 = 0 AND p_type <> 'PROMO'), c AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM l) SELECT p_partkey, CAST(coalesce(code, -1) AS DOUBLE) AS code FROM (SELECT p_partkey, CASE WHEN p_partkey % 11 <> 0 THEN p_type END AS p FROM part) LEFT JOIN c ON p = v")

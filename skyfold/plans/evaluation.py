@@ -42,7 +42,7 @@ def seasonal_split(features: DataFrame, movements: DataFrame, longest: float | N
     if longest is not None:
         fit = fit.where(F.col(n.taxi) <= longest)
     fit, held = reference.apply_reference(fit, tables, n), reference.apply_reference(rows.where(mask), tables, n)
-    return Split(fit, held, model_columns(fit))
+    return Split(fit, held, model_columns(fit, n))
 
 
 def evaluate(scored: DataFrame, pred: str, truth: str, at: str, airport: str, months: Sequence[int] = (1, 7)) -> DataFrame:

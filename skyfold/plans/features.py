@@ -19,6 +19,7 @@ from ..operators.bins import day, fixed_bin, sliding_summary
 from ..operators.aggregates import joined_set
 from ..operators.windows import DAY, MINUTE, gaps, horizons, range_counts, range_counts_of
 from .movements import NAMES, Names
+from .registry import is_declared, makes
 
 MINUTES = (5, 10, 15, 30, 60)
 SECTOR_MINUTES = (15, 30)
@@ -36,6 +37,7 @@ def arrivals(df: DataFrame, n: Names = NAMES) -> DataFrame:
     return df.where(F.col(n.phase) == n.arrived)
 
 
+@makes("runway_queue", "rwy_dep_prev_5m", "rwy_dep_next_5m", "prev_dep_gap_sec", "next_dep_gap_sec", "rwy_service_interval_sec")
 def runway_features(df: DataFrame, anchor: str, ahead: bool, minutes: Sequence[int] = MINUTES, n: Names = NAMES, bucket: int | None = DAY) -> DataFrame:
     """Gaps and mean service interval at the runway, and departures in the windows around the anchor."""
     by = [n.airport, n.runway]
@@ -43,6 +45,7 @@ def runway_features(df: DataFrame, anchor: str, ahead: bool, minutes: Sequence[i
     return range_counts(d, df.where(F.col(n.phase) == n.departed), by, anchor, n.moved, horizons("rwy_dep", minutes, True, ahead), bucket)
 
 
+@makes("airport_flow", "apt_dep_prev_5m", "apt_dep_next_5m", "apt_arr_prev_5m", "apt_arr_next_5m", "arr_dep_ratio_30m")
 def airport_features(df: DataFrame, dep: DataFrame, anchor: str, ahead: bool, minutes: Sequence[int] = MINUTES, n: Names = NAMES, bucket: int | None = DAY) -> DataFrame:
     """dep with arrivals and departures at the airport in the windows, and the arrivals' share of half an hour."""
     by = [n.airport]
@@ -53,6 +56,7 @@ def airport_features(df: DataFrame, dep: DataFrame, anchor: str, ahead: bool, mi
     return out
 
 
+@makes("taxi_in_pressure", "arr_taxi_median_sec", "arr_taxi_count")
 def taxi_in_pressure(df: DataFrame, dep: DataFrame, anchor: str, minutes: int = 30, every: int = 10, strict: bool = False, n: Names = NAMES, bucket: int | None = DAY) -> DataFrame:
     """dep with the median and count of taxi-in times in the last sliding bin of arrivals that begins by the anchor.
 
@@ -66,6 +70,7 @@ def taxi_in_pressure(df: DataFrame, dep: DataFrame, anchor: str, minutes: int =
     return out.withColumn("arr_taxi_count", F.coalesce("arr_taxi_count", F.lit(0)))
 
 
+@makes("runway_configuration", "dep_runways_in_use", "arr_runways_in_use", "active_runway_count")
 def runway_configuration(df: DataFrame, dep: DataFrame, anchor: str, minutes: int = 30, strict: bool = False, n: Names = NAMES) -> DataFrame:
     """dep with the runways that departures and arrivals used in the anchor's bin (strict: the bin before), and how many."""
     phase = F.col(n.phase)
@@ -88,6 +93,7 @@ def congestion(df: DataFrame, causal: bool = False, minutes: Sequence[int] = MIN
     return runway_configuration(df, d, anchor, strict=strict, n=n)
 
 
+@makes("routing", "departure_bearing", "departure_sector", "flight_distance_km")
 def attach_bearing(dep: DataFrame, coords: DataFrame, n: Names = NAMES) -> DataFrame:
     """dep with bearing, sector and distance to the destination; null where an airport is unknown."""
     one = lambda p: coords.select(F.col("icao").alias(f"_{p}"), F.col("latitude").alias(f"_{p}lat"), F.col("longitude").alias(f"_{p}lon"))
@@ -97,11 +103,13 @@ def attach_bearing(dep: DataFrame, coords: DataFrame, n: Names = NAMES) -> DataF
     return d.withColumn("departure_sector", geo.sector("departure_bearing")).drop("_o", "_d", *ends)
 
 
+@makes("routing", "sector_dep_prev_15m")
 def sector_congestion(dep: DataFrame, anchor: str, minutes: Sequence[int] = SECTOR_MINUTES, n: Names = NAMES, bucket: int | None = DAY) -> DataFrame:
     """dep with take-offs into the same sector in the windows before the anchor; 0 in an unknown sector."""
     return range_counts(dep, dep, [n.airport, "departure_sector"], anchor, n.moved, horizons("sector_dep", minutes, True, False), bucket)
 
 
+@makes("atfm", "atfm_drift_sec", "lobt_anchor_gap_sec", "diverted")
 def atfm_pressure(dep: DataFrame, anchor: str, n: Names = NAMES) -> DataFrame:
     """dep with the slot's drift, the anchor's distance to it, and whether the flight was diverted, as columns allow."""
     have = set(dep.columns)
@@ -115,6 +123,7 @@ def atfm_pressure(dep: DataFrame, anchor: str, n: Names = NAMES) -> DataFrame:
     return dep.withColumns(out) if out else dep
 
 
+@makes("stand_turnaround", "stand_turnaround_sec")
 def stand_turnaround(df: DataFrame, dep: DataFrame, anchor: str, n: Names = NAMES, bucket: int | None = DAY) -> DataFrame:
     """dep with the seconds since the last arrival went on block at its stand; null if none did."""
     a = arrivals(df, n).where(F.col(n.block).isNotNull())
@@ -129,6 +138,7 @@ def routing(df: DataFrame, dep: DataFrame, coords: DataFrame | None, anchor: str
     return stand_turnaround(df, d, anchor, n, bucket)
 
 
+@makes("weather", *WEATHER, "dewpoint_spread_c", "observation_age_min", "wind_dir_deg")
 def weather(dep: DataFrame, metar: DataFrame, anchor: str, columns: Sequence[str] = tuple(WEATHER), n: Names = NAMES, bucket: int | None = DAY) -> DataFrame:
     """dep with the airport's last observation by the anchor, its age in minutes, and temperature less dew point."""
     here = [c for c in columns if c in metar.columns]
@@ -139,6 +149,7 @@ def weather(dep: DataFrame, metar: DataFrame, anchor: str, columns: Sequence[str
     return d
 
 
+@makes("atfm_daily", *DAILY)
 def airport_state(dep: DataFrame, daily: DataFrame, anchor: str, n: Names = NAMES) -> DataFrame:
     """dep with the airport's totals of the anchor's day, as far as the table has them."""
     here = [c for c in DAILY if c in daily.columns]
@@ -146,6 +157,8 @@ def airport_state(dep: DataFrame, daily: DataFrame, anchor: str, n: Names = NAME
     return dep.withColumn("_on", day(anchor)).join(right, (F.col(n.airport) == F.col("_apt")) & (F.col("_on") == F.col("_day")), "left").drop("_on", "_apt", "_day")
 
 
+@makes("calendar", "hour", "weekday", "month_num", "minute_of_day")
+@makes("atfm", "sched_offset_sec", "eobt_offset_sec")
 def offsets(dep: DataFrame, anchor: str, n: Names = NAMES) -> DataFrame:
     """dep with the calendar (the month is the take-off's) and the anchor's distance to schedule and estimate."""
     d = dep.withColumns(calendar(anchor, n.moved)).withColumn("sched_offset_sec", seconds_between(anchor, n.scheduled).cast("float"))
@@ -154,6 +167,7 @@ def offsets(dep: DataFrame, anchor: str, n: Names = NAMES) -> DataFrame:
     return d
 
 
+@makes("nm_aobt", "nm_naive_taxi_sec", "nm_matched")
 def network_off_block(dep: DataFrame, n: Names = NAMES) -> DataFrame:
     """dep with take-off less the network's off-block time, and whether that is known."""
     return dep.withColumn("nm_naive_taxi_sec", seconds_between(n.moved, n.off_block).cast("float")).withColumn("nm_matched", F.col(n.off_block).isNotNull())
@@ -184,11 +198,5 @@ def build_features(
         d = weather(d, metar, anchor, n=n, bucket=bucket)
     if daily is not None and not causal:
         d = airport_state(d, daily, anchor, n)
-    floats = [f.name for f in d.schema.fields if f.dataType.simpleString() == "double" and family_known(f.name)]
+    floats = [f.name for f in d.schema.fields if f.dataType.simpleString() == "double" and is_declared(f.name)]
     return d.withColumns({c: F.col(c).cast("float") for c in floats})
-
-
-def family_known(column: str) -> bool:
-    from .movements import family_of
-
-    return family_of(column) is not None

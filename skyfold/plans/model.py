@@ -12,22 +12,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import filled_with_mean
-from ..operators.aggregates import rmse
+from ..operators.aggregates import best_of, rmse
+from ..operators.ranks import ranked
 from .evaluation import Split
-from .movements import FAMILIES, NAMES, Names, without_families
+from .movements import NAMES, Names
+from .registry import families, leaving_out
 
 #: A number that no feature takes, for unknown values: trees send it to one side.
 UNKNOWN = -1e9
-#: Levels of a categorical column that get a code; a table of codes holds at most so many rows for each column.
-LEVELS = 10_000
 
 
-def level_codes(df: DataFrame, column: str, most: int = LEVELS) -> DataFrame:
-    """level and code: the column's values in order, from 0.  Beyond `most` values, the most frequent, still in order."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("level")).agg(F.count("*").alias("n"))
-    top = counts.orderBy(F.desc("n"), "level").limit(most)
-    whole = top.agg(F.sort_array(F.collect_list("level")).alias("all"))
-    return whole.select(F.posexplode("all").alias("code", "level")).select("level", "code")
+def level_codes(df: DataFrame, column: str) -> DataFrame:
+    """level and code: all of the column's values in order, from 0."""
+    levels = df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("level")).distinct()
+    return ranked(levels, [F.col("level").asc()], "_place").select("level", (F.col("_place") - 1).cast("int").alias("code"))
 
 
 def encode(df: DataFrame, codes: dict[str, DataFrame]) -> DataFrame:
@@ -44,17 +42,29 @@ class Encoder:
 
     columns: list[str]
     codes: dict[str, DataFrame] = field(default_factory=dict)
+    gaps: list[str] = field(default_factory=list)
 
     def fit(self, df: DataFrame) -> Encoder:
         text = [c for c in self.columns if isinstance(df.schema[c].dataType, T.StringType)]
         self.codes = {c: level_codes(df, c) for c in text}
+        numbers = [c for c in self.columns if c not in text]
+        if numbers:
+            known = df.agg(*[F.coalesce(F.min(self._number(c).isNotNull()), F.lit(True)).alias(c) for c in numbers]).first()
+            self.gaps = [c for c in numbers if not known[c]]
         return self
 
+    def _number(self, c: str):
+        # float32 as in the published matrix; not a number is unknown
+        x = F.col(f"`{c}`").cast("float").cast("double")
+        return F.when(~F.isnan(x), x)
+
     def transform(self, df: DataFrame) -> DataFrame:
+        """df with `features`: unknown numbers are UNKNOWN, with a flag for each column that had some in training."""
         df = encode(df, self.codes)
-        # float32 as in the published matrix; unknown numbers become UNKNOWN with a flag of their own
-        cols = {c: F.coalesce(F.nanvl(F.col(f"`{c}`").cast("float").cast("double"), F.lit(None).cast("double")), F.lit(UNKNOWN)) for c in self.columns}
-        return VectorAssembler(inputCols=self.columns, outputCol="features").transform(df.withColumns(cols))
+        flags = {f"_gap{i}": self._number(c).isNull().cast("double") for i, c in enumerate(self.gaps)}
+        df = df.withColumns(flags) if flags else df
+        df = df.withColumns({c: F.coalesce(self._number(c), F.lit(UNKNOWN)) for c in self.columns})
+        return VectorAssembler(inputCols=[*self.columns, *flags], outputCol="features").transform(df).drop(*flags)
 
 
 def train_predict(split: Split, columns: Sequence[str], residual: bool = True, seeds: Sequence[int] = (1,), rounds: int = 20, depth: int = 5, rate: float = 0.1, n: Names = NAMES) -> DataFrame:
@@ -63,8 +73,7 @@ def train_predict(split: Split, columns: Sequence[str], residual: bool = True, s
     residual: the model learns the target less the reference, each side's unknown references filled with its own mean.
     """
     encoder = Encoder(list(columns)).fit(split.fit)
-    ref = filled_with_mean("reference_sec").cast("double")
-    side = lambda d: encoder.transform(d.withColumn("_ref", ref).withColumn("_y", F.col(n.taxi).cast("double")).select("*"))
+    side = lambda d: encoder.transform(filled_with_mean(d.withColumn("_ref", F.col("reference_sec").cast("double")), "_ref").withColumn("_y", F.col(n.taxi).cast("double")))
     fit, held = side(split.fit), side(split.held)
     if residual:
         fit = fit.withColumn("_y", F.col("_y") - F.col("_ref"))
@@ -82,8 +91,8 @@ def ablation(split: Split, score: Callable[[list[str]], DataFrame] | None = None
     """Name, columns and error of the model with all families, then without each in turn."""
     score = score or (lambda columns: train_predict(split, columns, n=n, **settings))
     out = []
-    for name in ("all", *FAMILIES):
-        columns = without_families(split.columns, set() if name == "all" else {name})
+    for name in ("all", *families()):
+        columns = list(split.columns) if name == "all" else leaving_out(split.columns, name)
         if columns and (name == "all" or len(columns) < len(split.columns)):
             out.append((name, len(columns), score(columns).agg(rmse("prediction", n.taxi)).first()[0]))
     return out
@@ -91,10 +100,4 @@ def ablation(split: Split, score: Callable[[list[str]], DataFrame] | None = None
 
 def leaderboard(items: DataFrame, team: str = "team", score: str = "score", at: str = "submitted") -> DataFrame:
     """Each team's best score, the first of equals, with its rank."""
-    from pyspark.sql import Window
-
-    from ..operators.aggregates import best_of
-
-    best = best_of(items, [team], score, [at])
-    # teams are few: one row each
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(score, at, team)))
+    return ranked(best_of(items, [team], score, [at]), [F.col(score).asc(), F.col(at).asc(), F.col(team).asc()], "rank")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.aggregates import share
 from .movements import NAMES, Names
+from .registry import makes
 
 QUANTILE, LONGEST, LEAST_BELOW = 0.10, 7200, 10
 
@@ -26,16 +27,18 @@ def clean(df: DataFrame, n: Names = NAMES, longest: float = LONGEST) -> DataFram
 def level_reference(df: DataFrame, keys: Sequence[str], value: str, quantile: float = QUANTILE, least_below: int = LEAST_BELOW) -> DataFrame:
     """keys, p10, n and valid: at least so many rows at or below the percentile.
 
-    Values are counted by group first, so that the percentile and the rows below it come from one pass over counts.
+    Values are counted by group first.  The percentile goes back to the counts, so that no row gathers a group's values.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    sums = counts.groupBy(*keys).agg(
-        F.expr(f"percentile(_v, {quantile}D, _n)").alias("p10"),
-        F.sum("_n").alias("n"),
-        F.collect_list(F.struct("_v", "_n")).alias("_all"),
-    )
-    below = F.aggregate("_all", F.lit(0).cast("long"), lambda s, x: s + F.when(x["_v"] <= F.col("p10"), x["_n"]).otherwise(F.lit(0)))
-    return sums.withColumn("valid", below >= least_below).drop("_all")
+    groups = [F.col(f"`{k}`").alias(f"_g{i}") for i, k in enumerate(keys)]
+    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    own = [f"_g{i}" for i in range(len(keys))]
+    sums = counts.groupBy(*own).agg(F.expr(f"percentile(_v, {quantile}D, _n)").alias("p10"), F.sum("_n").alias("n"))
+    on = F.lit(True)
+    for c in own:
+        on = on & F.col(c).eqNullSafe(F.col(f"_r{c}"))
+    right = sums.select(*[F.col(c).alias(f"_r{c}") for c in own], "p10", "n")
+    held = counts.join(right, on).groupBy(*own, "p10", "n").agg(F.sum(F.when(F.col("_v") <= F.col("p10"), F.col("_n")).otherwise(0)).alias("_below"))
+    return held.select(*[F.col(c).alias(k) for c, k in zip(own, keys, strict=True)], "p10", "n", (F.col("_below") >= least_below).alias("valid"))
 
 
 def fit_reference(df: DataFrame, n: Names = NAMES, quantile: float = QUANTILE, least_below: int = LEAST_BELOW, longest: float = LONGEST) -> dict[str, DataFrame]:
@@ -43,6 +46,7 @@ def fit_reference(df: DataFrame, n: Names = NAMES, quantile: float = QUANTILE, l
     return {name: level_reference(rows, keys, n.taxi, quantile, least_below) for name, keys in levels(n).items()}
 
 
+@makes("geometry", "reference_sec", "reference_level", "reference_sample")
 def apply_reference(df: DataFrame, tables: dict[str, DataFrame], n: Names = NAMES) -> DataFrame:
     """df with reference_sec and reference_level of the most specific valid level, and the finest level's sample size.
 

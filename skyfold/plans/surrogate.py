@@ -70,12 +70,13 @@ OBS = """obs AS (
 
 
 def coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation").where("n_nationkey < 6")
+    """Nations as airports; that of nation 6 has another name, so that a destination is unknown."""
     k = F.col("n_nationkey")
-    return n.select(F.concat(F.lit("A"), k.cast("string")).alias("icao"), (35.0 + k * 3.25).alias("latitude"), (-4.0 + k * 5.5).alias("longitude"))
+    place = F.pmod(k, F.lit(17))
+    return table(spark, sf_dir, "nation").select(F.concat(F.when(k == 6, "X").otherwise("A"), k.cast("string")).alias("icao"), (35.0 + place * 3.25).alias("latitude"), (-4.0 + place * 5.5).alias("longitude"))
 
 
-XY = "xy AS (SELECT 'A' || n_nationkey AS icao, CAST(35.0 + n_nationkey * 3.25 AS DOUBLE) AS latitude, CAST(-4.0 + n_nationkey * 5.5 AS DOUBLE) AS longitude FROM nation WHERE n_nationkey < 6)"
+XY = "xy AS (SELECT CASE WHEN n_nationkey = 6 THEN 'X' ELSE 'A' END || n_nationkey AS icao, CAST(35.0 + n_nationkey % 17 * 3.25 AS DOUBLE) AS latitude, CAST(-4.0 + n_nationkey % 17 * 5.5 AS DOUBLE) AS longitude FROM nation)"
 
 
 def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+import time
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,14 +66,73 @@ def times_parsed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: parse_time(c) for c in text}) if text else df
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None, comment: str | None = None) -> DataFrame:
-    """A CSV file with a header; with a schema in that order, else as text.  Lines that begin with comment are left out."""
-    r = spark.read.option("header", True).option("enforceSchema", False)
+def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None, comment: str | None = None, infer: bool = False) -> DataFrame:
+    """A CSV file with a header; with a schema in that order, else as text, or with types inferred from all of it.
+
+    Lines that begin with comment are left out.
+    """
+    r = spark.read.option("header", True).option("enforceSchema", False).option("inferSchema", infer)
     if comment:
         r = r.option("comment", comment)
     return r.schema(schema).csv(path) if schema else r.csv(path)
 
 
+def read_sheet(spark: SparkSession, path: str, numbers: Sequence[str] = (), dates: Sequence[str] = ()) -> DataFrame:
+    """A spreadsheet's data, exported to CSV: text, but for the named columns, which are null where a cell doesn't parse."""
+    d = read_csv(spark, path)
+    return d.withColumns({c: F.col(f"`{c}`").try_cast("double") for c in numbers} | {c: F.col(f"`{c}`").try_cast("date") for c in dates})
+
+
+def fetched(folder: str, name: str, fetch: Callable[[], bytes]) -> Path:
+    """The file in the folder; made by fetch if it isn't there.  It gets its name when it is whole."""
+    path = Path(folder) / name
+    if not path.exists():
+        path.parent.mkdir(parents=True, exist_ok=True)
+        part = path.with_name(f".{name}.{os.getpid()}")
+        part.write_bytes(fetch())
+        part.replace(path)
+    return path
+
+
+def fetch_chunks(chunks: Iterable, fetch: Callable[..., bytes], folder: str, name: Callable[..., str], tries: int = 3, wait: float = 2.0, pause: float = 0.0, sleep: Callable[[float], None] = time.sleep) -> list[Path]:
+    """A file for each chunk (a month's edges, say).  A failing fetch is tried again after a wait that doubles each time.
+
+    pause: seconds between fetches.  Files that are there already are not fetched.
+    """
+
+    def with_retries(chunk) -> bytes:
+        for turn in range(tries):
+            try:
+                return fetch(chunk)
+            except OSError:
+                if turn == tries - 1:
+                    raise
+                sleep(wait * 2**turn)
+        raise ValueError("tries is below 1")
+
+    out = []
+    for chunk in chunks:
+        there = (Path(folder) / name(chunk)).exists()
+        out.append(fetched(folder, name(chunk), lambda c=chunk: with_retries(c)))
+        if pause and not there:
+            sleep(pause)
+    return out
+
+
+def fetch_pages(fetch: Callable[[str | None], dict], items: str = "items", cursor: str = "nextCursor") -> Iterator[dict]:
+    """The items of a paged listing, page after page until one names no next cursor; a cursor that comes again raises."""
+    at, seen = None, set()
+    while True:
+        page = fetch(at)
+        yield from page.get(items) or []
+        at = page.get(cursor)
+        if not at:
+            return
+        if at in seen:
+            raise ValueError(f"the listing goes in a circle: {at}")
+        seen.add(at)
+
+
 def read_pages(spark: SparkSession, path: str, schema: str, items: str = "items") -> DataFrame:
     """The items of saved JSON pages, a row each."""
     return spark.read.option("multiLine", True).json(path, schema=f"{items} array<struct<{schema}>>").select(F.explode(items).alias("_x")).select("_x.*")

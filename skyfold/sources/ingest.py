@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import KM_IN_MILE, M_IN_FOOT, MM_IN_INCH, MS_IN_KNOT, col, fahrenheit_to_celsius, has_code, number, parse_minute, ratio
 from ..operators.aggregates import first_of
 from ..plans.movements import AIRPORTS
+from ..plans.registry import makes
 
 # Weather codes by flag.
 FREEZING = ("FZRA", "FZDZ", "FZFG")
@@ -68,6 +69,7 @@ def airport_coordinates(raw: DataFrame) -> DataFrame:
     return first_of(d.where("latitude IS NOT NULL AND longitude IS NOT NULL"), ["icao"], [F.col("latitude"), F.col("longitude"), F.col("elevation_ft")])
 
 
+@makes("geometry", "runway_count", "longest_runway_ft", "mean_runway_ft")
 def runway_summary(raw: DataFrame, airports: Sequence[str] = AIRPORTS) -> DataFrame:
     """Open runways by airport: how many, the longest and the mean length."""
     d = raw.where(F.col("airport_ident").isin(*airports) & (col("closed").try_cast("int") == 0))

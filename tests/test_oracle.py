@@ -1,5 +1,6 @@
 """Every registered query against its SQL, over the driver's smallest tables."""
 
+import decimal
 import os
 
 import duckdb
@@ -26,9 +27,11 @@ def duck():
 def shown(x):
     if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
         return ""
+    if isinstance(x, decimal.Decimal):
+        x = int(x) if x == x.to_integral_value() else float(x)
     if isinstance(x, float):
-        return f"{x:.5g}" if abs(x) < 1e15 else repr(x)
-    return f"{float(x):.5g}" if isinstance(x, int) and not isinstance(x, bool) else str(x)
+        return f"{x:.9g}"
+    return str(x)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -51,7 +54,7 @@ def test_without_sql(spark, name):
 
 def test_union_whole(spark):
     n = sum(spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("nation", "customer"))
-    assert entry.queries()["s1_union_whole"](spark, SF).count() == n
+    assert entry.queries()["s1_union_relaxed"](spark, SF).count() == n
 
 
 def test_days_whole(spark):
@@ -61,9 +64,9 @@ def test_days_whole(spark):
     from skyfold.plans.surrogate import movements
 
     orders = spark.read.parquet(f"{SF}/orders.parquet").count()
-    assert entry.queries()["d27_daily_whole"](spark, SF).agg(F.sum("daily_departures")).first()[0] == orders
+    assert entry.queries()["d27_daily_state"](spark, SF).agg(F.sum("daily_departures")).first()[0] == orders
     days = movements(spark, SF).where("phase = 'DEP' AND apt IS NOT NULL").groupBy("apt", F.to_date("ts")).count()
-    assert entry.queries()["d13_airport_whole"](spark, SF).agg(F.sum("daily_departures")).first()[0] == days.agg(F.sum(F.col("count") * F.col("count"))).first()[0]
+    assert entry.queries()["d13_airport_state"](spark, SF).agg(F.sum("daily_departures")).first()[0] == days.agg(F.sum(F.col("count") * F.col("count"))).first()[0]
 
 
 def test_entry(spark):

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from skyfold.functions import geo
 from skyfold.operators import aggregates as agg
-from skyfold.plans import evaluation, features, movements, reference, submission
+from skyfold.functions.scalar import filled_with_mean
+from skyfold.plans import evaluation, features, model, movements, reference, registry, submission
 from skyfold.plans.movements import NAMES
 from skyfold.sources import synthetic
 
@@ -78,13 +79,51 @@ def test_turnaround_and_drift(spark):
     assert got.atfm_drift_sec == 720.0 and got.lobt_anchor_gap_sec == 480.0
 
 
-def test_families():
+def test_families(spark):
     names = "apt_mvt rwy_dep_prev_5m apt_arr_next_60m arr_taxi_count dep_runways_in_use sector_dep_prev_15m atfm_drift_sec atfm_slot_late_share stand_turnaround_sec snow hour AIRCRAFT_TYPE_mvt nm_matched".split()
-    assert {movements.family_of(c) for c in names} == set(movements.FAMILIES)
-    assert movements.by_family(["other"])["UNASSIGNED"] == ["other"]
-    assert movements.without_families(["hour", "snow", "other"], {"weather"}) == ["hour", "other"]
+    d = spark.createDataFrame([(c,) for c in [*names, "other", "rwy_dep_prev_m"]], "column string")
+    got = {r.column: r.family for r in registry.with_family(d).collect()}
+    assert {got[c] for c in names} == set(registry.families()) and len(registry.families()) == 13
+    assert got["other"] is None and got["rwy_dep_prev_m"] is None
+    assert registry.leaving_out(["hour", "snow", "other"], "weather") == ["hour", "other"]
     with pytest.raises(KeyError):
-        movements.without_families(["hour"], {"nothing"})
+        registry.leaving_out(["hour"], "nothing")
+    with pytest.raises(ValueError):
+        registry.declare("calendar", ["snow"])
+
+
+def test_model_columns(spark):
+    d = spark.range(1).selectExpr("id AS MVT_ID_mvt", "'x' AS FLIGHT_mvt", "1 AS TAXITIME_SEC_mvt", "current_timestamp() AS seen", "'y' AS ADEP_flt", "1.0 AS snow", "'S' AS STAND_mvt", "'RA' AS wxcodes")
+    assert movements.model_columns(d) == ["snow", "STAND_mvt"]
+
+
+def test_level_codes(spark):
+    """Every level has its code, however many there are."""
+    d = spark.range(12_000).selectExpr("concat('v', lpad(id, 6, '0')) AS v").union(spark.createDataFrame([(None,), ("v000001",)], "v string"))
+    got = {r.level: r.code for r in model.level_codes(d, "v").collect()}
+    assert len(got) == 12_000 and all(code == int(level[1:]) for level, code in got.items())
+
+
+def test_unknown_numbers(spark):
+    d = spark.createDataFrame([(1.0, None), (float("nan"), 2.0), (3.0, 4.0)], "a double, b double")
+    e = model.Encoder(["a", "b"]).fit(d)
+    got = [tuple(r.features) for r in e.transform(d).select("features").collect()]
+    assert e.gaps == ["a", "b"] and got == [(1.0, model.UNKNOWN, 0.0, 1.0), (model.UNKNOWN, 2.0, 1.0, 0.0), (3.0, 4.0, 0.0, 0.0)]
+
+
+def test_nearest_percentiles(spark):
+    rows = [("A", float(v)) for v in (5, 1, 1, 9, 7)] + [(None, 2.0), (None, 4.0), ("B", None)]
+    d = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: (r.lo, r.mid) for r in agg.nearest_percentiles(d, ["g"], "v", {"lo": 0.1, "mid": 0.5}).collect()}
+    assert got == {"A": (1.0, 5.0), None: (2.0, 4.0)}
+    assert [tuple(r) for r in agg.nearest_percentiles(d, [], "v", {"mid": 0.5}).collect()] == [(4.0,)]
+    assert [tuple(r) for r in agg.nearest_percentiles(d.where("false"), [], "v", {"mid": 0.5}).collect()] == [(None,)]
+
+
+def test_filled_with_mean(spark):
+    d = spark.createDataFrame([(1.0,), (None,), (3.0,)], "x double")
+    assert sorted(r.x for r in filled_with_mean(d, "x").collect()) == [1.0, 2.0, 3.0]
+    assert filled_with_mean(d.where("x IS NULL"), "x").first().x is None
 
 
 @pytest.fixture(scope="module")
@@ -97,7 +136,7 @@ def test_feature_table(spark, year):
     full = features.build_features(year, coords=coords, metar=metar)
     assert full.count() == year.where("PHASE_mvt = 'DEP'").count()
     inputs = movements.model_columns(full)
-    assert all(movements.family_of(c) for c in inputs), [c for c in inputs if not movements.family_of(c)]
+    assert all(registry.is_declared(c) for c in inputs), [c for c in inputs if not registry.is_declared(c)]
     causal = features.build_features(year, coords=coords, metar=metar, causal=True, strict=True)
     assert not [c for c in causal.columns if "_next_" in c or c.startswith("nm_")]
     assert [c for c in full.columns if "_next_" in c]

@@ -1,6 +1,6 @@
 """Files, ingest, and aggregates with nulls, ties and empty inputs."""
 
-from datetime import datetime
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,6 +32,42 @@ def test_files(spark, tmp_path):
     assert files.markdown(items.orderBy("team"), 1).splitlines()[2] == "| a | 2.5 |"
 
 
+def test_sheets_and_inference(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("APT,YEAR,DAY\nA,2025,2025-01-02\nB,n/a,no day\n")
+    got = {r.APT: (r.YEAR, r.DAY) for r in files.read_sheet(spark, str(tmp_path / "s.csv"), ["YEAR"], ["DAY"]).collect()}
+    assert got["A"] == (2025.0, date(2025, 1, 2)) and got["B"] == (None, None)
+    (tmp_path / "n.csv").write_text("a,b\n1,x\n2.5,y\n")
+    assert dict(files.read_csv(spark, str(tmp_path / "n.csv"), infer=True).dtypes) == {"a": "double", "b": "string"}
+
+
+def test_fetches(tmp_path):
+    asked, waits = [], []
+
+    def fetch(month):
+        asked.append(month)
+        if asked.count(month) < 3 and month == "m2":
+            raise OSError("busy")
+        return month.encode()
+
+    get = lambda: files.fetch_chunks(["m1", "m2"], fetch, str(tmp_path), lambda m: f"{m}.csv", wait=1.0, pause=0.5, sleep=waits.append)
+    assert [p.read_text() for p in get()] == ["m1", "m2"] and waits == [0.5, 1.0, 2.0, 0.5]
+    assert [p.name for p in get()] == ["m1.csv", "m2.csv"] and asked == ["m1", "m2", "m2", "m2"]  # nothing is fetched again
+
+    def never(month):
+        raise OSError("down")
+
+    with pytest.raises(OSError):
+        files.fetch_chunks(["m3"], never, str(tmp_path), lambda m: f"{m}.csv", sleep=waits.append)
+    assert not (tmp_path / "m3.csv").exists()
+
+
+def test_cursor_pages():
+    pages = {None: {"items": [1, 2], "nextCursor": "b"}, "b": {"items": [], "nextCursor": "c"}, "c": {"items": [3]}}
+    assert list(files.fetch_pages(pages.__getitem__)) == [1, 2, 3]
+    with pytest.raises(ValueError):
+        list(files.fetch_pages({None: {"items": [1], "nextCursor": "b"}, "b": {"items": [], "nextCursor": "b"}}.__getitem__))
+
+
 def test_observation_flags(spark):
     schema = "station string, valid string, tmpf string, dwpf string, vsby string, sknt string, drct string, p01i string, wxcodes string, skyc1 string, skyl1 string"
     rows = [("A", "2025-01-01 00:20", "32.0", "M", "0.5", "10", "90", "0.1", "FZFG", "OVC", "300"), ("A", "bad", "M", "30", None, None, None, "0.1", None, None, None), ("A", "2025-01-01 01:20", "33", "30", "9", "1", "2", None, "-SHSN", None, None)]
@@ -78,7 +114,8 @@ def test_encoder(spark):
     fit = spark.createDataFrame([("x", 1.0), ("z", None), (None, 2.0)], "c string, v double")
     held = spark.createDataFrame([("z", 1.0), ("new", float("nan")), (None, None)], "c string, v double")
     rows = [r.features.toArray().tolist() for r in Encoder(["c", "v"]).fit(fit).transform(held).collect()]
-    assert rows == [[1.0, 1.0], [-1.0, -1e9], [-1.0, -1e9]]
+    # the last is the flag of unknown numbers
+    assert rows == [[1.0, 1.0, 0.0], [-1.0, -1e9, 1.0], [-1.0, -1e9, 1.0]]
 
 
 def test_ablation_names(spark):
