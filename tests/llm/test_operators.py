@@ -194,6 +194,114 @@ def test_html(spark):
     assert by[None].text.startswith("The Title\n\nFirst & best paragraph")
 
 
+FRAME = (
+    '<html><body><header><a href=/>Home</a> Site</header><nav><ul><li><a href=/a>One</a></ul></nav><div id="cookie-notice">We use cookies</div><div class="ad">Buy now</div>{}'
+    '<section class="comments"><p>Nice article, thank you very much for this long comment.</p></section><footer>&copy; 2025</footer></body></html>'
+)
+PARAGRAPH = "Some real words of an article that goes on for a while. " * 4
+
+
+@pytest.mark.parametrize("name", "content|post|long-form|content sidebar-right|header-fixed page|post-alert|search-result|main-content comments-open|page footer-dark|story-share|story ad|blog-widget|content header-fixed".split("|"))
+@pytest.mark.parametrize("tag", ["div", "section", "form", "article"])
+def test_html_names_are_evidence(name, tag):
+    """The article stays whatever its element is called, and small extras about it go."""
+    from skyfold.llm import html_text as m
+
+    body = f'<{tag} class="{name}"><h1>Title</h1>{f"<p>{PARAGRAPH}</p>" * 4}<div class="share-buttons">Share this</div></{tag}>'
+    assert m.main_text(FRAME.format(body)) == "Title" + f"\n\n{PARAGRAPH.strip()}" * 4
+
+
+def test_html_long_comments_go():
+    from skyfold.llm import html_text as m
+
+    body = f"<div class=x><h1>Title</h1><p>{PARAGRAPH}</p></div><div id=comments>{f'<div class=comment><p>{PARAGRAPH * 2}</p></div>' * 9}</div>"
+    assert m.main_text(FRAME.format(body)) == f"Title\n\n{PARAGRAPH.strip()}"
+
+
+@pytest.mark.parametrize("kind", ['<div class="sidebar">', "<div>", "<header><div>", "<b>", "<li>", "<p><div>", "<span>"])
+def test_html_depth_is_linear(kind):
+    import time
+
+    from skyfold.llm import html_text as m
+
+    took = []
+    for n in (5_000, 50_000):
+        began = time.process_time()
+        assert PARAGRAPH.strip() in m.main_text("<body>" + kind * n + f"<article><p>{PARAGRAPH}</p></article>" + "</b>" * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 40 * max(took[0], 0.05)
+
+
+def slow_article(node):
+    """The article of a tree (name, kids) without names or links: every measure is counted anew from the definitions."""
+    kids = lambda n: [k for k in n[1] if not isinstance(k, str)]
+    chars = lambda n: sum(len("".join(k.split())) if isinstance(k, str) else chars(k) for k in n[1])
+    tags = lambda n: sum(1 + tags(k) for k in kids(n))
+    dense = lambda c, t: c / max(1, t)
+    total = lambda n: sum(dense(chars(k), tags(k)) for k in kids(n))
+    walk = lambda n, way: [way + [n]] + [w for k in kids(n) for w in walk(k, way + [n])]
+    ways = walk(node, [])
+    best = max(ways, key=lambda w: total(w[-1]))
+    if not total(best[-1]):
+        return [node]
+    threshold = min(dense(chars(n), tags(n)) for n in best)
+    taken, whole = [best[-1]], True
+    for child, parent in zip(best[::-1], best[-2::-1]):
+        c, t = chars(parent) - chars(child), tags(parent) - tags(child) - 1
+        if whole and (not c or dense(c, t) >= threshold / 2):
+            taken = [parent]
+            continue
+        whole, at = False, [k is child for k in parent[1]].index(True)
+        for i, k in enumerate(parent[1]):
+            if k is not child and not isinstance(k, str) and chars(k):
+                if dense(chars(k), tags(k)) >= threshold or i < at and k[0] == "h2" or k[0] == child[0] == "p":
+                    taken.append(k)
+    return [w[-1] for w in ways if any(w[-1] is x for x in taken)]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_html_density(seed):
+    """The selection against the slow version, on trees of random shape."""
+    import random
+
+    from skyfold.llm import html_text as m
+
+    rnd, vocab = random.Random(seed), h.vocabulary(seed)
+
+    def tree(depth):
+        if depth == 0 or rnd.random() < 0.2:
+            return (rnd.choice(["p", "p", "h2"]), [" ".join(rnd.choice(vocab) for _ in range(rnd.choice([1, 3, 30, 80])))])
+        return (rnd.choice(["div", "section"]), [tree(depth - 1) for _ in range(rnd.randint(1, 4))])
+
+    def html(n):
+        return n if isinstance(n, str) else f"<{n[0]}>{''.join(map(html, n[1]))}</{n[0]}>"
+
+    def leaves(n):
+        return [" ".join(n.split())] if isinstance(n, str) else [x for k in n[1] for x in leaves(k)]
+
+    body = ("body", [tree(rnd.randint(1, 4)) for _ in range(rnd.randint(1, 4))])
+    assert m.main_text(html(body)) == "\n\n".join(x for n in slow_article(body) for x in leaves(n))
+
+
+def test_html_pages():
+    """On the driver's pages the text is that of the article element, also where that is an element of any other name."""
+    import os
+
+    import pyarrow.parquet as pq
+
+    from skyfold.llm import html_text as m
+
+    path = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("the driver's tables are not here")
+    for page in pq.read_table(path).column("html").to_pylist():
+        root = m.parse(page)
+        article = [n for n in m._order(root) if n.name == "article"]
+        want = "\n\n".join(m.blocks(article[0]))
+        assert m.main_text(page) == want
+        assert m.main_text(page.replace("<article>", "<div>").replace("</article>", "</div>")) == want
+
+
 # 5
 
 
