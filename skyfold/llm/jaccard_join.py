@@ -33,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _U, buffer_of, components, forest_roots, mix64, rename_inputs, slices, stored, word_hashes
+from ..tables import stored
+from .common import _U, buffer_of, components, forest_roots, mix64, rename_inputs, slices, word_hashes
 
 SHINGLE = 5
 THRESHOLD = Fraction(4, 5)

@@ -11,9 +11,12 @@ from .common import table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of documents, in two increments: the second meets blobs that the ledger has from the first."""
     from . import secret_scan as m
 
-    found, _ = m.scan_versions(table(spark, sf_dir, "documents"), path="doc_id")
+    d = table(spark, sf_dir, "documents")
+    turn = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    found, _ = m.scan_increments([d.where(turn == i) for i in range(2)], path="doc_id")
     return m.digest(found).withColumnRenamed("path", "doc_id")
 
 

@@ -1,8 +1,8 @@
 """Secret scans with an incremental blob ledger.
 
-Every historical version of a path is addressed by the SHA-256 of its content (its blob).  The ledger says which
-(blob, rule version) pairs were scanned before.  Only the unseen pairs are scanned, each blob once however many paths
-hold it, and the findings go back to every path that ever held the blob.
+Every historical version of a path is addressed by the SHA-256 of its content (its blob).  The ledger says which rule
+versions were run on a blob, and what they found.  Only unseen pairs of blob and rule version are scanned, each blob once
+however many paths hold it, and stored and new findings are joined to every path that holds the blob.
 
 Inputs that need a rule: a null text is an empty blob; an empty blob has no findings; repeated rows are paths that share
 a blob; a null path is a path like any other; an empty table gives empty results.
@@ -11,14 +11,15 @@ a blob; a null path is a path like any other; an empty table gives empty results
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import rename_inputs, stored
+from ..tables import stored
+from .common import rename_inputs
 
 # The patterns of the three base kinds, the least length of each, and the words of the first.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -77,68 +78,81 @@ def blobs(versions: DataFrame, path: str = "path", text: str = "text") -> DataFr
     return rename_inputs(versions, path=path, text=text).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("blob", F.unhex(F.sha2("text", 256)))
 
 
-def unseen(held: DataFrame, rules: tuple[Rule, ...], ledger: DataFrame | None) -> DataFrame:
+_SPANS = "array<struct<rule:string,start:bigint,end:bigint>>"
+
+
+def _names(rules: Sequence[Rule]) -> Column:
+    return F.array(*[F.lit(r.name) for r in rules])
+
+
+def unseen(held: DataFrame, rules: Sequence[Rule], ledger: DataFrame | None) -> DataFrame:
     """(blob, path, rules): the blobs with rules not yet run on them, each with one path that holds it."""
     one = held.groupBy("blob").agg(F.min("path").alias("path"))
-    pairs = one.withColumn("rule", F.explode(F.array(*[F.lit(r.name) for r in rules])))
-    if ledger is not None:
-        pairs = pairs.join(rename_inputs(ledger, blob="blob", rule="rule").distinct(), ["blob", "rule"], "left_anti")
-    return pairs.groupBy("blob", "path").agg(F.sort_array(F.collect_list("rule")).alias("rules"))
+    if ledger is None:
+        return one.withColumn("rules", _names(rules))
+    one = one.join(rename_inputs(ledger, blob="blob", seen="rules"), "blob", "left")
+    left = F.array_except(_names(rules), F.coalesce("seen", F.array().cast("array<string>")))
+    return one.select("blob", "path", left.alias("rules")).where(F.size("rules") > 0)
 
 
-def scan(held: DataFrame, todo: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, rules, spans): what the rules of todo find in each of its blobs; spans by start, then by rule.
+def scan(held: DataFrame, todo: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """(blob, rules, spans): what the rules of todo find in each of its blobs.
 
     A blob's text comes from one of its paths: the join's key is unique, whatever share of the rows is one blob.
     """
-    by_name = {r.name: (i, r) for i, r in enumerate(rules)}
-    out = pa.schema([("blob", pa.binary()), ("rules", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))])
+    by_name = {r.name: r for r in rules}
+    out = pa.schema([("blob", pa.binary()), ("rules", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("rule", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            names = batch["rules"].to_pylist()
-            for text, todo_here in zip(batch["text"], names, strict=True):
+            for text, names in zip(batch["text"], batch["rules"].to_pylist(), strict=True):
                 text = text.as_py()
                 low = text.lower()
-                spans = sorted((s, i, e, r.kind) for i, r in (by_name[n] for n in todo_here) for s, e in r.spans(text, low))
-                found.append([{"kind": k, "start": s, "end": e} for s, _, e, k in spans])
+                found.append([{"rule": n, "start": a, "end": b} for n in names for a, b in by_name[n].spans(text, low)])
             yield pa.record_batch([batch["blob"], batch["rules"], pa.array(found, out.field("spans").type)], schema=out)
 
     t = todo.select(F.col("blob").alias("_blob"), F.col("path").alias("_path"), "rules")
-    texts = held.join(t.hint("shuffle_hash"), (F.col("blob") == F.col("_blob")) & F.col("path").eqNullSafe(F.col("_path"))).select("blob", "rules", "text")
-    return texts.mapInArrow(run, "blob binary, rules array<string>, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    texts = held.join(t, (F.col("blob") == F.col("_blob")) & F.col("path").eqNullSafe(F.col("_path"))).select("blob", "rules", "text")
+    return texts.mapInArrow(run, f"blob binary, rules array<string>, spans {_SPANS}")
 
 
-def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path: str = "path", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: Sequence[Rule] = RULES, path: str = "path", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(findings, ledger) of versions (path, text; a path may have many).
 
-    findings: (path, blob, spans), a row for each version; spans are those of the pairs that this call scanned, null
-    for a blob without unseen pairs (all_findings has those of every pair).  ledger: (blob, rule, spans), the pairs seen
-    before and now with what was found.  The rules of a call are of different kinds.
+    findings: (path, blob, spans), a row for each version; spans (kind, start, end), by start, then in the rules' order, are
+    all that the rules find in its blob, in this call or an earlier one.  ledger: (blob, rules, spans), a row for each blob
+    seen before or now, with the rule versions that were run on it and all that they found.  The rules of a call are of
+    different kinds.
     """
     if len({r.kind for r in rules}) < len(rules):
         raise ValueError("two rules of one kind")
     held = blobs(versions, path, text)
-    # a blob comes twice where rows alike in path and text hold it; one row of it is joined to however many paths
-    scanned = stored(scan(held, unseen(held, rules, ledger), rules).dropDuplicates(["blob"]), "scanned")
-    now = scanned.select("blob", F.explode("rules").alias("rule"), F.col("spans").alias("_all"))
-    now = now.select("blob", "rule", F.filter("_all", lambda s: s["kind"] == F.regexp_replace("rule", "@[0-9]+$", "")).alias("spans"))
+    # a blob comes twice where rows alike in path and text hold it
+    now = stored(scan(held, unseen(held, rules, ledger), rules).dropDuplicates(["blob"]), "scanned")
     if ledger is not None:
-        now = now.union(rename_inputs(ledger, blob="blob", rule="rule", spans="spans")).dropDuplicates(["blob", "rule"])
-    return held.drop("text").join(scanned.drop("rules"), "blob", "left").select("path", "blob", "spans"), now
-
-
-def all_findings(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path: str = "path", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(findings, ledger) like scan_versions, but spans are all that the rules find, in this call or an earlier one."""
-    _, after = scan_versions(versions, ledger, rules, path, text)
-    held = blobs(versions, path, text).select("path", "blob")
-    names = F.array(*[F.lit(r.name) for r in rules])
-    known = after.where(F.array_contains(names, F.col("rule"))).join(held.select("blob").distinct(), "blob", "left_semi")
-    placed = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.array_position(names, F.col("rule")).alias("i"), s["end"].alias("end"), s["kind"].alias("kind")))
-    one = known.select("blob", placed.alias("s")).groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("s"))).alias("s"))
-    one = one.select("blob", F.transform("s", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
-    return held.join(one, "blob", "left").select("path", "blob", "spans"), after
+        old = rename_inputs(ledger, blob="blob", _rules="rules", _spans="spans")
+        both = now.join(old, "blob", "full")
+        none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+        now = both.select("blob", F.array_union(none("_rules", "array<string>"), none("rules", "array<string>")).alias("rules"), F.concat(none("_spans", _SPANS), none("spans", _SPANS)).alias("spans"))
+        now = stored(now, "ledger")
+    names = _names(rules)
+    mine = F.filter("spans", lambda s: F.array_contains(names, s["rule"]))
+    placed = F.sort_array(F.transform(mine, lambda s: F.struct(s["start"].alias("start"), F.array_position(names, s["rule"]).alias("i"), s["end"].alias("end"))))
+    kinds = F.array(*[F.lit(r.kind) for r in rules])
+    shown = F.transform(placed, lambda s: F.struct(F.element_at(kinds, s["i"].cast("int")).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return held.select("path", "blob").join(now.select("blob", shown.alias("spans")), "blob", "left").select("path", "blob", "spans"), now
+
+
+def scan_increments(increments: Iterable[DataFrame], ledger: DataFrame | None = None, rules: Sequence[Rule] = RULES, path: str = "path", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(findings, ledger) of versions that come in parts, one after the other: each part is held to the ledger of all before."""
+    found = None
+    for part in increments:
+        here, ledger = scan_versions(part, ledger, rules, path, text)
+        found = here if found is None else found.unionByName(here)
+    if found is None:
+        raise ValueError("no increments")
+    return found, ledger
 
 
 def digest(findings: DataFrame) -> DataFrame:

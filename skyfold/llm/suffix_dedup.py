@@ -4,15 +4,19 @@
    windows pick alike, so a window can repeat only if its anchor's hash does.  Neighbouring windows that pick one anchor
    are an entry; its context is the bytes that they cover.  Each window is in one entry.
 2. Contexts.  (anchor, context) pairs are counted, summed within tasks first.  A context that occurs twice is repeated
-   whole.  Distinct contexts of one anchor, one occurrence of each, are compared by their bytes.
-3. Comparison.  Sorted by what follows the anchor, and by what precedes it read backwards, a context's longest match on
-   either side is with a neighbour.  Both lengths together bound its repeated range; where one other context reaches
-   both, that range is it.  The contexts for which none does, cut to their bounds, become one text with a
-   Burrows-Wheeler transform.  Intervals of equal prefixes are extended backwards, breadth first, which finds the longest
-   common prefixes of neighbouring suffixes by increasing value; it stops at `least`.  Neighbours without a value by then
-   share `least` bytes or more.
-4. An anchor with more than `hot` distinct contexts is not gathered in one task: its windows are counted by hash instead.
-5. The repeated ranges go back to every occurrence, and each text loses them.
+   whole: both hashes, 128 bits with the anchor's, agree.  Distinct contexts of one anchor, one occurrence of each, are
+   compared by their bytes.
+3. Bounds.  Sorted by what follows the anchor, and by what precedes it read backwards, a context's longest match on either
+   side is with a neighbour.  Both lengths together bound its repeated range; contexts are cut to their bounds, and those
+   below `least` go.
+4. Transform.  What is left becomes one text, equal cuts once, with a Burrows-Wheeler transform.  Intervals of equal
+   prefixes are extended backwards, breadth first, which finds the longest common prefixes of neighbouring suffixes by
+   increasing value; it stops at `least`.  Neighbours without a value by then share `least` bytes or more.
+5. A group of more than `hot` distinct contexts is split by content before it is compared: windows that begin in one half
+   of the places where they can cover the bytes between the halves' ends, and equal windows have equal bytes there.  So
+   each half is dealt by those bytes, contexts are cut to what its windows cover, and equal cuts are one.  At worst a part
+   is a single window.
+6. The repeated ranges go back to every occurrence, and each text loses them.
 
 Inputs that need a rule: a null text is empty; texts shorter than `least` stay whole; repeated rows are documents of
 their own, so that they remove each other; a null id stays null; an empty table gives an empty result.
@@ -21,6 +25,7 @@ their own, so that they remove each other; a null id stays null; an empty table
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _U, buffer_of, mix64, powers, rename_inputs, slices, stored
+from ..tables import stored
+from .common import _U, buffer_of, mix64, powers, rename_inputs, slices
 
 LEAST = 400
 GRAM = 100
-HOT = 20_000
+#: Distinct contexts that a task compares at once, some 0.7 KB each.
+HOT = 2_000
 #: Bytes of contexts in one transform.
 CHUNK = 1 << 20
 
@@ -85,29 +92,34 @@ def anchors(data: np.ndarray, at: np.ndarray, least: int = LEAST, gram: int = GR
 
 
 def suffix_order(text: np.ndarray, ends: np.ndarray, reach: int) -> np.ndarray:
-    """The suffixes in order.  text: codes, 0 where a piece ends; ends: the place of that 0 for each place.
+    """The suffixes in the order of their first `reach` characters or more; of those alike so far, in any order.
 
-    Prefixes double until they reach over a piece.  Suffixes alike up to their pieces' ends keep the pieces' order.
+    text: codes, 0 where a piece ends; ends: the place of that 0 for each place.  Prefixes double.
     """
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, text.dtype)]).astype(np.int64)
-    alive = np.ones(n, bool)
-    rank = np.zeros(n, np.int64)
-    for i in range(7):
-        alive = alive & (np.arange(n) + i <= ends)
-        rank = rank << 9 | np.where(alive, padded[i : i + n], 0)
-    width = 7
+    codes = np.zeros(int(text.max()) + 1, np.int64)
+    used = np.unique(text)
+    codes[used] = np.arange(len(used)) + (used[0] > 0)
+    bits = int(len(used)).bit_length()
+    width = 63 // bits
+    padded = np.concatenate([codes[text], np.zeros(width, np.int64)])
+    rank = padded[:n].copy()
+    left = ends - np.arange(n)
+    for i in range(1, width):
+        rank <<= bits
+        rank |= np.where(left >= i, padded[i : i + n], 0)
     while True:
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
         ordered = rank[order]
         new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-        if width > reach or new.all():
+        if width >= reach or new.all():
             return order
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new)
-        after = np.arange(n) + width
-        behind = np.where(after <= ends, rank[np.minimum(after, n - 1)], 0)
-        rank = rank * (n + 1) + behind
+        behind = np.zeros(n, np.int64)
+        behind[: n - width] = np.where(left[: n - width] >= width, rank[width:], 0)
+        rank *= n + 1
+        rank += behind
         width *= 2
 
 
@@ -118,7 +130,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarr
     the transform maps to an interval of the next level, are found for all of them by array operations.
     """
     n = len(text)
-    before = text[order - 1]
+    before = text[order - 1].astype(np.uint16)
     before[order == 0] = 0
     by_char = np.argsort(before, kind="stable")
     target = np.empty(n, np.int64)
@@ -163,7 +175,7 @@ def repeated_ranges(contexts: list[bytes], least: int = LEAST) -> list[tuple[lis
     raw[stops] = 0
     begins = stops - sizes
     owner = np.repeat(np.arange(len(sizes)), sizes + 1)
-    order = suffix_order(raw, stops[owner], int(sizes.max()))
+    order = suffix_order(raw, stops[owner], least)
     alike = common_prefixes(raw, order, least)
     shared = np.concatenate([[False], alike]) | np.concatenate([alike, [False]])
     found = order[shared]
@@ -176,8 +188,8 @@ def repeated_ranges(contexts: list[bytes], least: int = LEAST) -> list[tuple[lis
     return [((up[a:b] - s).tolist(), (down[a:b] - s).tolist()) for a, b, s in zip(cuts, cuts[1:], begins, strict=False)]
 
 
-def _matches(side: np.ndarray, size: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order of the rows of side by group and content, and the match of each with the one before and after it in that order."""
+def _longest(side: np.ndarray, size: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The longest match of each row of side with another of its group, from their beginnings; -1 without another."""
     m = len(side)
     digits = np.stack([group // 255 ** (3 - i) % 255 + 1 for i in range(4)], axis=1).astype(np.uint8)
     keys = np.ascontiguousarray(np.concatenate([digits, side], axis=1))
@@ -185,7 +197,9 @@ def _matches(side: np.ndarray, size: np.ndarray, group: np.ndarray) -> tuple[np.
     match = np.full(m + 1, -1)
     a, b = order[:-1], order[1:]
     match[1:m] = np.where(group[a] == group[b], _common(side, size, a, b), -1)
-    return order, match[:-1], match[1:]
+    out = np.empty(m, np.int64)
+    out[order] = np.maximum(match[:-1], match[1:])
+    return out
 
 
 def _common(side: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -216,32 +230,21 @@ def compared(contexts: list[bytes], before: np.ndarray, group: np.ndarray, least
             out[j] = np.where(at < size[j, None], padded[np.maximum(index, 0)], 0)
         return out
 
-    right, left = side(int(after.max()), after, 1), side(max(1, int(before.max())), before, -1)
-    best, reached = [], np.zeros(m, bool)
-    orders = [_matches(right, after, group), _matches(left, before, group)]
-    for order, prev, following in orders:
-        top = np.empty(m, np.int64)
-        top[order] = np.maximum(prev, following)
-        best.append(top)
-    longest, back = best
-    # whether a neighbour on one side is as good on the other
-    for (order, prev, following), own, other, other_size, wanted in ((orders[0], longest, left, before, back), (orders[1], back, right, after, longest)):
-        for step, match in ((-1, prev), (1, following)):
-            fit = np.flatnonzero(match == own[order])
-            fit = fit[match[fit] >= 0]
-            x, y = order[fit], order[fit + step]
-            reached[x] |= _common(other, other_size, x, y) == wanted[x]
-    hopeful = (longest >= 0) & (back >= 0) & (back + longest >= least)
+    longest = _longest(side(int(after.max()), after, 1), after, group)
+    back = _longest(side(max(1, int(before.max())), before, -1), before, group)
+    hopeful = np.flatnonzero((longest >= 0) & (back >= 0) & (back + longest >= least)).tolist()
+    # equal cuts of a group are one; alone in its group, one that others equal needs no comparison
+    cuts: dict[tuple[int, bytes], list[int]] = {}
+    for i in hopeful:
+        cuts.setdefault((int(group[i]), contexts[i][before[i] - back[i] : before[i] + longest[i]]), []).append(i)
+    several = Counter(g for g, _ in cuts)
+    rest = [(k, own) for k, own in cuts.items() if several[k[0]] > 1]
+    ranges = dict(zip([k for k, _ in rest], repeated_ranges([c for (_, c), _ in rest], least), strict=True)) if rest else {}
     out: list[tuple[list[int], list[int]]] = [([], [])] * m
-    for i in np.flatnonzero(hopeful & reached).tolist():
-        out[i] = ([int(-back[i])], [int(longest[i])])
-    # the rest, with all that they may match: cut to what matches anything
-    open_groups = np.unique(group[hopeful & ~reached])
-    rest = np.flatnonzero(hopeful & np.isin(group, open_groups))
-    if len(rest):
-        cut = [contexts[i][before[i] - back[i] : before[i] + longest[i]] for i in rest.tolist()]
-        for i, (a, b) in zip(rest.tolist(), repeated_ranges(cut, least), strict=True):
-            out[i] = ([x - int(back[i]) for x in a], [x - int(back[i]) for x in b])
+    for k, own in cuts.items():
+        begins, ends = ([0], [len(k[1])]) if len(own) > 1 else ranges.get(k, ([], []))
+        for i in own:
+            out[i] = ([x - int(back[i]) for x in begins], [x - int(back[i]) for x in ends])
     return out
 
 
@@ -309,21 +312,28 @@ def _compare(least: int, chunk: int):
     return run
 
 
-def _windows(least: int):
-    """Of each context of a busy anchor, the hashes of its windows; a window's start is relative to the anchor."""
-    schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("start", pa.int32()), ("window", pa.int64())])
+def _halves(least: int):
+    """Each context's two halves: the windows that begin up to the middle of first..last, and those after it.
+
+    group: of the bytes that all windows of a half cover; cut: the hash of the bytes kept, from `low` on (relative to the
+    anchor).  A half without a window goes.
+    """
+    schema = pa.schema([(c, pa.int64()) for c in ("anchor", "context", "group", "cut")] + [(c, pa.int32()) for c in ("first", "last", "low")] + [("bytes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "bytes", 1 << 18):
-            parts = []
-            for anchor, context, before, raw in zip(*[batch[c].to_pylist() for c in schema.names[:2] + ["before", "bytes"]], strict=True):
-                n = len(raw) - least + 1
-                sums = np.zeros(len(raw) + 1, _U)
-                np.cumsum((np.frombuffer(raw, np.uint8).astype(_U) + _U(1)) * powers(len(raw)), out=sums[1:])
-                h = mix64((sums[least:] - sums[:-least]) * powers(n, down=True) + _U(_BASE))
-                parts.append((np.full(n, anchor), np.full(n, context), np.arange(n) - before, h.view(np.int64)))
-            if parts:
-                yield pa.record_batch([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*parts, strict=True), schema, strict=True)], schema=schema)
+        for batch in slices(batches, "bytes"):
+            rows = []
+            for anchor, context, group, first, last, low, raw in zip(*[batch[c].to_pylist() for c in ("anchor", "context", "group", "first", "last", "low", "bytes")], strict=True):
+                middle = (first + last) // 2
+                for a, b in ((first, middle), (middle + 1, last)):
+                    begin, end = max(low, a), min(low + len(raw) - least, b)
+                    if begin > end:
+                        continue
+                    shared, kept = raw[b - low : a + least - low], raw[begin - low : end + least - low]
+                    digest = lambda *x: int.from_bytes(hashlib.blake2b(repr(x).encode(), digest_size=8).digest(), "little", signed=True)
+                    rows.append((anchor, context, digest(group, a, b, shared), digest(begin, kept), a, b, begin, kept))
+            if rows:
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
@@ -356,11 +366,33 @@ def _contexts(d: DataFrame, asked: DataFrame) -> DataFrame:
     return d.join(w, ["id", "key"]).select("doc_id", "text", "key", "wanted").mapInArrow(_cut, "anchor bigint, context bigint, before int, whole boolean, bytes binary")
 
 
-def _busy(contexts: DataFrame, least: int) -> DataFrame:
-    windows = stored(contexts.mapInArrow(_windows(least), "anchor bigint, context bigint, start int, window bigint"), "windows")
-    twice = windows.groupBy("anchor", "start", "window").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    found = windows.join(twice, ["anchor", "start", "window"]).groupBy("anchor", "context").agg(F.collect_set("start").alias("begins"))
-    return found.select("anchor", "context", "begins", F.transform("begins", lambda x: (x + least).cast("int")).alias("ends"))
+def _split(contexts: DataFrame, least: int, gram: int, hot: int, chunk: int) -> list[DataFrame]:
+    """(anchor, context, begins, ends) of contexts in groups that are too large, split until they aren't."""
+    found = []
+    parts = contexts.select("anchor", "context", F.col("anchor").alias("group"), F.lit(gram - least).alias("first"), F.lit(0).alias("last"), (-F.col("before")).alias("low"), "bytes")
+    while True:
+        parts = stored(parts.mapInArrow(_halves(least), "anchor bigint, context bigint, group bigint, cut bigint, first int, last int, low int, bytes binary"), "halves")
+        one = F.struct("anchor", "context")
+        cuts = parts.groupBy("group", "cut").agg(F.count("*").alias("n"), F.min(one).alias("one"))
+        kinds = cuts.groupBy("group").agg(F.count("*").alias("kinds"))
+        # each context's cut, and whether it stands for those equal to it
+        cuts = stored(cuts.join(kinds, "group").select("group", "cut", "n", "kinds", "one"), "cuts")
+        whole = parts.join(cuts.where("n > 1").select("group", "cut"), ["group", "cut"])
+        found.append(whole.select("anchor", "context", F.array("low").alias("begins"), F.array((F.col("low") + F.length("bytes")).cast("int")).alias("ends")))
+        mine = parts.join(cuts.where("kinds > 1").select("group", "cut", "n", "kinds", F.col("one.anchor").alias("anchor"), F.col("one.context").alias("context")), ["group", "cut", "anchor", "context"])
+        calm = mine.where(F.col("kinds") <= hot).select(F.col("group").alias("anchor"), F.col("cut").alias("context"), (-F.col("low")).alias("before"), (F.col("n") > 1).alias("whole"), "bytes")
+        got = _compared(calm, least, chunk).withColumnsRenamed({"anchor": "group", "context": "cut"})
+        found.append(parts.join(got, ["group", "cut"]).select("anchor", "context", "begins", "ends"))
+        more = cuts.where(F.col("kinds") > hot)
+        if not more.limit(1).count():
+            return found
+        # equal cuts are repeated whole: one of them goes on, for others to be held against
+        parts = mine.where(F.col("kinds") > hot).select("anchor", "context", "group", "first", "last", "low", "bytes")
+
+
+def _compared(contexts: DataFrame, least: int, chunk: int) -> DataFrame:
+    contexts = contexts.repartition("anchor").sortWithinPartitions("anchor")
+    return contexts.mapInArrow(_compare(least, chunk), "anchor bigint, context bigint, begins array<int>, ends array<int>")
 
 
 def repeats(d: DataFrame, least: int, gram: int, hot: int, chunk: int) -> DataFrame:
@@ -376,11 +408,10 @@ def repeats(d: DataFrame, least: int, gram: int, hot: int, chunk: int) -> DataFr
     pairs = pairs.join(kinds, "anchor")
     # the same context has the same place about its anchor
     whole = pairs.where("n > 1").select("anchor", "context", F.array((-F.col("one.before")).cast("int")).alias("begins"), F.array(F.col("one.after").cast("int")).alias("ends"))
-    calm = _contexts(d, pairs.where(f"kinds BETWEEN 2 AND {hot}")).repartition("anchor").sortWithinPartitions("anchor")
-    calm = calm.mapInArrow(_compare(least, chunk), "anchor bigint, context bigint, begins array<int>, ends array<int>")
-    found = calm.union(whole)
+    found = _compared(_contexts(d, pairs.where(f"kinds BETWEEN 2 AND {hot}")), least, chunk).union(whole)
     if pairs.where(f"kinds > {hot}").limit(1).count():
-        found = found.union(_busy(_contexts(d, pairs.where(f"kinds > {hot}")), least))
+        for more in _split(_contexts(d, pairs.where(f"kinds > {hot}")), least, gram, hot, chunk):
+            found = found.union(more)
     hits = entries.join(found, ["anchor", "context"])
     shift = lambda c: F.transform(c, lambda x: x + F.col("place"))
     hits = hits.select("id", "key", shift("begins").alias("begins"), shift("ends").alias("ends"))
