@@ -17,7 +17,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from skyfold.llm import jaccard_join, line_dedup, mixing, packing, quality
-from skyfold.llm.common import stored, table
+from skyfold.llm.common import table
+from skyfold.tables import stored
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
