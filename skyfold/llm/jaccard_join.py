@@ -1,20 +1,25 @@
 """N-gram Jaccard self-join: documents link when their sets of word shingles have a similarity of t or more.
 
-Equal sets are one node from the start, whatever their number.  For the others the join is exact:
+Equal sets are one node from the start, whatever their number: two 64-bit sums of hashes say which are equal, and where sets
+agree in the first alone (looked for in every corpus), all but one of them get another name.  For the others the join is
+exact:
 
 1. Order.  Shingles are 64-bit hashes.  Those found often within slices of the corpus (counted over all of it; the most
    frequent, up to `HOT` of them) come last in the order of all sets, the rest by hash.  Any fixed order is correct; this
    one keeps shared passages out of prefixes.
 2. Tiles.  Two linked sets share a shingle within the first n - ceil(t n) + 1 of each, and of the smaller one within the
    first n - ceil(2t / (1 + t) n) + 1.  Entries (shingle, node, size) meet by shingle; sorted by size, those farther
-   apart than the threshold allows fall into different size bands.
+   apart than the threshold allows fall into different size bands.  The entries of a frequent shingle are dealt by node
+   too, so that no task gathers them; their bands come with the blocks below.
 3. Signatures.  A node's bitmap has the parity of the shingles hashed to each bit.  Bits that differ between two nodes
    are shingles that one of them lacks, so they bound the overlap from above.
 4. Exact intersection of sorted arrays for what is left, from the whole texts.
 
 Groups of near copies are not expanded into pairs.  First each node meets neighbours by size in its first tiles and is
-held against the likeliest few, and the links give components.  Then only the pairs of a tile's nodes in different
-components are made, filtered and verified: no link between components is lost, and links within one add nothing.
+held against the likeliest few, and the links give components.  Then only pairs of a tile's nodes in different components
+are made, filtered and verified: no link between components is lost, and links within one add nothing.  A large tile is
+cut into cells by size band, its largest component apart; cells of that component don't meet each other, so that their
+cost is in proportion to the nodes outside it.
 
 Inputs that need a rule: a null text, or one without words, has an empty set and links with nothing; a text of fewer
 words than a shingle has one shingle, all its words; repeated ids and rows are documents of their own that link (equal
@@ -25,6 +30,7 @@ its component's name; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from fractions import Fraction
 from math import ceil, log
 
@@ -47,8 +53,10 @@ BUCKETS = 256
 #: Tiles in which a node first meets neighbours, the neighbours that it is held against, and children of one parent in a
 #: verifying task.
 FIRST_TILES, FIRST_LINKS, CHILDREN = 8, 3, 256
-#: Nodes of a tile that a task gathers at most twice of.
+#: Nodes of a tile that a task gathers, twice as many at most.
 PART = 2000
+#: Bytes of entries in a bucket, about.
+BUCKET_BYTES = 1 << 25
 _SCALE = 1024  # of the logarithm of sizes in entries
 _TURNS = _U(0x9FB21C651E98DF25)
 
@@ -77,18 +85,61 @@ def shingle_rows(data: np.ndarray, at: np.ndarray, k: int = SHINGLE) -> tuple[np
     return np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
 
 
-def hot_shingles(docs: DataFrame, k: int = SHINGLE, limit: int = HOT) -> np.ndarray:
-    """Frequent shingles, sorted, at most limit of them.  Which they are changes the work, never the result."""
+def _nodes(flat: np.ndarray, cuts: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each row's set.  bits: of the first (fewer in tests)."""
+    size = np.diff(cuts).astype(_U)
+    out = []
+    for salt in (_TURNS, _U(0x2545F4914F6CDD1D)):
+        sums = np.concatenate([np.zeros(1, _U), np.cumsum(mix64(flat ^ salt), dtype=_U)])
+        out.append(mix64(sums[cuts[1:]] - sums[cuts[:-1]] + mix64(size ^ salt)))
+    return out[0] & _U((1 << bits) - 1), out[1]
 
+
+@dataclass
+class Survey:
+    """What one pass over the corpus tells before the join.
+
+    hot: frequent shingles, sorted, at most a limit of them (which they are changes the work, never the result).  clashes:
+    names of sets whose first hash is another set's too; n documents have some n ** 2 / 2 ** 65 of them, 300 in 10 ** 11.
+    entries: how many the join makes.
+    """
+
+    hot: np.ndarray
+    clashes: dict[tuple[int, int], int]
+    entries: int
+
+    def named(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        if self.clashes:
+            pairs = zip(first.tolist(), second.tolist(), strict=True)
+            first = np.array([self.clashes.get(p, p[0]) for p in pairs], _U)
+        return first
+
+
+def survey(docs: DataFrame, t: Fraction, k: int = SHINGLE, limit: int = HOT, bits: int = 64) -> Survey:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found, count = np.unique(shingle_rows(*buffer_of(batch["text"]), k)[0], return_counts=True)
+            flat, cuts = shingle_rows(*buffer_of(batch["text"]), k)
+            found, count = np.unique(flat, return_counts=True)
             some = count >= HOT_IN_SLICE
-            yield pa.record_batch([pa.array(found[some].view(np.int64)), pa.array(count[some])], names=["shingle", "n"])
-
-    counts = docs.select("text").mapInArrow(run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counts.where(F.col("n") >= HOT_IN_ALL).orderBy(F.desc("n"), "shingle").limit(limit).select("shingle")
-    return np.sort(top.toArrow()["shingle"].to_numpy().view(_U))
+            first, second = _nodes(flat, cuts, bits)
+            first, once = np.unique(np.stack([first, second]), axis=1, return_index=True)
+            made = sum(_prefix(n, t) for n in np.diff(cuts)[once].tolist() if n)
+            a, b = np.concatenate([found[some], first[0]]), np.concatenate([count[some].astype(_U), first[1]])
+            kind = np.concatenate([np.zeros(int(some.sum()), np.int8), np.ones(len(once), np.int8), [2]])
+            a, b = np.append(a, _U(0)), np.append(b, _U(made))
+            yield pa.record_batch([pa.array(kind.astype(np.int8)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["kind", "a", "b"])
+
+    seen = stored(docs.select("text").mapInArrow(run, "kind tinyint, a bigint, b bigint"), "survey")
+    counts = seen.where("kind = 0").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") >= HOT_IN_ALL)
+    hot = np.sort(counts.orderBy(F.desc("n"), "a").limit(limit).select("a").toArrow()["a"].to_numpy().view(_U))
+    entries = seen.where("kind = 2").agg(F.sum("b")).first()[0] or 0
+    sets = seen.where("kind = 1").select("a", "b")
+    twice = sets.groupBy("a").agg(F.min("b").alias("least"), F.max("b").alias("most")).where("least <> most")
+    clashes = {}
+    for r in sets.join(twice, "a").where("b <> least").select("a", "b").distinct().collect():
+        a, b = int(r.a) % (1 << 64), int(r.b) % (1 << 64)
+        clashes[a, b] = int(mix64(np.array([a * 0x9E3779B97F4A7C15 + b & 0xFFFFFFFFFFFFFFFF], _U))[0])
+    return Survey(hot, clashes, entries)
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -101,10 +152,13 @@ def _prefix(n: int, share: Fraction) -> int:
     return n - ceil(share * n) + 1
 
 
-def _entries(hot: np.ndarray, t: Fraction, buckets: int, k: int):
-    """A row for each document (kind 0), and for each slice and bucket the entries in one piece (kind 1)."""
+def _entries(found: Survey, t: Fraction, buckets: int, k: int, bits: int):
+    """A row for each document (kind 0), and for each slice and bucket the entries in one piece (kind 1).
+
+    Entries of a hot shingle have buckets of their own, from `buckets` on, dealt by shingle and node.
+    """
     schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
-    shorter = 2 * t / (1 + t)
+    shorter, hot = 2 * t / (1 + t), found.hot
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -113,9 +167,8 @@ def _entries(hot: np.ndarray, t: Fraction, buckets: int, k: int):
             if len(hot):
                 late = hot[np.minimum(np.searchsorted(hot, flat), len(hot) - 1)] == flat
             key = flat >> _U(1) | late.astype(_U) << _U(63)
-            sums = np.concatenate([np.zeros(1, _U), np.cumsum(mix64(flat ^ _TURNS), dtype=_U)])
             size = np.diff(cuts)
-            node = mix64(sums[cuts[1:]] - sums[cuts[:-1]] + mix64(size.astype(_U)))
+            node = found.named(*_nodes(flat, cuts, bits))
             _, once = np.unique(node, return_index=True)  # equal sets of a slice make their entries once
             keys, maps, parts, roles = [], [], [], []
             for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
@@ -135,7 +188,9 @@ def _entries(hot: np.ndarray, t: Fraction, buckets: int, k: int):
                 continue
             keys, part, role = np.concatenate(keys), np.concatenate(parts), np.concatenate(roles)
             mixed = mix64(keys)
-            bucket = ((mixed >> _U(32)) % _U(buckets)).astype(np.int32)
+            frequent = keys >> _U(63) > 0
+            bucket = (mix64(mixed ^ np.where(frequent, mix64(node[part]), _U(0))) >> _U(32)) % _U(buckets) + frequent * _U(buckets)
+            bucket = bucket.astype(np.int32)
             rows = np.empty(len(keys), _ENTRY)
             rows["key"] = mixed.astype(np.uint32)
             rows["node"] = node[part]
@@ -154,8 +209,11 @@ def _entries(hot: np.ndarray, t: Fraction, buckets: int, k: int):
 _ENTRY = np.dtype([("key", "<u4"), ("node", "<u8"), ("size", "<u2")])
 
 
-def _tiles(t: Fraction):
-    """Documents pass; of the entries, sorted by bucket, those go on that meet another node in their size band."""
+def _tiles(t: Fraction, buckets: int):
+    """Documents pass; of the entries, sorted by bucket, those go on that meet another node in their size band.
+
+    Those of hot shingles all go on (kind 2), each node once; their tile is the shingle.
+    """
     schema = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("tile", pa.int64()), ("size", pa.int32()), ("data", pa.binary())])
     reach = int(-log(t) * _SCALE) + 2
 
@@ -165,6 +223,10 @@ def _tiles(t: Fraction):
         key, size, node = rows["key"], rows["size"].astype(np.int32), rows["node"]
         keep = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1]) | (size[1:] != size[:-1])])
         key, size, node = key[keep], size[keep], node[keep]
+        if bucket >= buckets:
+            none, n = pa.nulls(len(key), pa.int64()), len(key)
+            tile = mix64(key.astype(_U) | _U(1) << _U(62))
+            return pa.record_batch([pa.array(np.full(n, 2, np.int8)), none, none, pa.array(node.view(np.int64)), none, pa.array(tile.view(np.int64)), pa.array(size), pa.nulls(n, pa.binary())], schema=schema)
         # a band ends where the next size is out of reach
         band = np.concatenate([[True], (key[1:] != key[:-1]) | ((size[1:] >> 1) - (size[:-1] >> 1) > reach)])
         at = np.cumsum(band) - 1
@@ -254,8 +316,11 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, t: Fraction,
     dealt = stored(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("many") / CHILDREN)).alias("salt")), "pairs")
     parents = dealt.select("a", "salt").distinct().select("a", "salt", F.lit(None).cast("long").alias("b"), F.col("a").alias("node"))
     wanted = parents.union(dealt.select("a", "salt", "b", F.col("b").alias("node")))
-    needed = stored(wanted.select("node").distinct().join(nodes.select("node", "key"), "node"), "needed")
-    texts = stored(docs.join(needed, "key").select("node", "text").dropDuplicates(["node"]), "texts")
+    # a document and its exact copy have one id and key: either gives the text
+    own = nodes.select("node", F.col("key").alias("_key"), F.col("doc_id").alias("_id"))
+    needed = stored(wanted.select("node").distinct().join(own, "node"), "needed")
+    texts = docs.join(needed, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    texts = stored(texts.select("node", "text").dropDuplicates(["node"]), "texts")
     rows = wanted.join(texts, "node").select("a", "salt", "b", "text")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return stored(rows.mapInArrow(_intersect(t, k), "a bigint, b bigint"), "links")
@@ -355,14 +420,32 @@ def _blocks(t: Fraction):
 def _across(tiles: DataFrame, roots: DataFrame, nodes: DataFrame, t: Fraction) -> DataFrame:
     """All pairs of a tile whose nodes are in different components and may link.
 
-    A tile is dealt into parts of some `PART` nodes, and each two parts meet in a task: no task gathers a large tile.
+    A tile of up to `PART` nodes is one cell.  A larger one is dealt into cells of some `PART` nodes by size band, those of
+    its largest component apart.  Cells of one band or of neighbouring ones meet two by two, but not two of that component.
     """
     inside = tiles.join(roots, "node", "left").select("tile", "node", "size", F.coalesce("root", "node").alias("root"))
-    mixed = inside.groupBy("tile").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("x <> y")
-    inside = inside.join(stored(mixed.select("tile", "parts"), "mixed"), "tile").withColumn("part", F.pmod(F.xxhash64("node", "tile"), "parts").cast("int"))
-    inside = inside.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    inside = inside.select("tile", F.least("part", "with").alias("lo"), F.greatest("part", "with").alias("hi"), "part", "node", "size", "root")
-    full = inside.join(nodes.select("node", "n", "data"), "node").select("tile", "lo", "hi", "part", "node", "size", "root", "n", "data")
+    own = inside.groupBy("tile", "root").agg(F.count("*").alias("c"))
+    mixed = own.groupBy("tile").agg(F.sum("c").alias("many"), F.count("*").alias("roots"), F.max_by("root", F.struct("c", "root")).alias("main")).where("roots > 1")
+    inside = inside.join(stored(mixed.select("tile", "many", "main"), "mixed"), "tile")
+    small = F.col("many") <= PART
+    reach = int(-log(t) * _SCALE) + 2
+    apart = F.when(small, False).otherwise(F.col("root") == F.col("main"))
+    band = F.when(small, 0).otherwise(F.floor(F.shiftright("size", 1) / reach)).cast("int")
+    inside = stored(inside.select("tile", "node", "size", "root", apart.alias("apart"), band.alias("band")), "inside")
+    sizes = inside.groupBy("tile", "apart", "band").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.count("*").alias("c"))
+    # cells of a tile in order; a cell is a row here
+    cells = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cell = F.struct("apart", "band", "salt")
+    cells = stored(cells.select("tile", cell.alias("cell"), "c", "parts"), "cells")
+    other = cells.select("tile", F.col("cell").alias("with"))
+    near = ~(F.col("cell.apart") & F.col("with.apart")) & (F.abs(F.col("cell.band") - F.col("with.band")) <= 1) & ((F.col("cell") != F.col("with")) | (F.col("c") > 1))
+    meets = cells.join(other, "tile").where(near)
+    meets = stored(meets.select("tile", "cell", F.least("cell", "with").alias("lo"), F.greatest("cell", "with").alias("hi")), "meets")
+    dealt = inside.join(sizes.select("tile", "apart", "band", "parts"), ["tile", "apart", "band"])
+    dealt = dealt.select("tile", "node", "size", "root", F.struct("apart", "band", F.pmod(F.xxhash64("node", "tile"), "parts").cast("int").alias("salt")).alias("cell"))
+    number = lambda c: F.xxhash64(F.col(c)["apart"], F.col(c)["band"], F.col(c)["salt"])
+    blocks = dealt.join(meets, ["tile", "cell"]).select("tile", number("lo").alias("lo"), number("hi").alias("hi"), number("cell").alias("part"), "node", "size", "root")
+    full = blocks.join(nodes.select("node", "n", "data"), "node").select("tile", "lo", "hi", "part", "node", "size", "root", "n", "data")
     full = full.repartition("tile", "lo", "hi").sortWithinPartitions("tile", "lo", "hi")
     return stored(full.mapInArrow(_blocks(t), "a bigint, b bigint").distinct(), "across")
 
@@ -376,7 +459,7 @@ def _merged(nodes: DataFrame, roots: DataFrame, more: DataFrame) -> DataFrame:
     return every.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: Fraction = THRESHOLD, k: int = SHINGLE) -> DataFrame:
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: Fraction = THRESHOLD, k: int = SHINGLE, bits: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (equal sets share it; null for an empty set), key and kept.
 
     A row for each document.  key: the hash of id and text; kept: the component's first document, or an empty set.
@@ -384,15 +467,20 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     d = rename_inputs(docs, doc_id=doc_id, text=text)
     # a document and its exact copy under one id have one key
     d = d.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    buckets = max(BUCKETS, 2 * int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    entries = d.mapInArrow(_entries(hot_shingles(d, k), threshold, buckets, k), "bucket int, kind tinyint, doc_id bigint, key bigint, node bigint, n bigint, data binary")
-    met = entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_tiles(threshold), "kind tinyint, doc_id bigint, key bigint, node bigint, n bigint, tile bigint, size int, data binary")
+    found = survey(d, threshold, k, bits=bits)
+    buckets = max(BUCKETS, 2 * int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-found.entries * _ENTRY.itemsize // BUCKET_BYTES))
+    entries = d.mapInArrow(_entries(found, threshold, buckets, k, bits), "bucket int, kind tinyint, doc_id bigint, key bigint, node bigint, n bigint, data binary")
+    met = entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_tiles(threshold, buckets), "kind tinyint, doc_id bigint, key bigint, node bigint, n bigint, tile bigint, size int, data binary")
     met = stored(met, "tiles")
     rows = met.where("kind = 0").select("doc_id", "key", "node", "n", "data")
-    tiles = met.where("kind = 1").select("tile", "node", "size")
+    hot = met.where("kind = 2").select("tile", "node", "size")
+    shared = hot.groupBy("tile").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("tile")
+    tiles = met.where("kind = 1").select("tile", "node", "size").union(stored(hot.join(shared, "tile").select("tile", "node", "size"), "shared"))
     # one of a node's documents stands for it
     nodes = rows.where("n > 0").join(tiles.select("node").distinct(), "node", "left_semi")
-    nodes = stored(nodes.groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("data").alias("data")), "nodes")
+    one = F.struct("key", "doc_id")
+    nodes = nodes.groupBy("node").agg(F.min(one).alias("one"), F.first("n").alias("n"), F.first("data").alias("data"))
+    nodes = stored(nodes.select("node", "one.key", "one.doc_id", "n", "data"), "nodes")
 
     # a few of a node's neighbours are enough here: what they leave apart comes up again below
     links = _verified(_likeliest(_allowed(_neighbours(tiles), nodes, threshold)), nodes, d, threshold, k)
@@ -408,11 +496,54 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     names = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("name"), F.min(first).alias("first"))
     named = rooted.join(names, "root", "left")
     kept = F.col("first").isNull() | (first == F.col("first"))
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("name", "doc_id").alias("component_id"), F.col("node").alias("class_id"), "key", kept.alias("kept"))
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("name", "doc_id").alias("component_id"), F.col("node").alias("class_id"), "key", kept.alias("kept"), "root")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: Fraction = THRESHOLD, k: int = SHINGLE) -> DataFrame:
-    """The first document of each component, by id, with its own columns; those with empty sets all stay."""
-    keep = join(docs, doc_id, text, threshold, k).where("kept").select(F.col("key").alias("_key")).distinct()
-    d = docs.select(F.struct("*").alias("_row"), F.xxhash64(docs[f"`{doc_id}`"], docs[f"`{text}`"]).alias("_key"))
-    return d.join(keep, "_key").dropDuplicates(["_key"]).select("_row.*")
+def earlier_texts(docs: DataFrame, before: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text) as they were in `before`, of the documents whose text is another now.
+
+    Ids that more than one row of either table has tell nothing, nor do nulls: such documents have no earlier text.
+    """
+    h = lambda d: rename_inputs(d, doc_id=doc_id, text=text).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.xxhash64("text")).alias("h")).where("n = 1")
+    now, then = h(docs).select("doc_id", "h"), h(before).select("doc_id", F.col("h").alias("was"))
+    changed = now.join(then, "doc_id").where("h <> was").select("doc_id")
+    return rename_inputs(before, doc_id=doc_id, text=text).join(changed, "doc_id", "left_semi")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: Fraction = THRESHOLD, k: int = SHINGLE, before: DataFrame | None = None) -> DataFrame:
+    """The first document of each component, by id, with its own columns; those with empty sets all stay.
+
+    before: the documents as they were before their texts were cut.  A document is then held by both of its texts, and two
+    documents are near copies if a text of one is a near copy of a text of the other.  Of rows alike in id and text the one
+    stays whose other columns have the least hash.
+    """
+    id_, text_ = docs[f"`{doc_id}`"], docs[f"`{text}`"]
+    d = docs.select(id_.alias("doc_id"), text_.alias("text"))
+    if before is not None:
+        d = stored(d.union(earlier_texts(docs, before, doc_id, text).select("doc_id", "text")), "both")
+    found = join(d, threshold=threshold, k=k)
+    if before is not None:
+        found = _joined_by_id(stored(found, "found"), docs.select(id_.alias("doc_id"), F.xxhash64(id_, text_).alias("key")))
+    keep = found.where("kept").select(F.col("key").alias("_key"), F.col("doc_id").alias("_kept")).distinct()
+    others = [docs[f"`{c}`"] for c in docs.columns if c not in (doc_id, text)]
+    tie = F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0)
+    d = docs.select(F.struct("*").alias("_row"), id_.alias("_id"), F.xxhash64(id_, text_).alias("_own"), tie.alias("_tie"))
+    d = d.join(keep, (F.col("_own") == F.col("_key")) & F.col("_id").eqNullSafe(F.col("_kept")))
+    return d.groupBy("_id", "_own").agg(F.min_by("_row", "_tie").alias("_row")).select("_row.*")
+
+
+def _joined_by_id(found: DataFrame, now: DataFrame) -> DataFrame:
+    """key, doc_id and kept of the documents now, from the rows of both their texts: the rows of an id are in one group."""
+    rows = found.where("root IS NOT NULL")
+    mine = rows.where("doc_id IS NOT NULL")
+    # an id's rows: the least and the greatest of their roots, as an earlier text is one at most
+    edges = mine.groupBy("doc_id").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n"))
+    edges = edges.join(now.groupBy("doc_id").agg(F.count("*").alias("own")).where("own = 1"), "doc_id").where("n = 2 AND a <> b").select("a", "b")
+    top = components(edges).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    grouped = rows.join(top, "root", "left").withColumn("group", F.coalesce("top", "root")).select("doc_id", "key", "group")
+    here = grouped.join(now.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct(), (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "key", "group")
+    first = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key")
+    least = here.groupBy("group").agg(F.min(first).alias("first"))
+    kept = here.join(least, "group").select("doc_id", "key", (first == F.col("first")).alias("kept"))
+    # without a set now, but with an earlier text: it stays, as a document without a set does
+    return kept.union(found.where("root IS NULL").select("doc_id", "key", F.lit(True).alias("kept")))

@@ -1,18 +1,18 @@
 """Line dedup: runs of lines that occurred before are deleted.
 
-A document is a sequence of line ids: its lines that have a word, in order.  The suffixes of all sequences are ranked by
-distributed prefix doubling: round k gives one class, an interval of the suffix array, to the suffixes that share their
-first 2**k lines, and only suffixes whose interval holds others go on.  Any run of lines, of length l, has the interval
-(l, class of its first 2**k lines, class of its last 2**k lines) for the largest 2**k up to l: the suffixes in it have a
-longest common prefix of l or more, and the first of them (by document id, then line) is the run's first place.
+A document is a sequence of line ids: its lines that have a word, in order; an id is the line's MD5.  The suffixes of all
+sequences are ranked by distributed prefix doubling: round k orders them by their first 2**k lines, from the ranks of the
+first and second halves.  Suffixes alike so far are an interval of the suffix array with a longest common prefix of 2**k
+lines or more; its left end is their rank.  Only suffixes whose interval holds others go on: the array has places for those
+alone.  Any run of lines, of length l, is an interval too: that of the suffixes with one rank for the first 2**k lines and
+one rank for the last 2**k lines, for the largest 2**k up to l, so with a longest common prefix of l or more.  The first of
+them (by document id, then line) is the run's first place.
 
 A run qualifies with at least `min_words` words.  The maximal repeated runs that qualify are the unions of their least
 qualifying runs (from each line on, and up to each line), so those are looked up, and rounds end where they are covered.
 Every line of a qualifying run that begins earlier too is deleted; the first place of a run stays, unless another run's
-copy covers it.  Where copies overlap, the one that begins earlier is the first.
-
-Classes are 128-bit hashes instead of ordered ranks: only equality and the first place of an interval matter here.  Lines
-are compared without the ASCII white space at their ends.
+copy covers it.  Where copies overlap, the one that begins earlier is the first.  Lines are compared without the ASCII white
+space at their ends.
 
 Inputs that need a rule: a null text stays null and has no lines; lines without words belong to no run and stay, but a
 text left without words becomes empty; documents with a null id come last; rows alike in id and text are one document,
@@ -26,9 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranks import running_total
 from ..tables import stored
 from .common import rename_inputs
 
@@ -80,10 +81,13 @@ def _sequences(min_words: int):
     return run
 
 
-def _joined(name: str, a: Column, b: Column, c: Column, d: Column, length: Column | None = None) -> list[Column]:
-    """Two 64-bit hashes of a pair of classes."""
-    parts = [a, b, c, d] + ([length] if length is not None else [])
-    return [F.xxhash64(*parts).alias(f"{name}a"), F.xxhash64(F.lit(7), *parts).alias(f"{name}b")]
+def _ranked(here: DataFrame, step: int) -> DataFrame:
+    """Of suffixes with the classes a and b of their halves: lo, the left end of their interval; those alone in it go."""
+    many = here.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1")
+    many = running_total(many, [F.col("a").asc(), F.col("b").asc()], F.col("n"), "end")
+    # intervals are a table before they are joined back, so that a hot interval's side of the join can be split
+    many = stored(many.select("a", "b", (F.col("end") - F.col("n")).alias("lo")), f"intervals{step}")
+    return stored(here.join(many, ["a", "b"]).select(*_DOC, "place", "lo", "runs"), f"ranks{step}")
 
 
 def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -92,28 +96,25 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
     place = F.struct(*_DOC, "place")
     found, step = None, 1
     while True:
-        # a suffix alone in its class shares no run with another from here on; counts are tables before they are joined
-        # back, so that a hot class's side of the join can be split
-        many = stored(here.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b"), f"many{step}")
-        here = stored(here.join(many, ["a", "b"]), f"classes{step}")
-        sized = here.select(*_DOC, "place", "a", "b", F.explode(F.filter("runs", lambda x: (x >= step) & (x < 2 * step))).alias("length"))
+        here = _ranked(here, step)
+        sized = here.select(*_DOC, "place", "lo", F.explode(F.filter("runs", lambda x: (x >= step) & (x < 2 * step))).alias("length"))
         if step > 1:
-            tail = here.select(*_DOC, F.col("place").alias("tail"), F.col("a").alias("c"), F.col("b").alias("d"))
+            tail = here.select(*_DOC, F.col("place").alias("tail"), F.col("lo").alias("end"))
             sized = sized.withColumn("tail", F.col("place") + F.col("length") - step).join(tail, [*_DOC, "tail"])
         else:
-            sized = sized.withColumn("c", F.col("a")).withColumn("d", F.col("b"))
-        sized = sized.select(*_DOC, "place", "length", *_joined("r", F.col("a"), F.col("b"), F.col("c"), F.col("d"), F.col("length")))
-        firsts = sized.groupBy("ra", "rb").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("ra", "rb", "first")
+            sized = sized.withColumn("end", F.col("lo"))
+        sized = sized.select(*_DOC, "place", "lo", "end", "length")
+        firsts = sized.groupBy("lo", "end", "length").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
         firsts = stored(firsts, f"firsts{step}")
-        later = sized.join(firsts, ["ra", "rb"]).where(place != F.col("first")).select(*_DOC, "place", "length")
+        later = sized.join(firsts, ["lo", "end", "length"]).where(place != F.col("first")).select(*_DOC, "place", "length")
         later = stored(later, f"later{step}")
         found = later if found is None else found.union(later)
         # suffixes from which a longer run is still to be looked up, and those that its end needs
         longest = here.agg(F.max(F.array_max("runs"))).first()[0]
         if not longest or longest < 2 * step:
             break
-        ahead = here.select(*_DOC, (F.col("place") - step).alias("place"), F.col("a").alias("c"), F.col("b").alias("d"))
-        here = here.join(ahead, [*_DOC, "place"]).select(*_DOC, "place", *_joined("", F.col("a"), F.col("b"), F.col("c"), F.col("d")), "runs")
+        ahead = here.select(*_DOC, (F.col("place") - step).alias("place"), F.col("lo").alias("b"))
+        here = here.join(ahead, [*_DOC, "place"]).select(*_DOC, "place", F.col("lo").alias("a"), "b", "runs")
         step *= 2
     return found.groupBy(*_DOC).agg(F.collect_list(F.struct("place", "length")).alias("cut"))
 

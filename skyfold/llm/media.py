@@ -1,8 +1,12 @@
 """Media columns: progressive JPEG to full-resolution RGB tensors.
 
 The scans of a progressive file are accumulated into coefficient arrays: spectral selection says which of the 64
-coefficients a scan has, successive approximation which bits of them.  The arrays are inverse-transformed by one matrix
-product, chroma is repeated up to the luma's size, and the result is a height x width x 3 tensor of bytes.
+coefficients a scan has, successive approximation which bits of them.  The arrays are inverse-transformed strip by strip, by
+one matrix product each; chroma is repeated up to the luma's size, and the result is a height x width x 3 tensor of bytes,
+as one value (`rgb_columns`) or as a table of its strips (`rgb_strips`).
+
+Files are read and written in runs of blocks too, so that beside payload, file and coefficients (two bytes each) no array
+grows with the file.
 
 `decode` reads any Huffman-coded progressive file of 8-bit samples with 1 or 3 components.  A scan whose layout is fixed
 (one symbol in its table, or only raw bits) is read by array operations; any other scan symbol by symbol.
@@ -129,8 +133,14 @@ def _tables(body: bytes) -> dict[tuple[int, int], Table]:
     return out
 
 
-def _bits_of(data: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(data, np.uint8), count=n)
+#: Blocks that are read, written or transformed at a time; a multiple of 8, so that runs begin with a byte.
+RUN = 4096
+
+
+def _bits_of(data: bytes, n: int, skip: int = 0) -> np.ndarray:
+    """n bits from bit `skip` on; past the end come zeros."""
+    own = np.frombuffer(data, np.uint8)[skip >> 3 : (skip + n + 7) >> 3]
+    return np.unpackbits(own, count=(skip & 7) + n)[skip & 7 :]
 
 
 def _numbers(bits: np.ndarray, skip: int, size: int) -> np.ndarray:
@@ -190,9 +200,11 @@ def _ac_first(blocks: np.ndarray, table: Table, pieces: list[bytes], first: int,
     n, width = len(blocks), last - first + 1
     if len(pieces) == 1 and table.only and table.only[1] >> 4 == 0 and table.only[1]:
         code, size = table.only
-        got = _numbers(_bits_of(pieces[0], n * width * (code + size)), code, size)
-        got = np.where(got >> (size - 1) & 1, got, got - (1 << size) + 1)
-        blocks[:, first : last + 1] = got.reshape(n, width) << low
+        for i in range(0, n, RUN):
+            m = min(RUN, n - i)
+            got = _numbers(_bits_of(pieces[0], m * width * (code + size), i * width * (code + size)), code, size)
+            got = np.where(got >> (size - 1) & 1, got, got - (1 << size) + 1)
+            blocks[i : i + m, first : last + 1] = got.reshape(m, width) << low
         return
     for i, piece in enumerate(pieces):
         bits, run = Bits(piece), 0
@@ -226,7 +238,7 @@ def _ac_refine(blocks: np.ndarray, table: Table, pieces: list[bytes], first: int
                 band = blocks[b:to, first : last + 1]
                 live = band != 0
                 count = int(live.sum())
-                raw = _bits_of(piece[bits.at >> 3 :], (bits.at & 7) + count)[bits.at & 7 :]
+                raw = _bits_of(piece, count, bits.at)
                 old = band[live]
                 band[live] = old + np.sign(old) * (raw.astype(np.int32) << low)
                 bits.at += count
@@ -297,7 +309,7 @@ def decode(data: bytes) -> Frame:
             my, mx = frame.mcus
             hm, vm = max(c.h for c in parts), max(c.v for c in parts)
             for c in parts:
-                c.coef = np.zeros((my * c.v, mx * c.h, 64), np.int32)
+                c.coef = np.zeros((my * c.v, mx * c.h, 64), np.int16)  # samples have 8 bits
                 c.rows, c.cols = -(-(-(-height * c.v // vm)) // 8), -(-(-(-width * c.h // hm)) // 8)
         elif kind in (0xC0, 0xC1, 0xC3, *range(0xC5, 0xC8), *range(0xC9, 0xCC), *range(0xCD, 0xD0)):
             raise ValueError(f"not a Huffman-coded progressive file: marker {kind:#x}")
@@ -334,36 +346,50 @@ def decode(data: bytes) -> Frame:
     return frame
 
 
-def samples(c: Component, frame: Frame) -> np.ndarray:
-    """The component's samples, level-shifted, not yet clipped."""
-    rows, cols = c.coef.shape[:2]
-    scaled = c.coef.reshape(-1, 64).astype(np.float32)
+def _samples(c: Component, frame: Frame, begin: int, end: int) -> np.ndarray:
+    """The component's samples in MCU rows begin to end, level-shifted and clipped."""
+    coef = c.coef[begin * c.v : end * c.v]
+    rows, cols = coef.shape[:2]
+    scaled = coef.reshape(-1, 64).astype(np.float32)
     quant = frame.quants[c.quant]
     if (quant != 1).any():
         scaled *= quant.astype(np.float32)
     out = scaled @ inverse()
-    return out.reshape(rows, cols, 8, 8).transpose(0, 2, 1, 3).reshape(rows * 8, cols * 8) + np.float32(128)
+    out += np.float32(128)
+    np.clip(np.rint(out, out=out), 0, 255, out=out)
+    return out.reshape(rows, cols, 8, 8).transpose(0, 2, 1, 3).reshape(rows * 8, cols * 8)
+
+
+def strips(frame: Frame) -> Iterator[tuple[int, np.ndarray]]:
+    """The tensor in strips of whole MCU rows: the first pixel row, and rows x width x 3 bytes."""
+    hm, vm = max(c.h for c in frame.parts), max(c.v for c in frame.parts)
+    my, mx = frame.mcus
+    step = max(1, RUN // (mx * sum(c.h * c.v for c in frame.parts)))
+    for begin in range(0, my, step):
+        top = begin * 8 * vm
+        height = min(frame.height, (begin + step) * 8 * vm) - top
+        planes = []
+        for c in frame.parts:
+            p = _samples(c, frame, begin, min(my, begin + step))
+            if vm > c.v:
+                p = np.repeat(p, vm // c.v, 0)
+            if hm > c.h:
+                p = np.repeat(p, hm // c.h, 1)
+            planes.append(p[:height, : frame.width])
+        if len(planes) == 1:
+            yield top, np.repeat(planes[0].astype(np.uint8)[:, :, None], 3, 2)
+            continue
+        y, cb, cr = planes[0], planes[1] - np.float32(128), planes[2] - np.float32(128)
+        out = np.empty((*y.shape, 3), np.float32)
+        out[..., 0] = y + np.float32(1.402) * cr
+        out[..., 1] = y - np.float32(0.344136) * cb - np.float32(0.714136) * cr
+        out[..., 2] = y + np.float32(1.772) * cb
+        yield top, np.clip(np.rint(out, out=out), 0, 255, out=out).astype(np.uint8)
 
 
 def rgb(frame: Frame) -> np.ndarray:
     """height x width x 3 bytes; chroma is repeated up to full resolution."""
-    hm, vm = max(c.h for c in frame.parts), max(c.v for c in frame.parts)
-    planes = []
-    for c in frame.parts:
-        p = np.clip(np.rint(samples(c, frame)), 0, 255)
-        if vm > c.v:
-            p = np.repeat(p, vm // c.v, 0)
-        if hm > c.h:
-            p = np.repeat(p, hm // c.h, 1)
-        planes.append(p[: frame.height, : frame.width])
-    if len(planes) == 1:
-        return np.repeat(planes[0].astype(np.uint8)[:, :, None], 3, 2)
-    y, cb, cr = planes[0], planes[1] - np.float32(128), planes[2] - np.float32(128)
-    out = np.empty((*y.shape, 3), np.float32)
-    out[..., 0] = y + np.float32(1.402) * cr
-    out[..., 1] = y - np.float32(0.344136) * cb - np.float32(0.714136) * cr
-    out[..., 2] = y + np.float32(1.772) * cb
-    return np.clip(np.rint(out, out=out), 0, 255, out=out).astype(np.uint8)
+    return np.concatenate([strip for _, strip in strips(frame)])
 
 
 def rgb_columns(files: DataFrame, key: str = "key", data: str = "data") -> DataFrame:
@@ -380,6 +406,24 @@ def rgb_columns(files: DataFrame, key: str = "key", data: str = "data") -> DataF
     return rename_inputs(files, key=key, data=data).mapInArrow(run, "key bigint, height int, width int, rgb binary")
 
 
+def rgb_strips(files: DataFrame, key: str = "key", data: str = "data") -> DataFrame:
+    """(key, height, width, top, rgb): the tensors in strips, each from pixel row `top` on.  A null file has one null strip.
+
+    However large a file is, a row holds some `RUN` blocks.
+    """
+    schema = pa.schema([("key", pa.int64()), ("height", pa.int32()), ("width", pa.int32()), ("top", pa.int32()), ("rgb", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, value in zip(batch["key"].to_pylist(), batch["data"], strict=True):
+                frame = decode(value.as_py()) if value.is_valid else None
+                rows = [(key, None, None, None, None)] if frame is None else ((key, frame.height, frame.width, top, strip.tobytes()) for top, strip in strips(frame))
+                for row in rows:
+                    yield pa.record_batch([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
+
+    return rename_inputs(files, key=key, data=data).mapInArrow(run, "key bigint, height int, width int, top int, rgb binary")
+
+
 # Storing a payload
 
 BLOCK = 64
@@ -402,11 +446,29 @@ _HEAD_TABLES = _one_code(0, 0, [9]) + _one_code(1, 0, [8]) + _one_code(1, 1, [r
 _QUANT = _segment(0xDB, bytes([0]) + bytes([1] * 64))
 
 
+class _Writer:
+    """Entropy-coded bytes out of rows of bits; what doesn't fill a byte waits for more."""
+
+    def __init__(self):
+        self.out, self.rest = bytearray(), np.zeros(0, np.uint8)
+
+    def put(self, bits: np.ndarray) -> None:
+        if len(self.rest):
+            bits = np.concatenate([self.rest, bits])
+        whole = len(bits) & ~7
+        self.out += np.packbits(bits[:whole]).tobytes().replace(b"\xff", b"\xff\x00")
+        self.rest = bits[whole:]
+
+    def done(self) -> bytes:
+        if len(self.rest):
+            self.put(np.ones(8 - len(self.rest), np.uint8))
+        return bytes(self.out)
+
+
 def _stuffed(bits: np.ndarray) -> bytes:
-    spare = -len(bits) % 8
-    if spare:
-        bits = np.concatenate([bits, np.ones(spare, np.uint8)])
-    return np.packbits(bits).tobytes().replace(b"\xff", b"\xff\x00")
+    w = _Writer()
+    w.put(bits)
+    return w.done()
 
 
 def _with_code(bits: np.ndarray) -> np.ndarray:
@@ -451,21 +513,24 @@ def encode_payload(payload: bytes) -> bytes:
         own = raw[:, :, a:b].reshape(rows, cols, v, h, BLOCK).transpose(0, 2, 1, 3, 4).reshape(-1, BLOCK)
         planes.append((ident, own))
         for first, last in _BANDS:
-            high = (own[:, first : last + 1] >> 1) | 128
-            out += [_scan([(ident, 0)], first, last, 0, 1), _stuffed(_with_code(np.unpackbits(high.reshape(-1, 1), axis=1)))]
+            w = _Writer()
+            for k in range(0, len(own), RUN):
+                high = (own[k : k + RUN, first : last + 1] >> 1) | 128
+                w.put(_with_code(np.unpackbits(high.reshape(-1, 1), axis=1)))
+            out += [_scan([(ident, 0)], first, last, 0, 1), w.done()]
     out += [_scan([(1, 0), (2, 0), (3, 0)], 0, 0, 1, 0), _stuffed((dc & 1).astype(np.uint8).ravel())]
     for ident, own in planes:
         for first, last in _BANDS:
-            low = own[:, first : last + 1] & 1
-            bits, at = [], 0
-            while at < len(low):
-                r = min(14, (len(low) - at).bit_length() - 1)
-                count = min(len(low) - at, (2 << r) - 1)
+            w, at = _Writer(), 0
+            while at < len(own):
+                r = min(14, (len(own) - at).bit_length() - 1)
+                count = min(len(own) - at, (2 << r) - 1)
                 # a code of five bits is the run's size category, then come the run's bits and the corrections
                 head = f"{r:05b}" + (f"{count - (1 << r):0{r}b}" if r else "")
-                bits += [np.frombuffer(head.encode(), np.uint8) - 48, low[at : at + count].ravel()]
+                low = own[at : at + count, first : last + 1] & 1
+                w.put(np.concatenate([np.frombuffer(head.encode(), np.uint8) - 48, low.ravel()]))
                 at += count
-            out += [_scan([(ident, 1)], first, last, 1, 0), _stuffed(np.concatenate(bits))]
+            out += [_scan([(ident, 1)], first, last, 1, 0), w.done()]
     return b"".join([*out, b"\xff\xd9"])
 
 
@@ -489,9 +554,11 @@ def stored_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         media = encode_payload(raw + bytes(-len(raw) % BLOCK or (0 if raw else BLOCK)))
         frame = decode(media)
         back = payload_of(frame)
-        image = rgb(frame)
-        means = image.reshape(-1, 3).sum(0, dtype=np.int64) / (image.size // 3)
-        feature = f"{image.shape[0]}x{image.shape[1]} " + " ".join(f"{m:.2f}" for m in means)
+        sums = np.zeros(3, np.int64)
+        for _, strip in strips(frame):
+            sums += strip.reshape(-1, 3).sum(0, dtype=np.int64)
+        means = sums / (frame.height * frame.width)
+        feature = f"{frame.height}x{frame.width} " + " ".join(f"{m:.2f}" for m in means)
         return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

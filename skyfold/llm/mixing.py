@@ -18,7 +18,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..tables import stored
@@ -29,7 +29,19 @@ EPOCHS = 2
 SEED = 17
 #: Ordered slices of a leaf's stream in each epoch; a task sorts one at a time, however many rows the leaf holds.
 SLICES = 4096
-_ROOT = ()
+# The production targets.  A node's weight is its share beside its siblings'; null is below the node meant, and a
+# node without a line here has weight 1.
+DOMAINS, LANGS = ("domain0", "domain1", "domain2", "domain3", "other"), ("en", "fr", "de", "es")
+TARGETS = (
+    ("domain0", None, None, 2.0),
+    *((d, "en", None, 4.0) for d in DOMAINS),
+    *(("domain0", x, "src0", 6.0) for x in LANGS),
+)
+
+
+def targets(spark: SparkSession) -> DataFrame:
+    """The production weights as a table."""
+    return spark.createDataFrame(list(TARGETS), ", ".join(f"{c} string" for c in LEVELS) + ", weight double")
 
 
 def source_domain(source: Column) -> Column:
@@ -136,11 +148,13 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
 def resample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """The documents with their own columns, each as often as the mix takes it."""
-    key = F.xxhash64(F.col("_id"), F.col("_t"))
     taken = mix(docs, doc_id, text, **settings).where("copies > 0").withColumn("_id", F.col("doc_id"))
     taken = taken.groupBy("_id", "_t", *LEVELS).agg(F.max("copies").alias("copies"))
-    d = docs.select(F.struct("*").alias("_row"), docs[f"`{doc_id}`"].alias("_id"), F.md5(docs[f"`{text}`"]).alias("_t"), docs[f"`{settings.get('lang', 'lang')}`"].alias("_l"), docs[f"`{settings.get('source', 'source')}`"].alias("_s"))
-    t = taken.select(key.alias("_key"), F.col("lang").alias("_tl"), F.col("source").alias("_ts"), "copies")
+    lang, source = settings.get("lang", "lang"), settings.get("source", "source")
+    d = docs.select(F.struct("*").alias("_row"), docs[f"`{doc_id}`"].alias("_id"), F.md5(docs[f"`{text}`"]).alias("_t"), docs[f"`{lang}`"].alias("_l"), docs[f"`{source}`"].alias("_s"))
+    t = taken.select(F.col("_id").alias("_tid"), F.col("_t").alias("_tt"), F.col("lang").alias("_tl"), F.col("source").alias("_ts"), "copies")
     # rows alike in id, text, language and source share one fate
-    d = d.withColumn("_key", key).join(t, "_key").where(F.col("_l").eqNullSafe(F.col("_tl")) & F.col("_s").eqNullSafe(F.col("_ts")))
-    return d.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
+    on = F.lit(True)
+    for a, b in (("_id", "_tid"), ("_t", "_tt"), ("_l", "_tl"), ("_s", "_ts")):
+        on = on & F.col(a).eqNullSafe(F.col(b))
+    return d.join(t, on).select("_row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("_row.*")

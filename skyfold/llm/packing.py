@@ -4,7 +4,8 @@ Documents become token pieces of at most one sequence.  Pieces that fill a seque
 dealt over partitions, each packed by best-fit decreasing.  Dual feasible functions give a lower bound on the sequences
 that a partition needs: one that meets its bound is certified and done.  A partition with a gap gives up the documents
 of its sequences that are not full; those of all such partitions are exchanged (dealt anew, over fewer partitions) and
-packed again, for a stated number of rounds.
+packed again, as long as that lowers the sum of the gaps.  Each row says how many sequences its part of the packing has
+and the bound on them, so what stays without a certificate is seen: part_bins is above part_bound.
 
 Inputs that need a rule: a null text is an empty one, which is the single end id; repeated rows are documents of their
 own; a null id stays null; an empty table gives an empty result.
@@ -29,7 +30,8 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces for one packing task.  More of them waste less, and bound the task's memory (some 100 bytes each).
 PER_PARTITION = 1 << 16
-ROUNDS = 3
+#: Rounds at most; far fewer are run, as one that doesn't lower the gaps is the last.
+ROUNDS = 100
 
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -40,7 +42,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
     A document longer than the capacity is cut from its end into pieces of the capacity, so the first may be shorter.
     """
     where = where or tokens.folder()
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.uint32()))] * ids)
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,14 +51,10 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
                 found = np.append(tokens.encode(text.as_py() or "", where), np.uint32(END_ID)).astype("<u4")
                 cuts = [0, *range(len(found) % capacity or capacity, len(found) + 1, capacity)]
                 for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    rows.append((key.as_py(), n, a, b - a, zlib.crc32(found[a:b].tobytes()), *[found[a:b]] * ids))
+                    rows.append((key.as_py(), n, a, b - a, zlib.crc32(found[a:b].tobytes()), *[found[a:b].view("<i4")] * ids))
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=False)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
-    shape = _PIECES + ", ids array<bigint>" * ids
-    out = rename_inputs(docs, doc_id=doc_id, text=text)
-    if ids:
-        schema = schema.set(5, pa.field("ids", pa.list_(pa.int64())))
-    return out.mapInArrow(run, shape)
+    return rename_inputs(docs, doc_id=doc_id, text=text).mapInArrow(run, _PIECES + ", ids array<int>" * ids)
 
 
 def lower_bound(sizes: np.ndarray, capacity: int = CAPACITY, steps: int = 40) -> int:
@@ -103,50 +101,66 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np
     return bins, offsets, made
 
 
-def _packer(capacity: int, step: int, final: bool) -> Callable[[pa.Table], pa.Table]:
-    """Packs a partition; _open marks what it gives up for the next round."""
+def _packer(capacity: int, step: int) -> Callable[[pa.Table], pa.Table]:
+    """Packs a partition; _open marks what a partition without a certificate gives up."""
 
     def run(part: pa.Table) -> pa.Table:
+        number = part["_part"][0].as_py() if part.num_rows else 0
         part = part.drop_columns("_part")
         sizes, keys = part["length"].to_numpy().astype(np.int64), part["_key"].to_numpy()
         bins, offsets, made = best_fit_decreasing(sizes, capacity)
         first = np.full(made, np.iinfo(np.int64).max)
         np.minimum.at(first, bins, keys)
         fill = np.bincount(bins, weights=sizes, minlength=made)
-        certified = final or made == lower_bound(sizes, capacity)
-        freed = np.zeros(len(bins), bool) if certified else (fill < capacity)[bins]
-        # a sequence is named after the least key in it: no other sequence of this round has that piece
-        for name, values in (("sequence_id", first[bins] * 8 + step), ("offset", offsets), ("_open", freed)):
-            part = part.append_column(name, pa.array(values))
+        bound = lower_bound(sizes, capacity)
+        gives = fill < capacity if made > bound else np.zeros(made, bool)
+        freed = gives[bins]
+        closed = int((~gives).sum())
+        # full sequences are as few as can be; the others are held against the bound of what is in them
+        rest = lower_bound(sizes[freed], capacity) if freed.any() else 0
+        values = {
+            "sequence_id": first[bins],  # the least key in it: no other sequence has that piece
+            "offset": offsets,
+            "part": (2 * step + freed) * (1 << 32) + number,
+            "part_bins": np.where(freed, made - closed, closed),
+            "part_bound": np.where(freed, rest, bound if not freed.any() else closed),
+            "_open": freed,
+        }
+        for name, column in values.items():
+            part = part.append_column(name, pa.array(column))
         return part
 
     return run
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PARTITION, rounds: int = ROUNDS) -> DataFrame:
-    """items (at least: length, at most the capacity) with sequence_id and offset.
+    """items (at least: length, at most the capacity) with sequence_id, offset, part, part_bins and part_bound.
 
-    sequence_id is unique over rounds and partitions.  items are written to the shared folder once, with a row key that
-    holds from there on; so is each round's result, as the next round and the answer both read it.
+    sequence_id is unique over rounds and partitions.  part: what was certified, or not, as one; the sequences in it and the
+    bound on them.  A piece that fills a sequence is a part of its own (null).  items are written to the shared folder once,
+    with a row key that holds from there on; so is each round's result, as the next round and the answer both read it.
     """
     items = stored(items.withColumn("_key", F.monotonically_increasing_id()), "pieces")
     kept = items.columns
-    schema = T.StructType([*items.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("_open", T.BooleanType())])
+    more = [T.StructField(c, T.LongType()) for c in ("sequence_id", "offset", "part", "part_bins", "part_bound")]
+    schema = T.StructType([*items.schema.fields, *more, T.StructField("_open", T.BooleanType())])
     full = F.col("length") >= capacity
-    # keys are below 2**63 / 8: whole pieces take the odd multiples of 4 beside the packed ones
-    done = [items.where(full).select(*kept, (F.col("_key") * 8 + 7).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
-    left = items.where(~full)
+    one, none = F.lit(1).cast("long"), F.lit(None).cast("long")
+    done = [items.where(full).select(*kept, F.col("_key").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), none.alias("part"), one.alias("part_bins"), one.alias("part_bound"))]
+    left, last = items.where(~full), None
     for step in range(rounds):
         n = left.count()
         if not n:
             break
         parts = -(-n // per_partition)
-        final = step == rounds - 1 or parts == 1
-
         dealt = left.withColumn("_part", F.pmod(F.xxhash64("_key", F.lit(step)), F.lit(parts)))
-        out = stored(dealt.groupBy("_part").applyInArrow(_packer(capacity, step, final), schema), "packed")
+        out = stored(dealt.groupBy("_part").applyInArrow(_packer(capacity, step), schema), "packed")
+        gap = out.where("_open").select("part", "part_bins", "part_bound").distinct().agg(F.sum(F.col("part_bins") - F.col("part_bound"))).first()[0]
+        if gap is None or parts == 1 or step == rounds - 1 or last is not None and gap >= last:
+            done.append(out.drop("_open"))
+            break
         done.append(out.where("NOT _open").drop("_open"))
-        left = out.where("_open").select(*kept)
+        left, last = out.where("_open").select(*kept), gap
     result = done[0]
     for part in done[1:]:
         result = result.unionByName(part)

@@ -72,7 +72,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing as m
 
-    return m.mix(table(spark, sf_dir, "documents")).drop("_t")
+    return m.mix(table(spark, sf_dir, "documents"), weights=m.targets(spark)).drop("_t")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -122,24 +122,35 @@ _OP6 = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(o
 
 
 def _filled(depth: int) -> str:
-    """A level's budgets: children by capacity are full up to some place, those behind it share what is left."""
+    """A level's budgets: children by capacity for their weight are full up to some place, those behind it share what is left."""
     keys = ["domain", "lang", "source"][:depth]
     outer, cols = keys[:-1], ", ".join(keys)
     part = f"PARTITION BY {', '.join(outer)} " if outer else ""
+    own = f"PARTITION BY {', '.join(f'l.{k}' for k in outer) or '1'} ORDER BY cap / w, {', '.join(f'l.{k} NULLS FIRST' for k in keys)} ROWS BETWEEN"
     on = " AND ".join(f"l.{k} IS NOT DISTINCT FROM p.{k}" for k in outer)
     pot = f"f{depth - 1} p ON {on}" if outer else "(SELECT CAST(sum(tokens) AS DOUBLE) AS budget FROM leaf) p ON true"
+    mine = " AND ".join([f"c.{k} IS NOT DISTINCT FROM wt.{k}" for k in keys] + [f"wt.{keys[-1]} IS NOT NULL"] + [f"wt.{k} IS NULL" for k in ["domain", "lang", "source"][depth:]])
     return f"""
-  l{depth} AS (SELECT {cols}, CAST(sum(2 * tokens) AS BIGINT) AS cap FROM leaf GROUP BY {cols}),
-  m{depth} AS (SELECT *, greatest(pot - done, 0) / open AS mark FROM (SELECT {', '.join(f'l.{k}' for k in keys)}, cap, p.budget AS pot,
-    CAST(coalesce(sum(cap) OVER (PARTITION BY {', '.join(f'l.{k}' for k in outer) or '1'} ORDER BY cap, {', '.join(f'l.{k} NULLS FIRST' for k in keys)} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS done,
-    count(*) OVER (PARTITION BY {', '.join(f'l.{k}' for k in outer) or '1'} ORDER BY cap, {', '.join(f'l.{k} NULLS FIRST' for k in keys)} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM l{depth} l JOIN {pot})),
-  f{depth} AS (SELECT {cols}, CASE WHEN cap <= mark THEN CAST(cap AS DOUBLE) ELSE least(min(CASE WHEN cap > mark THEN {{'c': cap, 'm': mark}} END) OVER ({part.strip()}).m, CAST(cap AS DOUBLE)) END AS budget FROM m{depth}),"""
+  c{depth} AS (SELECT {cols}, CAST(sum(2 * tokens) AS BIGINT) AS cap FROM leaf GROUP BY {cols}),
+  l{depth} AS (SELECT {', '.join(f'c.{k}' for k in keys)}, cap, coalesce(wt.weight, 1.0) AS w FROM c{depth} c LEFT JOIN wt ON {mine}),
+  m{depth} AS (SELECT *, greatest(pot - done, 0) / open AS mark FROM (SELECT {', '.join(f'l.{k}' for k in keys)}, cap, w, p.budget AS pot,
+    CAST(coalesce(sum(cap) OVER ({own} UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS done,
+    sum(w) OVER ({own} CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM l{depth} l JOIN {pot})),
+  f{depth} AS (SELECT {cols}, CASE WHEN cap <= mark * w THEN CAST(cap AS DOUBLE) ELSE least(min(CASE WHEN cap > mark * w THEN {{'c': cap / w, 'm': mark}} END) OVER ({part.strip()}).m * w, CAST(cap AS DOUBLE)) END AS budget FROM m{depth}),"""
+
+
+def _weights() -> str:
+    from .mixing import TARGETS
+
+    shown = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else f"CAST({x!r} AS DOUBLE)"
+    return f"wt(domain, lang, source, weight) AS (VALUES {', '.join('(' + ', '.join(map(shown, row)) + ')' for row in TARGETS)})"
 
 
 #: The same levels, and the streams by their running sums over the whole leaf.
 _OP10 = f"""WITH t AS (
     SELECT doc_id, lang, source, CASE WHEN regexp_full_match(coalesce(source, ''), 'src[0-9]{{1,9}}') THEN 'domain' || (CAST(source[4:] AS INTEGER) % 4) ELSE 'other' END AS domain,
       CAST(len(list_filter(string_split_regex(coalesce(text, ''), '{_GAP}'), lambda x: x <> '')) AS BIGINT) AS n_tokens, md5(text) AS t FROM documents),
+  {_weights()},
   leaf AS (SELECT domain, lang, source, sum(n_tokens) AS tokens FROM t GROUP BY 1, 2, 3),{_filled(1)}{_filled(2)}{_filled(3)}
   b AS (SELECT f.domain, f.lang, f.source, CAST(floor(budget + 1e-6) AS BIGINT) AS leaf_budget, CAST(tokens AS BIGINT) AS tokens FROM f3 f JOIN leaf ON f.domain = leaf.domain AND f.lang IS NOT DISTINCT FROM leaf.lang AND f.source IS NOT DISTINCT FROM leaf.source),
   e AS (SELECT *, CASE WHEN tokens > 0 THEN leaf_budget // tokens ELSE 1 END AS whole, CASE WHEN tokens > 0 THEN leaf_budget % tokens ELSE 0 END AS rest FROM b),

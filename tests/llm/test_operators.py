@@ -194,6 +194,77 @@ def test_jaccard_large_group(spark, monkeypatch, part, links):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(h.jaccard_components(list(enumerate(texts))))
 
 
+@pytest.mark.parametrize("bits", [3, 8])
+def test_jaccard_clashing_hashes(spark, bits):
+    """Sets whose first hashes agree are still told apart."""
+    from skyfold.llm import jaccard_join as m
+
+    texts = h.corpus(7, 60)
+    got = m.join(documents(spark, texts), bits=bits).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(h.jaccard_components(list(enumerate(texts))))
+
+
+def test_jaccard_hot_shingles(spark, monkeypatch):
+    """With nearly all shingles counted as frequent, and more than the limit of them, links are the same."""
+    from skyfold.llm import jaccard_join as m
+
+    monkeypatch.setattr(m, "HOT_IN_ALL", 2)
+    texts = h.corpus(8, 60) * 4
+    d = documents(spark, texts)
+    found = m.survey(d.select(F.coalesce("text", F.lit("")).alias("text")), m.THRESHOLD)
+    assert len(found.hot) > 100
+    got = m.join(d).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(h.jaccard_components(list(enumerate(texts))))
+
+
+def test_jaccard_large_tile_is_linear(spark, monkeypatch):
+    """The rows that a tile's cells are dealt into grow with the nodes, when one component has nearly all of them."""
+    from skyfold.llm import jaccard_join as m
+
+    monkeypatch.setattr(m, "PART", 100)
+    seen = []
+    plain = m.stored
+    monkeypatch.setattr(m, "stored", lambda df, name: seen.append((name, plain(df, name))) or seen[-1][1])
+    monkeypatch.setattr(m, "_blocks", lambda t: lambda batches: (b.select(["tile", "node"]).rename_columns(["a", "b"]) for b in batches))
+    rows = []
+    for n in (5_000, 50_000):
+        nodes = spark.range(n + 1).select(F.col("id").alias("node"), F.lit(100).cast("long").alias("n"), F.lit(b"12345678").alias("data"))
+        tiles = nodes.select(F.lit(1).cast("long").alias("tile"), "node", F.lit(9430).cast("int").alias("size"))
+        roots = nodes.where(F.col("node") < n).select("node", F.lit(0).cast("long").alias("root"))
+        m._across(tiles, roots, nodes, m.THRESHOLD)
+        meets, inside = (dict(seen)[x] for x in ("meets", "inside"))
+        # each node of a cell goes to every block of the cell
+        rows.append(meets.count() * 100 + inside.count())
+    assert rows[1] < 15 * rows[0]
+
+
+def test_one_of_each(spark):
+    """Of rows alike in id and text the same one stays in every run; rows of one id are told apart by their texts."""
+    from skyfold.llm import jaccard_join as m
+
+    words = h.vocabulary(3)
+    a, b = " ".join(words[:100]), " ".join(words[100:200])
+    rows = [(1, a, "en", f"src{i}", 1) for i in range(20)] + [(1, b, "en", "s", 1), (2, a + " x", "en", "s", 1), (None, a, None, None, None), (3, None, None, "s", None), (4, "", None, "s", None)]
+    runs = [sorted(map(str, m.one_of_each(spark.createDataFrame(rows, DOCS).repartition(n)).collect())) for n in (1, 5)]
+    assert runs[0] == runs[1] and len(runs[0]) == 4
+    assert m.one_of_each(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_one_of_each_by_earlier_texts(spark):
+    """A document whose text was cut to a fragment since is still a near copy of what its text was."""
+    from skyfold.llm import jaccard_join as m
+
+    words = h.vocabulary(4, 2000)
+    first, near = words[:100], [*words[:99], "other"]
+    before = [(1, " ".join(first)), (2, " ".join(near)), (3, " ".join(words[300:400])), (4, None), (5, "x y"), (5, " ".join(near)), (None, " ".join(first)), (7, " ".join(words[500:600])), (8, " ".join(words[700:800]))]
+    now = [(1, " ".join(first)), (2, "other"), (3, " ".join(words[300:400])), (4, None), (5, "x y"), (5, "other things"), (7, " ".join(words[500:520])), (8, " ".join(words[500:520])), (9, "new")]
+    table = lambda rows: spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+    got = sorted((r.doc_id, r.text) for r in m.one_of_each(table(now), before=table(before)).collect() if r.text)
+    # 2 goes with 1 by its earlier text, 8 with 7 by their texts now; rows that share an id have no earlier text
+    assert [k for k, _ in got] == [1, 3, 5, 5, 7, 9]
+    assert m.one_of_each(table([]), before=table(before)).count() == 0 and m.one_of_each(table(now), before=table([])).count() == 8
+
+
 # 4
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><a href=/>Home</a> Site</header><nav><ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul></nav>
@@ -430,6 +501,42 @@ def test_media(spark):
     assert len({(r.media_sha256, r.feature) for r in got.values()}) == len({t or "" for t in texts})
 
 
+def test_media_long_text():
+    """A long payload comes back, and no array beside payload, file and coefficients grows with it."""
+    import tracemalloc
+
+    from skyfold.llm import media as m
+
+    payload = np.random.default_rng(0).integers(0, 256, 64 * 100_000, np.uint8).tobytes()
+    tracemalloc.start()
+    media = m.encode_payload(payload)
+    frame = m.decode(media)
+    assert m.payload_of(frame) == payload
+    for _ in m.strips(frame):
+        pass
+    assert tracemalloc.get_traced_memory()[1] < 9 * len(payload)
+    tracemalloc.stop()
+
+
+def test_media_strips(spark, tmp_path):
+    """The table of strips, stored and read again, is the tensor."""
+    from skyfold.llm import media as m
+
+    payloads = [np.random.default_rng(i).integers(0, 256, 64 * n, np.uint8).tobytes() for i, n in enumerate((1, 700, 20_000))]
+    files = spark.createDataFrame([(i, bytearray(m.encode_payload(p))) for i, p in enumerate(payloads)] + [(9, None)], "key long, data binary")
+    m.rgb_strips(files).write.parquet(str(tmp_path / "strips"))
+    got = defaultdict(list)
+    for r in spark.read.parquet(str(tmp_path / "strips")).collect():
+        got[r.key].append(r)
+    assert len(got[9]) == 1 and got[9][0].rgb is None and len(got[2]) > 1
+    whole = {r.key: r for r in m.rgb_columns(files).collect()}
+    for i, p in enumerate(payloads):
+        want = m.rgb(m.decode(m.encode_payload(p)))
+        parts = sorted(got[i], key=lambda r: r.top)
+        assert b"".join(bytes(r.rgb) for r in parts) == want.tobytes() == bytes(whole[i].rgb)
+        assert {(r.height, r.width) for r in parts} == {want.shape[:2]}
+
+
 class Writer:
     """A scalar entropy coder: codes of eight bits for every symbol."""
 
