@@ -5,9 +5,15 @@ one's docs.  All but the last return the columns of documents:
 
     quality_rules   documents that the rules reject go
     line_dedup      lines of runs that occurred before go from the texts; a document left without a line goes
-    jaccard_join    of each component of near-duplicates the first document stays
-    mixing          each document as often as its leaf's stream passes it, up to twice
-    packing         a row for each token piece, with its sequence and its place there
+    jaccard_join    of each component of near-duplicates the first document stays; documents are held by the texts that
+                    they have now and by those that they came with, as line dedup leaves only fragments of a later copy
+    mixing          each document as often as its leaf's stream passes it, up to twice, by the weights in mixing.TARGETS
+    packing         a row for each token piece, with its ids, its sequence and its place there
+
+Rules for odd inputs, the stages' own apart (see their modules): a null text or one without 50 words goes in the first
+stage; rows alike in id and text are one document to line dedup and to the Jaccard join, which keeps one of them, the one
+whose other columns have the least hash; a null id is a document like any other; a column beyond those of documents, of
+whatever name, is carried along by all but the last stage; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,15 +36,16 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def jaccard_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.one_of_each(docs)
+    # near copies are told by the texts as they came in too: of a later copy line dedup leaves fragments
+    return jaccard_join.one_of_each(docs, before=table(spark, sf_dir, "documents"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.resample(docs)
+    return mixing.resample(docs, weights=mixing.targets(spark))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.pieces(docs))
+    return packing.pack(packing.pieces(docs, ids=True))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
