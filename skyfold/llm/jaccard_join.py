@@ -85,14 +85,14 @@ def shingle_rows(data: np.ndarray, at: np.ndarray, k: int = SHINGLE) -> tuple[np
     return np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
 
 
-def _nodes(flat: np.ndarray, cuts: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each row's set.  bits: of the first (fewer in tests)."""
-    size = np.diff(cuts).astype(_U)
-    out = []
-    for salt in (_TURNS, _U(0x2545F4914F6CDD1D)):
-        sums = np.concatenate([np.zeros(1, _U), np.cumsum(mix64(flat ^ salt), dtype=_U)])
-        out.append(mix64(sums[cuts[1:]] - sums[cuts[:-1]] + mix64(size ^ salt)))
-    return out[0] & _U((1 << bits) - 1), out[1]
+def _first(flat: np.ndarray, cuts: np.ndarray, bits: int = 64, salt: np.uint64 = _TURNS) -> np.ndarray:
+    """A hash of each row's set.  bits: how many of it are kept (fewer in tests)."""
+    sums = np.concatenate([np.zeros(1, _U), np.cumsum(mix64(flat ^ salt), dtype=_U)])
+    return mix64(sums[cuts[1:]] - sums[cuts[:-1]] + mix64(np.diff(cuts).astype(_U) ^ salt)) & _U((1 << bits) - 1)
+
+
+def _second(flat: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    return _first(flat, cuts, salt=_U(0x2545F4914F6CDD1D))
 
 
 @dataclass
@@ -108,9 +108,11 @@ class Survey:
     clashes: dict[tuple[int, int], int]
     entries: int
 
-    def named(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    def named(self, flat: np.ndarray, cuts: np.ndarray, bits: int) -> np.ndarray:
+        """The name of each row's set."""
+        first = _first(flat, cuts, bits)
         if self.clashes:
-            pairs = zip(first.tolist(), second.tolist(), strict=True)
+            pairs = zip(first.tolist(), _second(flat, cuts).tolist(), strict=True)
             first = np.array([self.clashes.get(p, p[0]) for p in pairs], _U)
         return first
 
@@ -121,10 +123,11 @@ def survey(docs: DataFrame, t: Fraction, k: int = SHINGLE, limit: int = HOT, bit
             flat, cuts = shingle_rows(*buffer_of(batch["text"]), k)
             found, count = np.unique(flat, return_counts=True)
             some = count >= HOT_IN_SLICE
-            first, second = _nodes(flat, cuts, bits)
-            first, once = np.unique(np.stack([first, second]), axis=1, return_index=True)
+            first, second = _first(flat, cuts, bits), _second(flat, cuts)
+            once = np.unique(first ^ second, return_index=True)[1] if bits == 64 else np.arange(len(first))
+            first, second = first[once], second[once]
             made = sum(_prefix(n, t) for n in np.diff(cuts)[once].tolist() if n)
-            a, b = np.concatenate([found[some], first[0]]), np.concatenate([count[some].astype(_U), first[1]])
+            a, b = np.concatenate([found[some], first]), np.concatenate([count[some].astype(_U), second])
             kind = np.concatenate([np.zeros(int(some.sum()), np.int8), np.ones(len(once), np.int8), [2]])
             a, b = np.append(a, _U(0)), np.append(b, _U(made))
             yield pa.record_batch([pa.array(kind.astype(np.int8)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["kind", "a", "b"])
@@ -168,7 +171,7 @@ def _entries(found: Survey, t: Fraction, buckets: int, k: int, bits: int):
                 late = hot[np.minimum(np.searchsorted(hot, flat), len(hot) - 1)] == flat
             key = flat >> _U(1) | late.astype(_U) << _U(63)
             size = np.diff(cuts)
-            node = found.named(*_nodes(flat, cuts, bits))
+            node = found.named(flat, cuts, bits)
             _, once = np.unique(node, return_index=True)  # equal sets of a slice make their entries once
             keys, maps, parts, roles = [], [], [], []
             for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
@@ -319,7 +322,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, t: Fraction,
     # a document and its exact copy have one id and key: either gives the text
     own = nodes.select("node", F.col("key").alias("_key"), F.col("doc_id").alias("_id"))
     needed = stored(wanted.select("node").distinct().join(own, "node"), "needed")
-    texts = docs.join(needed, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    # by a merge join at every size: the wanted grow with the corpus
+    texts = docs.join(needed.hint("merge"), (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     texts = stored(texts.select("node", "text").dropDuplicates(["node"]), "texts")
     rows = wanted.join(texts, "node").select("a", "salt", "b", "text")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
@@ -359,40 +363,56 @@ def _blocks(t: Fraction):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     names = ["tile", "lo", "hi", "part", "node", "size", "root", "n", "data"]
 
-    def meet(part: np.ndarray, cross: bool, cols: dict[str, np.ndarray], maps: list[bytes]) -> Iterator[np.ndarray]:
+    def pairs(cols: dict[str, np.ndarray], cross: bool, x: np.ndarray, mine: np.ndarray, y: np.ndarray, others: np.ndarray) -> Iterator[np.ndarray]:
+        """Rows x with bitmaps `mine` against rows y with bitmaps `others`, those in reach by size."""
+        if not len(x) or not len(y):
+            return
+        order = np.argsort(cols["n"][x], kind="stable")
+        x, mine = x[order], mine[order]
+        order = np.argsort(cols["n"][y], kind="stable")
+        y, others = y[order], others[order]
+        sizes = cols["n"][y]
+        for k in range(0, len(x), 256):
+            u = x[k : k + 256]
+            na = cols["n"][u][:, None]
+            a = np.searchsorted(sizes, -(-int(na[0, 0]) * t.numerator // t.denominator))
+            b = np.searchsorted(sizes, int(na[-1, 0]) * t.denominator // t.numerator, "right")
+            v, other = y[a:b], others[a:b]
+            nb = sizes[a:b][None]
+            differ = np.zeros((len(u), len(v)), np.int64)
+            for word in range(mine.shape[1]):
+                differ += np.bitwise_count(mine[k : k + 256, None, word] ^ other[None, :, word])
+            overlap = (na + nb - differ) // 2
+            fit = overlap * t.denominator >= (na + nb - overlap) * t.numerator
+            fit &= np.minimum(na, nb) * t.denominator >= np.maximum(na, nb) * t.numerator
+            fit &= cols["root"][u][:, None] != cols["root"][v][None]
+            ea, eb = cols["even"][u][:, None], cols["even"][v][None]
+            fit &= np.where(na < nb, ea, np.where(nb < na, eb, ea | eb))
+            if cross:
+                fit &= cols["part"][u][:, None] != cols["part"][v][None]
+            i, j = np.nonzero(fit)
+            yield np.stack([cols["node"][u[i]], cols["node"][v[j]]])
+
+    def meet(cols: dict[str, np.ndarray], cross: bool, maps: list[bytes]) -> Iterator[np.ndarray]:
         width = np.array([len(x) for x in maps])
+        roots, at, count = np.unique(cols["root"], return_inverse=True, return_counts=True)
+        main = at == count.argmax()  # the largest component's nodes needn't meet each other
         for w in np.unique(width).tolist():
             # sizes in reach have bitmaps of one length, or of one and its double, which is folded
-            mine, wider = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
-            small = np.frombuffer(b"".join(maps[i] for i in mine), np.uint64).reshape(len(mine), -1)
-            both, rows = [small], [mine]
-            if len(wider):
-                raw = np.frombuffer(b"".join(maps[i] for i in wider), np.uint64).reshape(len(wider), 2, -1)
-                both.append(raw[:, 0] ^ raw[:, 1])
-                rows.append(wider)
-            other, place = np.concatenate(both), np.concatenate(rows)
-            for k in range(0, len(mine), 256):
-                x = mine[k : k + 256]
-                differ = np.zeros((len(x), len(place)), np.int64)
-                for word in range(small.shape[1]):
-                    differ += np.bitwise_count(small[k : k + 256, None, word] ^ other[None, :, word])
-                na, nb = cols["n"][x][:, None], cols["n"][place][None]
-                overlap = (na + nb - differ) // 2
-                fit = overlap * t.denominator >= (na + nb - overlap) * t.numerator
-                fit &= np.minimum(na, nb) * t.denominator >= np.maximum(na, nb) * t.numerator
-                fit &= cols["root"][x][:, None] != cols["root"][place][None]
-                ea, eb = cols["even"][x][:, None], cols["even"][place][None]
-                fit &= np.where(na < nb, ea, np.where(nb < na, eb, ea | eb))
-                if cross:
-                    fit &= part[x][:, None] != part[place][None]
-                i, j = np.nonzero(fit)
-                yield np.stack([cols["node"][x[i]], cols["node"][place[j]]])
+            same, wider = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+            small = np.frombuffer(b"".join(maps[i] for i in same), np.uint64).reshape(len(same), -1)
+            raw = np.frombuffer(b"".join(maps[i] for i in wider), np.uint64).reshape(len(wider), 2, small.shape[1])
+            folded = raw[:, 0] ^ raw[:, 1]
+            out, in_ = ~main[same], main[same]
+            yield from pairs(cols, cross, same[out], small[out], np.concatenate([same, wider]), np.concatenate([small, folded]))
+            far = ~main[wider]
+            yield from pairs(cols, cross, same[in_], small[in_], wider[far], folded[far])
 
     def done(held: pa.Table) -> pa.RecordBatch:
-        cols = {c: held[c].to_numpy() for c in ("node", "root", "n", "size")}
+        cols = {c: held[c].to_numpy() for c in ("node", "root", "n", "size", "part")}
         cols["even"] = cols["size"] % 2 == 0
         cross = held["lo"][0].as_py() != held["hi"][0].as_py()
-        found = np.concatenate([np.zeros((2, 0), np.int64), *meet(held["part"].to_numpy(), cross, cols, held["data"].to_pylist())], axis=1)
+        found = np.concatenate([np.zeros((2, 0), np.int64), *meet(cols, cross, held["data"].to_pylist())], axis=1)
         found = np.unique(np.sort(found, axis=0), axis=1)
         return pa.record_batch([pa.array(found[0]), pa.array(found[1])], schema=schema)
 
