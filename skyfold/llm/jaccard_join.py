@@ -57,6 +57,8 @@ FIRST_TILES, FIRST_LINKS, CHILDREN = 8, 3, 256
 PART = 2000
 #: Bytes of entries in a bucket, about.
 BUCKET_BYTES = 1 << 25
+#: Blocks of up to so many nodes are compared many at a time.
+SMALL = 64
 _SCALE = 1024  # of the logarithm of sizes in entries
 _TURNS = _U(0x9FB21C651E98DF25)
 
@@ -408,30 +410,70 @@ def _blocks(t: Fraction):
             far = ~main[wider]
             yield from pairs(cols, cross, same[in_], small[in_], wider[far], folded[far])
 
+    def within(cols: dict[str, np.ndarray], block: np.ndarray, maps: list[bytes]) -> np.ndarray:
+        """The pairs of many small blocks at once: each row with the k-th after it, for every k."""
+        found, many = [], len(block)
+        for k in range(1, many):
+            a = np.flatnonzero(block[k:] == block[:-k])
+            if not len(a):
+                break
+            b = a + k
+            na, nb, ea, eb = cols["n"][a], cols["n"][b], cols["even"][a], cols["even"][b]
+            fit = np.minimum(na, nb) * t.denominator >= np.maximum(na, nb) * t.numerator
+            fit &= cols["root"][a] != cols["root"][b]
+            fit &= np.where(na < nb, ea, np.where(nb < na, eb, ea | eb))
+            fit &= ~cols["cross"][a] | (cols["part"][a] != cols["part"][b])
+            found.append(np.stack([a[fit], b[fit]]))
+        if not found:
+            return np.zeros((2, 0), np.int64)
+        a, b = np.concatenate(found, axis=1)
+        width = np.array([len(x) for x in maps])
+        a, b = np.where(width[a] <= width[b], a, b), np.where(width[a] <= width[b], b, a)
+        keep = []
+        for w in np.unique(width[a]).tolist():
+            for v in (w, 2 * w):  # sizes in reach have bitmaps of one length, or of one and its double, which is folded
+                own = np.flatnonzero((width[a] == w) & (width[b] == v))
+                for k in range(0, len(own), 4096):
+                    x, y = a[own[k : k + 4096]], b[own[k : k + 4096]]
+                    p = np.frombuffer(b"".join([maps[i] for i in x.tolist()]), np.uint64).reshape(len(x), -1)
+                    q = np.frombuffer(b"".join([maps[i] for i in y.tolist()]), np.uint64).reshape(len(x), v // w, -1)
+                    differ = np.bitwise_count(p ^ np.bitwise_xor.reduce(q, axis=1)).sum(axis=1, dtype=np.int64)
+                    size = cols["n"][x] + cols["n"][y]
+                    overlap = (size - differ) // 2
+                    fit = overlap * t.denominator >= (size - overlap) * t.numerator
+                    keep.append(np.stack([x[fit], y[fit]]))
+        return cols["node"][np.concatenate(keep, axis=1)] if keep else np.zeros((2, 0), np.int64)
+
     def done(held: pa.Table) -> pa.RecordBatch:
-        cols = {c: held[c].to_numpy() for c in ("node", "root", "n", "size", "part")}
-        cols["even"] = cols["size"] % 2 == 0
-        cross = held["lo"][0].as_py() != held["hi"][0].as_py()
-        found = np.concatenate([np.zeros((2, 0), np.int64), *meet(cols, cross, held["data"].to_pylist())], axis=1)
-        found = np.unique(np.sort(found, axis=0), axis=1)
-        return pa.record_batch([pa.array(found[0]), pa.array(found[1])], schema=schema)
+        """Of rows that are whole blocks."""
+        cols = {c: held[c].to_numpy() for c in names[:-1]}
+        cols["even"], cols["cross"] = cols["size"] % 2 == 0, cols["lo"] != cols["hi"]
+        maps = held["data"].to_pylist()
+        new = np.concatenate([[True], np.any([cols[c][1:] != cols[c][:-1] for c in names[:3]], axis=0)])
+        block = np.cumsum(new) - 1
+        count = np.bincount(block)
+        small = np.flatnonzero(count[block] <= SMALL)
+        found = [within({c: v[small] for c, v in cols.items()}, block[small], [maps[i] for i in small.tolist()])]
+        starts = np.flatnonzero(new)
+        for k in np.flatnonzero(count > SMALL).tolist():
+            a, b = starts[k], starts[k] + count[k]
+            found += meet({c: v[a:b] for c, v in cols.items()}, bool(cols["cross"][a]), maps[a:b])
+        pairs_ = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
+        return pa.record_batch([pa.array(pairs_[0]), pa.array(pairs_[1])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        now = None
         for batch in batches:
-            keys = np.stack([batch[c].to_numpy() for c in names[:3]], axis=1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-            for x, y in zip(cuts, cuts[1:], strict=False):
-                if y == x:
-                    continue
-                key = tuple(keys[x])
-                if key != now and held:
-                    yield done(pa.Table.from_batches(held))
-                    held = []
-                now = key
-                held.append(batch.slice(x, y - x))
-        if held:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < 2 * PART:
+                continue
+            rows = pa.Table.from_batches(held)
+            keys = np.stack([rows[c].to_numpy() for c in names[:3]], axis=1)
+            last = int(np.flatnonzero((keys != keys[-1]).any(axis=1))[-1]) + 1 if (keys != keys[-1]).any() else 0
+            if last:  # the last block may go on
+                yield done(rows.slice(0, last))
+            held = rows.slice(last).to_batches()
+        if sum(b.num_rows for b in held):
             yield done(pa.Table.from_batches(held))
 
     return run
