@@ -169,5 +169,6 @@ def judge(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
 
 def keep(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """The documents that are kept, with their own columns."""
-    good = _judged(docs, labels, doc_id, text, **settings).where("kept").select(*KEY).distinct()
+    # a filter would be pushed below the arrays' projections, and each array computed again wherever it is read
+    good = _judged(docs, labels, doc_id, text, **settings).select(F.inline(F.when(F.col("kept"), F.array(F.struct(*KEY))))).distinct()
     return _keyed(docs, doc_id, text, F.struct("*").alias("_row")).join(good, list(KEY)).select("_row.*")

@@ -107,3 +107,103 @@ def corpus(seed=0, n=60, words=(5, 120)):
                 parts.insert(rnd.randrange(len(parts) + 1), line)
             out.append(rnd.choice(["\n", "\n\n", " \n"]).join(parts))
     return out
+
+
+def both_texts_components(now, before):
+    """now, before: (id, text), ids unique in each.  The component of each document now, by either of its texts."""
+    was = dict(before)
+    rows = [*now, *((i, was[i]) for i, t in now if i in was and was[i] is not None and was[i] != t)]
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if rows[i][0] == rows[j][0] and a and b or a and b and 5 * len(a & b) >= 4 * len(a | b):
+                root[find(i)] = find(j)
+    least = {}
+    for k in range(len(now)):
+        least[find(k)] = min(now[k][0], least.get(find(k), now[k][0]))
+    return [least[find(k)] for k in range(len(now))]
+
+
+def quality_kept(docs, trusted, buckets, threshold):
+    """docs: (id, text).  Whether each is kept, from the definitions."""
+    import math
+
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    grams, raw, target = [], Counter(), Counter()
+    for i, t in docs:
+        w = WORD.findall(t or "")
+        one = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in w]
+        two = [xxhash.xxh64(b.to_bytes(8, "little"), seed=xxhash.xxh64(a.to_bytes(8, "little"), seed=42).intdigest()).intdigest() for a, b in zip(one, one[1:])]
+        grams.append([signed(x) % buckets for x in one + two])
+        raw.update(grams[-1])
+        target.update(grams[-1] if i in trusted else [])
+    n_raw, n_target = sum(raw.values()) + buckets, sum(target.values()) + buckets
+    out = []
+    for (_, t), g in zip(docs, grams):
+        w = WORD.findall(t or "")
+        tri = Counter(zip(w, w[1:], w[2:]))
+        cover = {k + d for k in range(len(w) - 2) if tri[tuple(w[k : k + 3])] > 1 for d in range(3)}
+        score = sum(math.log((target[x] + 1) / n_target) - math.log((raw[x] + 1) / n_raw) for x in g) / max(1, len(g))
+        out.append(len(w) >= 50 and 2 * len(cover) <= len(w) and score >= threshold)
+    return out
+
+
+def mixed(docs, weights, epochs=2, seed=17):
+    """docs: (id, text, lang, source).  How often each is taken, from the definitions."""
+    import hashlib
+
+    def domain(source):
+        m = re.fullmatch(r"src(\d{1,9})", source or "")
+        return f"domain{int(m[1]) % 4}" if m else "other"
+
+    def fill(budget, caps, own):
+        """caps and weights by child: what each gets."""
+        got, open_ = {}, set(caps)
+        while open_:
+            mark = max(budget - sum(got.values()), 0) / sum(own[c] for c in open_)
+            full = {c for c in open_ if caps[c] <= mark * own[c]}
+            if not full:
+                return got | {c: min(mark * own[c], caps[c]) for c in open_}
+            got |= {c: caps[c] for c in full}
+            open_ -= full
+        return got
+
+    tokens = [len(WORD.findall(t or "")) for _, t, _, _ in docs]
+    leaf = [(domain(s), x, s) for _, _, x, s in docs]
+    total = Counter()
+    for k, n in zip(leaf, tokens):
+        total[k] += n
+    weight = {r[:3]: r[3] for r in weights}
+    budgets = {(): float(sum(tokens))}
+    for depth in (1, 2, 3):
+        nodes = {k[:depth] for k in total}
+        for parent in {k[:-1] for k in nodes}:
+            kids = [k for k in nodes if k[:-1] == parent]
+            caps = {k: epochs * sum(n for full, n in total.items() if full[:depth] == k) for k in kids}
+            budgets |= fill(budgets[parent], caps, {k: 1.0 if k[-1] is None else weight.get((*k, *[None] * (3 - depth)), 1.0) for k in kids})
+    out = []
+    order = {}
+    for k in total:
+        b = int(budgets[k] + 1e-6)
+        whole, rest = (b // total[k], b % total[k]) if total[k] else (1, 0)
+        rows = []
+        for i, (d, t, _, _) in enumerate(docs):
+            if leaf[i] == k:
+                parts = [str(d) if d is not None else None, hashlib.md5(t.encode()).hexdigest() if t is not None else None, str(seed), str(whole)]
+                rows.append((int(hashlib.md5("|".join(x for x in parts if x is not None).encode()).hexdigest()[:15], 16), i))
+        for o, i in rows:
+            ahead = sum(tokens[j] for p, j in rows if p < o)
+            order[i] = whole + (ahead < rest)
+    for i in range(len(docs)):
+        out.append(order[i])
+    return out

@@ -145,6 +145,29 @@ def test_packing(spark):
     assert len(seq) <= m.lower_bound(whole) + 2
 
 
+def test_packing_certificates(spark):
+    """Every part says its sequences and a bound on them that holds, whether it is certified or not."""
+    from skyfold.llm import packing as m
+
+    rng = np.random.default_rng(3)
+    sizes = [int(x) for x in rng.choice([300, 500, 683, 900, 1025, 1366, 2048], 600)]
+    items = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "doc_id long, length long")
+    rows = m.pack(items, per_partition=60).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(600))
+    parts, seqs = defaultdict(list), defaultdict(int)
+    for r in rows:
+        seqs[r.sequence_id] += r.length
+        parts[r.part if r.part is not None else (None, r.sequence_id)].append(r)
+    assert max(seqs.values()) <= 2048
+    for own in parts.values():
+        made, bound = {(r.part_bins, r.part_bound) for r in own}.pop()
+        assert made == len({r.sequence_id for r in own}) >= bound >= -(-sum(r.length for r in own) // 2048)
+        assert bound <= m.lower_bound(np.array([r.length for r in own]))
+    # what has no certificate is a part of one round at most
+    assert sum(r.part_bins > r.part_bound for own in parts.values() for r in own[:1]) <= 10
+    assert m.pack(items.where("false")).count() == 0
+
+
 def test_bounds_and_fit():
     from skyfold.llm import packing as m
 
@@ -797,6 +820,20 @@ def test_mix(spark):
     assert again == {r.doc_id: r.copies for r in rows}
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_mix_to_targets(spark, seed):
+    """Copies by the production weights, and by others, against the brute-force version."""
+    from skyfold.llm import mixing as m
+
+    texts = h.corpus(seed + 20, 60)
+    docs = [(i, t, ("en", "fr", None, "de")[i % 4], ("src0", "src1", "src5", None, "web")[i % 5]) for i, t in enumerate(texts)]
+    d = spark.createDataFrame([(*x, None) for x in docs], DOCS)
+    for rows in (m.TARGETS, [("domain1", None, None, 9.0), ("domain0", "en", None, 0.5), ("other", None, "web", 3.0)]):
+        weights = spark.createDataFrame(list(rows), "domain string, lang string, source string, weight double")
+        got = {r.doc_id: r.copies for r in m.mix(d, weights=weights).collect()}
+        assert [got[i] for i in range(len(docs))] == h.mixed(docs, rows)
+
+
 # all
 
 
