@@ -6,7 +6,8 @@ one's docs.  All but the last return the columns of documents:
     quality_rules   documents that the rules reject go
     line_dedup      lines of runs that occurred before go from the texts; a document left without a line goes
     jaccard_join    of each component of near-duplicates the first document stays; documents are held by the texts that
-                    they have now and by those that they came with, as line dedup leaves only fragments of a later copy
+                    they have now and by those that they came with (documents of sf_dir, if it is there), as line dedup
+                    leaves only fragments of a later copy
     mixing          each document as often as its leaf's stream passes it, up to twice, by the weights in mixing.TARGETS
     packing         a row for each token piece, with its ids, its sequence and its place there
 
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skyfold.llm import jaccard_join, line_dedup, mixing, packing, quality
 from skyfold.llm.common import table
+from skyfold.sources.files import read_optional
 from skyfold.tables import stored
 
 
@@ -37,7 +39,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def jaccard_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # near copies are told by the texts as they came in too: of a later copy line dedup leaves fragments
-    return jaccard_join.one_of_each(docs, before=table(spark, sf_dir, "documents"))
+    return jaccard_join.one_of_each(docs, before=read_optional(spark, f"{sf_dir}/documents.parquet"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
