@@ -49,26 +49,37 @@ def range_counts(
     return range_counts_of(keys, [(events, event_time, spans)], by, key_time, bucket)
 
 
-def range_counts_of(keys: DataFrame, streams: Sequence[tuple[DataFrame, str, dict[str, tuple[int, int]]]], by: Sequence[str], key_time: str, bucket: int | None = DAY) -> DataFrame:
-    """range_counts of several streams (events, their time, spans) in one shuffle, one sort and one window."""
-    reach = [span for _, _, spans in streams for span in spans.values()]
+def range_counts_of(keys: DataFrame, streams: Sequence[tuple], by: Sequence[str], key_time: str, bucket: int | None = DAY) -> DataFrame:
+    """range_counts of several streams: (events, their time, spans) or (events, their time, spans, more groups).
+
+    One shuffle serves all of them, by group and bucket; the windows of a stream with more groups are within its partitions.
+    """
+    reach = [span for stream in streams for span in stream[2].values()]
     back, ahead = max([0, *(b for b, _ in reach)]), max([0, *(a for _, a in reach)])
     size = None if bucket is None else max(bucket, back, ahead)
-    group = F.lit(True)
-    for c in _named(by):
-        group = group & c.isNotNull()
     own = F.floor(F.col("_us") / F.lit(size)) if size else F.lit(0)
     both = keys.withColumn("_us", micros(key_time)).withColumn("_bucket", own.cast("long")).withColumn("_probe", F.lit(True))
-    for i, (events, event_time, _) in enumerate(streams):
-        e = events.select(*_named(by), micros(event_time).alias("_us"), F.lit(1).cast("long").alias(f"_n{i}"), F.lit(False).alias("_probe"))
-        e = spread(e.where(F.col("_us").isNotNull() & group), back, ahead, size).drop("_own")
+
+    def known(columns: Sequence[str]) -> Column:
+        out = F.col("_us").isNotNull()
+        for c in _named(columns):
+            out = out & c.isNotNull()
+        return out
+
+    for i, (events, event_time, _, *more) in enumerate(streams):
+        groups = [*by, *(more[0] if more else ())]
+        e = events.select(*_named(groups), micros(event_time).alias("_us"), F.lit(1).cast("long").alias(f"_n{i}"), F.lit(False).alias("_probe"))
+        e = spread(e.where(known(groups)), back, ahead, size).drop("_own")
         both = both.unionByName(e, allowMissingColumns=True)
-    w = Window.partitionBy(*_named(by), "_bucket").orderBy("_us")
-    known, out = group & F.col("_us").isNotNull(), {}
-    for i, (_, _, spans) in enumerate(streams):
+    if len(streams) > 1:
+        both = both.repartition(*_named(by), "_bucket")
+    out = {}
+    for i, (_, _, spans, *more) in enumerate(streams):
+        groups = [*by, *(more[0] if more else ())]
+        w = Window.partitionBy(*_named(groups), "_bucket").orderBy("_us")
         for name, (b, a) in spans.items():
             frame = w.rangeBetween(-b + 1, 0) if b else w.rangeBetween(1, a)
-            out[name] = F.when(known, F.coalesce(F.sum(f"_n{i}").over(frame), F.lit(0))).otherwise(F.lit(0)).cast("long")
+            out[name] = F.when(known(groups), F.coalesce(F.sum(f"_n{i}").over(frame), F.lit(0))).otherwise(F.lit(0)).cast("long")
     return both.withColumns(out).where("_probe").drop("_us", "_probe", "_bucket", *[f"_n{i}" for i in range(len(streams))])
 
 

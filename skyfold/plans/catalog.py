@@ -5,6 +5,7 @@ The driver's tables play the roles of SURVEY §7.5 (see surrogate.py).  Floating
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,13 +18,15 @@ from ..operators.asof import asof_backward
 from ..operators.bins import day, fixed_bin, month_edges, sliding_summary
 from ..operators.windows import MINUTE, gaps, horizons, range_counts, running_count
 from ..sources import ingest
-from ..sources.files import union_relaxed
+from ..sources.files import read_csv, read_many, read_optional, read_pages, read_sheet, union_relaxed, write_parquet
+from ..tables import shared_dir
 from . import evaluation as ev
 from . import features as ft
 from . import reference as ref
+from . import registry
 from . import submission as sub
 from . import surrogate as s
-from .movements import prepare_movements
+from .movements import model_columns, prepare_movements
 from .surrogate import MV, NAMES, OBS, SHEET, XY, movements, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -691,18 +694,175 @@ def m1_level_codes(spark, d):
     return encode(p.select("p_partkey", F.expr("CASE WHEN p_partkey % 11 <> 0 THEN p_type END").alias("code")), {"code": codes})
 
 
-@query()
+# The whole feature table
+
+
+def _whole(x: str) -> str:
+    return f"CAST(trunc(({x}) / 1000000) AS BIGINT)"
+
+
+def _float(x: str) -> str:
+    """A feature as it is kept (float32), to three places; no negative zero."""
+    v = f"round(CAST(CAST({x} AS FLOAT) AS DOUBLE), 3)"
+    return f"CASE WHEN {v} = 0 THEN CAST(0 AS DOUBLE) ELSE {v} END"
+
+
+def _table_sql(causal: bool) -> str:
+    """The feature table out of its parts' SQL, by brute force."""
+    at, ahead = ("block_us", False) if causal else ("us", True)
+    count = lambda prefix, by, where: _counts_sql(prefix, by, at, where, True, ahead, ft.MINUTES)
+    gap = f"g AS (SELECT id, apt, rwy, {at}, floor(({at} - lag({at}) OVER w) / 1000000) AS pg, floor((lead({at}) OVER w - {at}) / 1000000) AS ng FROM mv WHERE phase = 'DEP' WINDOW w AS (PARTITION BY apt, rwy ORDER BY {at}, id))"
+    ends = ", be AS (SELECT apt, bin_us + 1800000000 AS start, med, n FROM b)" if causal else ", be AS (SELECT apt, bin_us AS start, med, n FROM b)"
+    shift = " - 1" if causal else ""
+    nexts = "" if causal else f"{_float('pg.ng')} AS next_dep_gap_sec, {_float(f'trunc((k.us - k.aobt_us) / 1000000)')} AS nm_naive_taxi_sec, k.aobt_us IS NOT NULL AS nm_matched, "
+    return f"""WITH {MV}, {OBS}, {XY}, {gap}, {_BINS_SQL}{ends}, {_CONF_SQL}, {_GEO}, k AS (SELECT * FROM mv WHERE phase = 'DEP'),
+      pg AS (SELECT id, pg, ng, CASE WHEN count(pg) OVER r >= 2 THEN avg(pg) OVER r END AS mean FROM g WINDOW r AS (PARTITION BY apt, rwy ORDER BY {at}, id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+      n AS (SELECT id, {count('rwy_dep', RWY, DEP)}, {count('apt_arr', APT, ARR)}, {count('apt_dep', APT, DEP)} FROM mv k WHERE phase = 'DEP'),
+      z AS (SELECT h.id, h.apt, h.us, mv.{at} AS at, brg, km, floor(brg / 30) % 12 AS sec FROM h JOIN mv ON h.id = mv.id),
+      sc AS (SELECT k.id, brg, km, sec, {', '.join(f"(SELECT count(*) FROM z e WHERE e.apt = k.apt AND e.sec = k.sec AND e.us > k.at - {m * MINUTE} AND e.us <= k.at) AS sector_dep_prev_{m}m" for m in ft.SECTOR_MINUTES)} FROM z k),
+      ti AS (SELECT k.id, be.med, be.n FROM k ASOF LEFT JOIN be ON k.apt = be.apt AND k.{at} >= be.start),
+      st AS (SELECT k.id, a.block_us AS arrived FROM k ASOF LEFT JOIN (SELECT apt, stand, block_us FROM mv WHERE phase = 'ARR') a ON k.apt = a.apt AND k.stand = a.stand AND k.{at} >= a.block_us),
+      we AS (SELECT k.id, temperature_c, dewpoint_c, snow, freezing_precip, deicing_proxy, obs.us AS seen FROM k ASOF LEFT JOIN obs ON k.apt = obs.station AND k.{at} >= obs.us)
+    SELECT n.*, {nexts}{_float('pg.pg')} AS prev_dep_gap_sec, {_float('pg.mean')} AS rwy_service_interval_sec, {_float('apt_arr_prev_30m / nullif(apt_dep_prev_30m + apt_arr_prev_30m, 0)')} AS arr_dep_ratio_30m,
+      {_float('ti.med')} AS arr_taxi_median_sec, coalesce(ti.n, 0) AS arr_taxi_count, dep_runways_in_use, arr_runways_in_use, active_runway_count,
+      CAST(hour(make_timestamp(k.{at})) AS BIGINT) AS hour, CAST(isodow(make_timestamp(k.{at})) AS BIGINT) AS weekday, CAST(month(make_timestamp(k.us)) AS BIGINT) AS month_num, CAST(hour(make_timestamp(k.{at})) * 60 + minute(make_timestamp(k.{at})) AS BIGINT) AS minute_of_day,
+      {_float(_whole(f'k.{at} - sched_us'))} AS sched_offset_sec, {_float(_whole(f'k.{at} - eobt_us'))} AS eobt_offset_sec, {_float(_whole('lobt_us - iobt_us'))} AS atfm_drift_sec, {_float(_whole(f'k.{at} - lobt_us'))} AS lobt_anchor_gap_sec, filed <> ades AS diverted,
+      {_float('brg')} AS departure_bearing, {_float('CASE WHEN brg IS NULL THEN NULL ELSE km END')} AS flight_distance_km, CAST(sec AS BIGINT) AS departure_sector, {', '.join(f'sector_dep_prev_{m}m' for m in ft.SECTOR_MINUTES)}, {_float(_whole(f'k.{at} - arrived'))} AS stand_turnaround_sec,
+      {_float('temperature_c')} AS temperature_c, {_float('dewpoint_c')} AS dewpoint_c, snow, freezing_precip, deicing_proxy, {_float(_whole(f'k.{at} - seen') + ' / 60')} AS observation_age_min, {_float('temperature_c - dewpoint_c')} AS dewpoint_spread_c
+    FROM k JOIN n ON k.id = n.id JOIN pg ON k.id = pg.id JOIN sc ON k.id = sc.id JOIN ti ON k.id = ti.id JOIN st ON k.id = st.id JOIN we ON k.id = we.id LEFT JOIN c ON k.apt = c.apt AND k.{at} // 1800000000{shift} = c.k"""
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    """id and the features: fractions as they are kept, to three places, whole numbers as long."""
+    out = []
+    for f in df.schema.fields:
+        kind = f.dataType.simpleString()
+        if registry.is_declared(f.name) and f.name not in ("apt_mvt",):
+            c = F.col(f.name)
+            out.append((F.round(c.cast("float").cast("double"), 3) if kind in ("float", "double") else c.cast("long") if kind in ("tinyint", "smallint", "int", "bigint") else c).alias(f.name))
+    return df.select("id", *out)
+
+
+@query(_table_sql(False))
 def d19_build_features(spark, d):
-    """The whole feature table (rows checked by tests against its parts)."""
-    m = movements(spark, d)
-    return ft.build_features(m, coords=s.coordinates(spark, d), metar=s.observations(spark, d), n=NAMES)
+    """The whole feature table."""
+    return _shown(ft.build_features(movements(spark, d), coords=s.coordinates(spark, d), metar=s.observations(spark, d).drop("obs_id"), n=NAMES))
 
 
-@query()
+@query(_table_sql(True))
 def d19_causal_features(spark, d):
     """D19 from off-block times, with strict bins."""
+    return _shown(ft.build_features(movements(spark, d), coords=s.coordinates(spark, d), metar=s.observations(spark, d).drop("obs_id"), causal=True, strict=True, n=NAMES))
+
+
+_FAMILY_SQL = """CASE WHEN c SIMILAR TO 'rwy_dep_(prev|next)_[0-9]+m' OR c IN ('prev_dep_gap_sec', 'next_dep_gap_sec', 'rwy_service_interval_sec') THEN 'runway_queue' WHEN c LIKE 'apt_dep_%' OR c LIKE 'apt_arr_%' OR c LIKE 'arr_dep_ratio_%' THEN 'airport_flow'
+    WHEN c LIKE 'arr_taxi_%' THEN 'taxi_in_pressure' WHEN c LIKE '%_runways_in_use' OR c = 'active_runway_count' THEN 'runway_configuration' WHEN c IN ('hour', 'weekday', 'month_num', 'minute_of_day') THEN 'calendar'
+    WHEN c IN ('sched_offset_sec', 'eobt_offset_sec', 'atfm_drift_sec', 'lobt_anchor_gap_sec', 'diverted') THEN 'atfm' WHEN c LIKE 'nm_%' THEN 'nm_aobt' WHEN c IN ('departure_bearing', 'departure_sector', 'flight_distance_km') OR c LIKE 'sector_dep_%' THEN 'routing'
+    WHEN c = 'stand_turnaround_sec' THEN 'stand_turnaround' WHEN c IN ('temperature_c', 'dewpoint_c', 'snow', 'freezing_precip', 'deicing_proxy', 'observation_age_min', 'dewpoint_spread_c') THEN 'weather' END"""
+_RAW = "id phase adep ades apt rwy stand ts block sched taxi flight aobt eobt lobt iobt filed".split()
+
+
+@query(f"WITH f AS (SELECT unnest({_RAW!r}) AS c UNION ALL SELECT column_name FROM (DESCRIBE {_table_sql(False)}) WHERE column_name <> 'id') SELECT c AS \"column\", {_FAMILY_SQL} AS family FROM f")
+def d22_families(spark, d):
+    """The family of every column of the feature table; null for columns that no operator makes."""
+    f = ft.build_features(movements(spark, d), coords=s.coordinates(spark, d), metar=s.observations(spark, d).drop("obs_id"), n=NAMES)
+    return registry.with_family(spark.createDataFrame([(c,) for c in f.columns], "column string"))
+
+
+@query(f"SELECT column_name AS \"column\" FROM (DESCRIBE {_table_sql(False)}) WHERE column_name <> 'id' UNION ALL SELECT unnest(['apt', 'rwy', 'stand'])")
+def d20_model_columns(spark, d):
+    """The columns that a model may read."""
+    f = ft.build_features(movements(spark, d), coords=s.coordinates(spark, d), metar=s.observations(spark, d).drop("obs_id"), n=NAMES)
+    return spark.createDataFrame([(c,) for c in model_columns(f, NAMES)], "column string")
+
+
+@query(
+    f"""WITH {MV}, d AS (SELECT *, day(make_timestamp(us)) > 20 AS held FROM mv WHERE phase = 'DEP'), c AS (SELECT * FROM d WHERE NOT held AND taxi > 0 AND taxi <= 7200),
+    {_level_sql("apt, stand, rwy", "a", "c.apt = aq.apt AND c.stand = aq.stand AND c.rwy = aq.rwy")}, {_level_sql("apt, stand", "b", "c.apt = bq.apt AND c.stand = bq.stand")},
+    {_level_sql("apt, rwy", "e", "c.apt = eq.apt AND c.rwy = eq.rwy")}, {_level_sql("apt", "f", "c.apt = fq.apt")}
+    SELECT t.id, held, round(CAST(CAST(coalesce(CASE WHEN a.valid THEN a.p END, CASE WHEN b.valid THEN b.p END, CASE WHEN e.valid THEN e.p END, CASE WHEN f.valid THEN f.p END) AS FLOAT) AS DOUBLE), 3) AS reference_sec,
+      CASE WHEN a.valid THEN 'apt_stand_rwy' WHEN b.valid THEN 'apt_stand' WHEN e.valid THEN 'apt_rwy' WHEN f.valid THEN 'apt' ELSE 'none' END AS reference_level, coalesce(a.n, 0) AS reference_sample
+    FROM d t LEFT JOIN a ON t.apt = a.apt AND t.stand = a.stand AND t.rwy = a.rwy LEFT JOIN b ON t.apt = b.apt AND t.stand = b.stand LEFT JOIN e ON t.apt = e.apt AND t.rwy = e.rwy LEFT JOIN f ON t.apt = f.apt WHERE held OR taxi <= 60"""
+)
+def d21_seasonal_split(spark, d):
+    """Both sides with the reference of the training side alone; long targets leave that side."""
     m = movements(spark, d)
-    return ft.build_features(m, coords=s.coordinates(spark, d), metar=s.observations(spark, d), causal=True, strict=True, n=NAMES)
+    split = ev.seasonal_split(m.where("phase = 'DEP'"), m, longest=60.0, n=NAMES, mask=F.dayofmonth("ts") > 20)
+    side = lambda f, held: f.select("id", F.lit(held).alias("held"), F.round(F.col("reference_sec").cast("double"), 3).alias("reference_sec"), "reference_level", "reference_sample")
+    return side(split.fit, False).unionByName(side(split.held, True))
+
+
+# Files: written to the shared folder and read again
+
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/skyfold-{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, round(c_acctbal, 2) AS c_acctbal FROM customer")
+def s4_csv_inferred(spark, d):
+    """A CSV file whose types are inferred."""
+    path = _folder(spark, "csv")
+    table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal").write.option("header", True).csv(path)
+    out = read_csv(spark, path, infer=True)
+    return out.select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", F.col("c_nationkey").cast("long").alias("c_nationkey"), F.round("c_acctbal", 2).alias("c_acctbal"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 <> 0 THEN round(s_acctbal, 2) END AS s_acctbal FROM supplier")
+def s5_csv_schema(spark, d):
+    """A CSV file read as text, with numbers where a cell is one."""
+    path = _folder(spark, "sheet")
+    table(spark, d, "supplier").select("s_suppkey", F.expr("CASE WHEN s_suppkey % 3 <> 0 THEN CAST(s_acctbal AS STRING) ELSE 'n/a' END").alias("s_acctbal")).write.option("header", True).csv(path)
+    out = read_sheet(spark, path, ["s_suppkey", "s_acctbal"])
+    return out.select(F.col("s_suppkey").cast("long").alias("s_suppkey"), F.round("s_acctbal", 2).alias("s_acctbal"))
+
+
+@query("SELECT n_nationkey AS k, CAST(n_nationkey AS DOUBLE) AS x FROM nation UNION ALL SELECT s_suppkey, s_acctbal FROM supplier")
+def s2_read_many(spark, d):
+    """Parquet files whose types differ in one frame; a file that isn't there is none."""
+    path = _folder(spark, "many")
+    assert read_optional(spark, f"{path}/absent") is None
+    table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("k"), F.col("n_nationkey").cast("smallint").alias("x")).write.parquet(f"{path}/a")
+    table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("x")).write.parquet(f"{path}/b")
+    return read_many(spark, f"{path}/a", f"{path}/b", f"{path}/absent")
+
+
+@query("SELECT r_name AS team, n_nationkey AS score FROM nation JOIN region ON n_regionkey = r_regionkey")
+def s9_pages(spark, d):
+    """The items of saved pages, a page for each region."""
+    path = _folder(spark, "pages")
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    page = n.groupBy("n_regionkey").agg(F.collect_list(F.struct(F.col("r_name").alias("team"), F.col("n_nationkey").alias("score"))).alias("items"))
+    page.select("n_regionkey", F.to_json(F.struct("items", F.lit("next").alias("nextCursor")))).write.partitionBy("n_regionkey").text(path)
+    return read_pages(spark, path, "team: string, score: bigint")
+
+
+@query("SELECT o_orderstatus, count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS s FROM orders GROUP BY 1")
+def k1_partitioned(spark, d):
+    """K1: a table written by partition and read again."""
+    path = _folder(spark, "parts")
+    write_parquet(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), path, ["o_orderstatus"])
+    return spark.read.parquet(path).groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("s"))
+
+
+@query('SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS pos, o_orderkey AS "MVT_ID_mvt", round(o_totalprice / 50, 6) AS "TAXITIME_SEC_mvt" FROM orders')
+def d24_prediction_file(spark, d):
+    """One file in the template's order, under the next version's name."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("MVT_ID_mvt"), (F.col("o_totalprice") / 50).alias("TAXITIME_SEC_mvt"))
+    folder = _folder(spark, "predictions")
+    template = o.orderBy(F.desc("TAXITIME_SEC_mvt"), "MVT_ID_mvt").select("MVT_ID_mvt")
+    for _ in range(2):
+        name = f"team_v{sub.next_version(folder, 'team', spark)}.parquet"
+        sub.write(o, template, folder, name)
+    out = spark.read.parquet(f"{folder}/team_v2.parquet").coalesce(1)
+    return out.select(F.monotonically_increasing_id().alias("pos"), "MVT_ID_mvt", F.round("TAXITIME_SEC_mvt", 6).alias("TAXITIME_SEC_mvt"))
+
+
+@query(f"WITH {MV} SELECT k.id, (SELECT count(*) FROM mv e WHERE e.apt = k.apt AND e.us > k.us - 3600000000 AND e.us <= k.us) AS prev, (SELECT count(*) FROM mv e WHERE e.apt = k.apt AND e.us > k.us AND e.us <= k.us + 3600000000) AS next FROM mv k")
+def p8_anchor_is_event(spark, d):
+    """Every movement is an anchor and an event; its own time counts as past."""
+    m = movements(spark, d).select("id", "apt", "ts")
+    return range_counts(m, m, ["apt"], "ts", "ts", {"prev": (60 * MINUTE, 0), "next": (0, 60 * MINUTE)}).drop("apt", "ts")
 
 
 @query()

@@ -173,6 +173,22 @@ def network_off_block(dep: DataFrame, n: Names = NAMES) -> DataFrame:
     return dep.withColumn("nm_naive_taxi_sec", seconds_between(n.moved, n.off_block).cast("float")).withColumn("nm_matched", F.col(n.off_block).isNotNull())
 
 
+def _counts(df: DataFrame, dep: DataFrame, anchor: str, ahead: bool, sectors: bool, minutes: Sequence[int], n: Names, bucket: int | None) -> DataFrame:
+    """dep with all counts of `runway_features`, `airport_features` and, with sectors, `sector_congestion`: one shuffle."""
+    off = df.where(F.col(n.phase) == n.departed)
+    streams = [
+        (off, n.moved, horizons("rwy_dep", minutes, True, ahead), [n.runway]),
+        (arrivals(df, n), n.moved, horizons("apt_arr", minutes, True, ahead)),
+        (off, n.moved, horizons("apt_dep", minutes, True, ahead)),
+    ]
+    if sectors:
+        streams.append((dep, n.moved, horizons("sector_dep", SECTOR_MINUTES, True, False), ["departure_sector"]))
+    out = range_counts_of(dep, streams, [n.airport], anchor, bucket)
+    if 30 in minutes:
+        out = out.withColumn("arr_dep_ratio_30m", ratio("apt_arr_prev_30m", F.col("apt_dep_prev_30m") + F.col("apt_arr_prev_30m")))
+    return out
+
+
 def build_features(
     df: DataFrame,
     coords: DataFrame | None = None,
@@ -186,17 +202,35 @@ def build_features(
     n: Names = NAMES,
     bucket: int | None = DAY,
 ) -> DataFrame:
-    """The feature table, one row for each departure with an anchor; optional tables switch their families on."""
-    anchor = n.block if causal else n.moved
-    d = offsets(congestion(df, causal, minutes, strict, n, bucket), anchor, n)
+    """The feature table, one row for each departure with an anchor; optional tables switch their families on.
+
+    The same columns as `congestion`, `offsets`, `network_off_block`, `routing`, `weather` and `airport_state` one after the
+    other.  Windows and as-of joins run on a few columns beside the movement's key, which tells movements apart, and the
+    families meet the whole rows by that key once.
+    """
+    anchor, ahead = (n.block, False) if causal else (n.moved, True)
+    dep = departures(df, anchor, n)
+    located = coords is not None and n.destination in df.columns
+    thin = dep.select(*dict.fromkeys([n.key, n.airport, n.runway, n.stand, n.moved, anchor, *([n.destination] if located else [])]))
+    own = [c for c in thin.columns if c != n.key]
+    if located:
+        thin = attach_bearing(thin, coords, n)
+    parts = [_counts(df, thin, anchor, ahead, located, minutes, n, bucket).drop(*own)]
+    line = thin.select(*dict.fromkeys([n.key, n.airport, n.runway, anchor]))
+    parts.append(gaps(line, [n.airport, n.runway], anchor, [n.key], ahead, names=("prev_dep_gap_sec", "next_dep_gap_sec", "rwy_service_interval_sec"), bucket=bucket).drop(*own))
+    here = thin.select(n.key, n.airport, anchor)
+    parts.append(taxi_in_pressure(df, here, anchor, strict=strict, n=n, bucket=bucket).drop(*own))
+    parts.append(stand_turnaround(df, thin.select(n.key, n.airport, n.stand, anchor), anchor, n, bucket).drop(*own))
+    if metar is not None:
+        parts.append(weather(here, metar, anchor, n=n, bucket=bucket).drop(*own))
+    d = atfm_pressure(offsets(runway_configuration(df, dep, anchor, strict=strict, n=n), anchor, n), anchor, n)
     if network and not causal and n.off_block in d.columns:
         d = network_off_block(d, n)
-    d = routing(df, d, coords, anchor, n, bucket)
     if runways is not None:
         d = d.join(runways.withColumnRenamed("icao", n.airport), n.airport, "left")
-    if metar is not None:
-        d = weather(d, metar, anchor, n=n, bucket=bucket)
     if daily is not None and not causal:
         d = airport_state(d, daily, anchor, n)
+    for part in parts:
+        d = d.join(part, n.key)
     floats = [f.name for f in d.schema.fields if f.dataType.simpleString() == "double" and is_declared(f.name)]
     return d.withColumns({c: F.col(c).cast("float") for c in floats})

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import re
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEY, VALUE = "MVT_ID_mvt", "TAXITIME_SEC_mvt"
@@ -64,9 +63,18 @@ def validate(pred: DataFrame, template: DataFrame, key: str = KEY, value: str =
     return warnings
 
 
-def next_version(folder: str, team: str) -> int:
+def _fs(spark: SparkSession, path: str):
+    """The path in Spark's file systems, local or not, and its file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def next_version(folder: str, team: str, spark: SparkSession | None = None) -> int:
     """One more than the team's last version in the folder."""
-    found = [re.match(FILE_NAME, p.name) for p in Path(folder).glob("*.parquet")] if Path(folder).is_dir() else []
+    spark = spark or SparkSession.active()
+    p, fs = _fs(spark, folder)
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    found = [re.match(FILE_NAME, x) for x in names]
     return 1 + max([0, *(int(m["version"]) for m in found if m and m["team"] == team)])
 
 
@@ -83,15 +91,21 @@ def fill_missing(pred: DataFrame, template: DataFrame, key: str = KEY, value: st
 
 
 def write(pred: DataFrame, template: DataFrame, folder: str, name: str, key: str = KEY, value: str = VALUE) -> list[str]:
-    """Validates, then writes one file in the template's order; the warnings.  Driver and writer share the folder."""
+    """Validates, then writes one file in the template's order; the warnings.
+
+    The file is made in a folder beside it and renamed when it is whole, in whatever file system the folder is.
+    """
     if not re.match(FILE_NAME, name):
         raise InvalidPrediction(f"not a prediction file's name: {name}")
     warnings = validate(pred, template, key, value)
     rows = with_position(template.select(key)).join(pred.select(key, value), key, "left").orderBy("_pos").select(key, value)
-    part = Path(folder) / f".{name}.parts"
-    rows.coalesce(1).write.mode("overwrite").parquet(str(part))
-    next(part.glob("part-*.parquet")).rename(Path(folder) / name)
-    for p in part.iterdir():
-        p.unlink()
-    part.rmdir()
+    parts = f"{folder.rstrip('/')}/_{name}.parts"
+    rows.coalesce(1).write.mode("overwrite").parquet(parts)
+    p, fs = _fs(pred.sparkSession, parts)
+    made = next(f.getPath() for f in fs.listStatus(p) if f.getPath().getName().startswith("part-"))
+    end, _ = _fs(pred.sparkSession, f"{folder.rstrip('/')}/{name}")
+    fs.delete(end, False)
+    if not fs.rename(made, end):
+        raise OSError(f"can't rename {made} to {end}")
+    fs.delete(p, True)
     return warnings

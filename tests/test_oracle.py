@@ -47,7 +47,7 @@ def test_query(spark, duck, name):
     assert rows
 
 
-@pytest.mark.parametrize("name", ["d19_build_features", "d19_causal_features", "m3_train_predict"])
+@pytest.mark.parametrize("name", ["m3_train_predict"])
 def test_without_sql(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0
 
