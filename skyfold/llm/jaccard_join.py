@@ -580,32 +580,38 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     stays whose other columns have the least hash.
     """
     id_, text_ = docs[f"`{doc_id}`"], docs[f"`{text}`"]
-    d = docs.select(id_.alias("doc_id"), text_.alias("text"))
+    own = F.xxhash64(id_, text_)
+    found = join(docs, doc_id, text, threshold, k)
     if before is not None:
-        d = stored(d.union(earlier_texts(docs, before, doc_id, text).select("doc_id", "text")), "both")
-    found = join(d, threshold=threshold, k=k)
-    if before is not None:
-        found = _joined_by_id(stored(found, "found"), docs.select(id_.alias("doc_id"), F.xxhash64(id_, text_).alias("key")))
+        found = _by_either(stored(found, "now"), docs, before, doc_id, text, threshold, k)
     keep = found.where("kept").select(F.col("key").alias("_key"), F.col("doc_id").alias("_kept")).distinct()
     others = [docs[f"`{c}`"] for c in docs.columns if c not in (doc_id, text)]
     tie = F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0)
-    d = docs.select(F.struct("*").alias("_row"), id_.alias("_id"), F.xxhash64(id_, text_).alias("_own"), tie.alias("_tie"))
+    d = docs.select(F.struct("*").alias("_row"), id_.alias("_id"), own.alias("_own"), tie.alias("_tie"))
     d = d.join(keep, (F.col("_own") == F.col("_key")) & F.col("_id").eqNullSafe(F.col("_kept")))
     return d.groupBy("_id", "_own").agg(F.min_by("_row", "_tie").alias("_row")).select("_row.*")
 
 
-def _joined_by_id(found: DataFrame, now: DataFrame) -> DataFrame:
-    """key, doc_id and kept of the documents now, from the rows of both their texts: the rows of an id are in one group."""
-    rows = found.where("root IS NOT NULL")
-    mine = rows.where("doc_id IS NOT NULL")
-    # an id's rows: the least and the greatest of their roots, as an earlier text is one at most
-    edges = mine.groupBy("doc_id").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n"))
-    edges = edges.join(now.groupBy("doc_id").agg(F.count("*").alias("own")).where("own = 1"), "doc_id").where("n = 2 AND a <> b").select("a", "b")
-    top = components(edges).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    grouped = rows.join(top, "root", "left").withColumn("group", F.coalesce("top", "root")).select("doc_id", "key", "group")
-    here = grouped.join(now.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct(), (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "key", "group")
-    first = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key")
-    least = here.groupBy("group").agg(F.min(first).alias("first"))
-    kept = here.join(least, "group").select("doc_id", "key", (first == F.col("first")).alias("kept"))
-    # without a set now, but with an earlier text: it stays, as a document without a set does
-    return kept.union(found.where("root IS NULL").select("doc_id", "key", F.lit(True).alias("kept")))
+def _by_either(now: DataFrame, docs: DataFrame, before: DataFrame, doc_id: str, text: str, threshold: Fraction, k: int) -> DataFrame:
+    """doc_id, key and kept of the documents, linked by their texts now or by those before.
+
+    A second join holds the texts before against each other (and those that are as they were); a set has one name in both, so
+    that a document's two roots are an edge.  A document's text now and before needn't be compared.
+    """
+    was = earlier_texts(docs, before, doc_id, text).select("doc_id", F.col("text").alias("was"))
+    d = rename_inputs(docs, doc_id=doc_id, text=text)
+    then = d.join(was, "doc_id", "left").select("doc_id", F.coalesce("was", "text").alias("text"), F.xxhash64("doc_id", "text").alias("own"))
+    then = stored(then, "then")
+    names = then.select(F.col("doc_id").alias("_id"), F.col("own"), F.xxhash64("doc_id", "text").alias("_then")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    first = stored(join(then, threshold=threshold, k=k).select("doc_id", "key", "root"), "found").distinct().withColumnsRenamed({"doc_id": "_bid", "key": "_bkey", "root": "b"})
+    rows = now.where("root IS NOT NULL").select("doc_id", "key", F.col("root").alias("a")).distinct()
+    both = rows.join(names, (F.col("key") == F.col("own")) & same).join(first, (F.col("_then") == F.col("_bkey")) & F.col("doc_id").eqNullSafe(F.col("_bid")))
+    both = stored(both.select("doc_id", "key", "a", "b"), "roots")
+    top = components(both.where("b IS NOT NULL AND a <> b").select("a", "b")).select(F.col("node").alias("a"), F.col("root").alias("top"))
+    grouped = both.join(top, "a", "left").select("doc_id", "key", F.coalesce("top", "a").alias("group"))
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key")
+    least = grouped.groupBy("group").agg(F.min(order).alias("first"))
+    kept = grouped.join(least, "group").select("doc_id", "key", (order == F.col("first")).alias("kept"))
+    # a document without a set now stays, whatever it was
+    return kept.union(now.where("root IS NULL").select("doc_id", "key", F.lit(True).alias("kept")))
