@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -138,16 +139,15 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PA
 
     sequence_id is unique over rounds and partitions.  part: what was certified, or not, as one; the sequences in it and the
     bound on them.  A piece that fills a sequence is a part of its own (null).  items are written to the shared folder once,
-    with a row key that holds from there on; so is each round's result, as the next round and the answer both read it.
+    with a row key that holds from there on.  Keys and lengths alone are packed, whatever else the items have; their places
+    come back by the key.  Each round's result is written too, as the next round and the answer both read it.
     """
     items = stored(items.withColumn("_key", F.monotonically_increasing_id()), "pieces")
-    kept = items.columns
     more = [T.StructField(c, T.LongType()) for c in ("sequence_id", "offset", "part", "part_bins", "part_bound")]
-    schema = T.StructType([*items.schema.fields, *more, T.StructField("_open", T.BooleanType())])
-    full = F.col("length") >= capacity
+    schema = T.StructType([T.StructField("_key", T.LongType()), T.StructField("length", T.LongType()), *more, T.StructField("_open", T.BooleanType())])
+    sizes, full = items.select("_key", F.col("length").cast("long").alias("length")), F.col("length") >= capacity
     one, none = F.lit(1).cast("long"), F.lit(None).cast("long")
-    done = [items.where(full).select(*kept, F.col("_key").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), none.alias("part"), one.alias("part_bins"), one.alias("part_bound"))]
-    left, last = items.where(~full), None
+    done, left, last = [], sizes.where(~full), None
     for step in range(rounds):
         n = left.count()
         if not n:
@@ -157,11 +157,13 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PA
         out = stored(dealt.groupBy("_part").applyInArrow(_packer(capacity, step), schema), "packed")
         gap = out.where("_open").select("part", "part_bins", "part_bound").distinct().agg(F.sum(F.col("part_bins") - F.col("part_bound"))).first()[0]
         if gap is None or parts == 1 or step == rounds - 1 or last is not None and gap >= last:
-            done.append(out.drop("_open"))
+            done.append(out)
             break
-        done.append(out.where("NOT _open").drop("_open"))
-        left, last = out.where("_open").select(*kept), gap
-    result = done[0]
-    for part in done[1:]:
-        result = result.unionByName(part)
-    return result.drop("_key")
+        done.append(out.where("NOT _open"))
+        left, last = out.where("_open").select("_key", "length"), gap
+    names = [f.name for f in more]
+    whole = items.where(full).select("*", F.col("_key").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), none.alias("part"), one.alias("part_bins"), one.alias("part_bound"))
+    if done:
+        places = reduce(DataFrame.unionByName, done).select("_key", *names)
+        whole = whole.unionByName(items.where(~full).join(places, "_key"))
+    return whole.drop("_key")
