@@ -52,7 +52,7 @@ HOT_IN_SLICE, HOT_IN_ALL = 3, 48
 BUCKETS = 256
 #: Tiles in which a node first meets neighbours, the neighbours that it is held against, and children of one parent in a
 #: verifying task.
-FIRST_TILES, FIRST_LINKS, CHILDREN = 8, 3, 256
+FIRST_TILES, FIRST_LINKS, CHILDREN = 40, 8, 256
 #: Nodes of a tile that a task gathers, twice as many at most.
 PART = 2000
 #: Bytes of entries in a bucket, about.
