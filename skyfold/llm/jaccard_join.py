@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import stored
-from .common import _U, buffer_of, components, forest_roots, mix64, rename_inputs, slices, word_hashes
+from .common import _U, buffer_of, components, forest_roots, mix64, rename_inputs, slices, small_batches, word_hashes
 
 SHINGLE = 5
 THRESHOLD = Fraction(4, 5)
@@ -526,6 +526,11 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
 
     A row for each document.  key: the hash of id and text; kept: the component's first document, or an empty set.
     """
+    with small_batches(docs.sparkSession):
+        return _joined(docs, doc_id, text, threshold, k, bits)
+
+
+def _joined(docs: DataFrame, doc_id: str, text: str, threshold: Fraction, k: int, bits: int) -> DataFrame:
     d = rename_inputs(docs, doc_id=doc_id, text=text)
     # a document and its exact copy under one id have one key
     d = d.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
