@@ -389,7 +389,7 @@ def _blocks(t: Fraction):
             fit &= np.minimum(na, nb) * t.denominator >= np.maximum(na, nb) * t.numerator
             fit &= cols["root"][u][:, None] != cols["root"][v][None]
             ea, eb = cols["even"][u][:, None], cols["even"][v][None]
-            fit &= np.where(na < nb, ea, np.where(nb < na, eb, ea | eb))
+            fit &= np.where(na < nb, ea, np.where(nb < na, eb, ea & eb))
             if cross:
                 fit &= cols["part"][u][:, None] != cols["part"][v][None]
             i, j = np.nonzero(fit)
@@ -421,7 +421,7 @@ def _blocks(t: Fraction):
             na, nb, ea, eb = cols["n"][a], cols["n"][b], cols["even"][a], cols["even"][b]
             fit = np.minimum(na, nb) * t.denominator >= np.maximum(na, nb) * t.numerator
             fit &= cols["root"][a] != cols["root"][b]
-            fit &= np.where(na < nb, ea, np.where(nb < na, eb, ea | eb))
+            fit &= np.where(na < nb, ea, np.where(nb < na, eb, ea & eb))
             fit &= ~cols["cross"][a] | (cols["part"][a] != cols["part"][b])
             found.append(np.stack([a[fit], b[fit]]))
         if not found:
