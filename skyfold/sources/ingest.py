@@ -75,5 +75,5 @@ def runway_summary(raw: DataFrame, airports: Sequence[str] = AIRPORTS) -> DataFr
     d = raw.where(F.col("airport_ident").isin(*airports) & (col("closed").try_cast("int") == 0))
     length = number("length_ft")
     return d.groupBy(F.col("airport_ident").alias("icao")).agg(
-        F.count("*").cast("tinyint").alias("runway_count"), F.max(length).cast("float").alias("longest_runway_ft"), F.avg(length).cast("float").alias("mean_runway_ft")
+        F.count("*").alias("runway_count"), F.max(length).cast("float").alias("longest_runway_ft"), F.avg(length).cast("float").alias("mean_runway_ft")
     )

@@ -137,3 +137,8 @@ def test_synthetic_is_seeded(spark):
     assert a == b
     d = synthetic.movements(spark, 100, seed=5).where("PHASE_mvt = 'DEP'")
     assert d.where(F.unix_seconds("MVT_TIME_UTC_mvt") - F.unix_seconds("BLOCK_TIME_UTC_mvt") != F.col("TAXITIME_SEC_mvt")).count() == 0
+
+
+def test_runways_of_a_large_airport(spark):
+    raw = spark.createDataFrame([("EHAM", "0", "9000")] * 200 + [("EHAM", "1", "12000")], "airport_ident string, closed string, length_ft string")
+    assert [tuple(r) for r in ingest.runway_summary(raw, ["EHAM"]).collect()] == [("EHAM", 200, 9000.0, 9000.0)]
