@@ -6,7 +6,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 
 from skyfold.operators.asof import asof_backward
-from skyfold.operators.windows import DAY, MINUTE, gaps, horizons, range_counts, running_count
+from skyfold.operators.windows import DAY, MINUTE, gaps, horizons, range_counts, range_counts_of, running_count
 
 T0 = datetime(2025, 1, 1, tzinfo=timezone.utc)
 BUCKETS = [None, DAY, 90 * MINUTE]
@@ -94,3 +94,30 @@ def test_causal_case(spark):
     d = spark.createDataFrame([(0, "A", at(0), at(-20)), (1, "A", at(10), at(-10)), (2, "A", at(40), at(20))], "id long, apt string, ts timestamp, block timestamp")
     got = {r.id: r.n_prev_30m for r in range_counts(d, d, ["apt"], "block", "ts", horizons("n", (30,), True, False)).collect()}
     assert got[2] == 2
+
+
+def windows(df):
+    """The frames of df's windows, from its analyzed plan, each as (lower, upper)."""
+    import re
+
+    return re.findall(r"specifiedwindowframe\(RangeFrame, ([^,]*), ([^)]*\)?)\)", df._jdf.queryExecution().analyzed().toString())
+
+
+def test_range_counts_take_one_pass(spark):
+    """Frames that slide are added up anew for each row, in a time that grows with the square of the rows."""
+    dep = frame(spark, rows(50, 1, nulls=False))
+    got = range_counts(dep, dep, ["apt"], "ts", "ts", horizons("n", (60, 600)))
+    assert {lower for lower, _ in windows(got)} == {"unboundedpreceding$()"}
+
+
+def test_streams_of_one_frame_share_its_rows(spark):
+    dep, arr = frame(spark, rows(60, 1)), frame(spark, rows(60, 2))
+    streams = [(dep, "ts", horizons("rwy", (15,)), ["rwy"]), (arr, "ts", horizons("arr", (15,))), (dep, "ts", horizons("apt", (15,)))]
+    got = range_counts_of(dep, streams, ["apt"], "ts")
+    assert got._jdf.queryExecution().analyzed().toString().count("Generate explode") == 2
+    want = {}
+    for name, events, by in (("rwy", dep, ["apt", "rwy"]), ("arr", arr, ["apt"]), ("apt", dep, ["apt"])):
+        for r in range_counts(dep, events, by, "ts", "ts", horizons(name, (15,))).collect():
+            want.setdefault(r.id, {}).update({c: r[c] for c in (f"{name}_prev_15m", f"{name}_next_15m")})
+    for r in got.collect():
+        assert want[r.id] == {c: r[c] for c in want[r.id]}
