@@ -199,3 +199,21 @@ def test_streaming_bins(spark, tmp_path):
     q.stop()
     got = spark.table("bins").collect()
     assert got and all(r.n == 3 for r in got if r.bin_start.replace(tzinfo=timezone.utc) >= T0)
+
+
+def test_training_side_is_made_once(spark):
+    """Levels, gaps, the mean and the trees read it; what it is made of (windows, say) ran for each of them."""
+    from skyfold.plans.evaluation import Split
+    from skyfold.plans.model import train_predict
+
+    made = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        made.add(1)
+        return x
+
+    d = spark.range(60).select((F.col("id") * 7 % 13).cast("double").alias("x"), F.concat(F.lit("L"), (F.col("id") % 3).cast("string")).alias("level"), (F.col("id") % 5 + 10).cast("double").alias("taxi"), F.lit(9.0).alias("reference_sec"))
+    fit = d.withColumn("x", F.udf(count, "double")("x"))
+    out = train_predict(Split(fit, d, ["x", "level"]), ["x", "level"], rounds=1, depth=2, n=movements.Names(taxi="taxi"))
+    assert out.count() == 60
+    assert made.value == 60
