@@ -886,3 +886,19 @@ def test_components(spark):
     want = {x: find(x) for x in list(root) if find(x) != x}
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == want
+
+
+def test_components_ask_once_a_step(spark):
+    """Beside the tables it writes, one query for each step: the driver keeps the plans of what has run."""
+    from skyfold import tables
+    from skyfold.llm.common import components
+
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+    edges = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(20, 21), (22, 21)], "a long, b long")
+    bus.waitUntilEmpty(30_000)
+    ran, written = store.executionsCount(), len(tables._WRITTEN)
+    roots = components(edges)
+    bus.waitUntilEmpty(30_000)
+    steps = len(tables._WRITTEN) - written - 1
+    assert store.executionsCount() - ran == 2 * steps + 1
+    assert {r.node: r.root for r in roots.collect()} == {i: 0 for i in range(1, 10)} | {21: 20, 22: 20}
