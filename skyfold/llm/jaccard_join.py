@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import stored
+from ..tables import only_result, stored
 from .common import _U, buffer_of, components, forest_roots, mix64, rename_inputs, slices, small_batches, word_hashes
 
 SHINGLE = 5
@@ -357,6 +357,11 @@ def _likeliest(pairs: DataFrame) -> DataFrame:
     return best.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
 
 
+@only_result
+def _first_links(tiles: DataFrame, nodes: DataFrame, docs: DataFrame, t: Fraction, k: int) -> DataFrame:
+    return _verified(_likeliest(_allowed(_neighbours(tiles), nodes, t)), nodes, docs, t, k)
+
+
 def _blocks(t: Fraction):
     """Pairs of a block of a tile that may link: different roots, sizes in reach, and a bitmap bound that allows it.
 
@@ -512,6 +517,11 @@ def _across(tiles: DataFrame, roots: DataFrame, nodes: DataFrame, t: Fraction) -
     return stored(full.mapInArrow(_blocks(t), "a bigint, b bigint").distinct(), "across")
 
 
+@only_result
+def _other_links(tiles: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFrame, t: Fraction, k: int) -> DataFrame:
+    return _verified(_across(tiles, roots, nodes, t), nodes, docs, t, k)
+
+
 def _merged(nodes: DataFrame, roots: DataFrame, more: DataFrame) -> DataFrame:
     """(node, root) after the links `more`: of those between components, only the roots are walked."""
     every = stored(nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "rooted")
@@ -550,11 +560,11 @@ def _joined(docs: DataFrame, doc_id: str, text: str, threshold: Fraction, k: int
     nodes = stored(nodes.select("node", "one.key", "one.doc_id", "n", "data"), "nodes")
 
     # a few of a node's neighbours are enough here: what they leave apart comes up again below
-    links = _verified(_likeliest(_allowed(_neighbours(tiles), nodes, threshold)), nodes, d, threshold, k)
+    links = _first_links(tiles, nodes, d, threshold, k)
     # with one smaller neighbour for each node the links are a forest; the other links merge its trees
     parents = links.groupBy("b").agg(F.min("a").alias("a"))
     roots = _merged(nodes, forest_roots(parents.select(F.col("b").alias("node"), F.col("a").alias("parent"))), links)
-    more = _verified(_across(tiles, roots, nodes, threshold), nodes, d, threshold, k)
+    more = _other_links(tiles, roots, nodes, d, threshold, k)
     roots = _merged(nodes, roots, more)
 
     rows = rows.select("doc_id", "key", F.when(F.col("n") > 0, F.col("node")).alias("node"), "n")

@@ -902,3 +902,64 @@ def test_components_ask_once_a_step(spark):
     steps = len(tables._WRITTEN) - written - 1
     assert store.executionsCount() - ran == 2 * steps + 1
     assert {r.node: r.root for r in roots.collect()} == {i: 0 for i in range(1, 10)} | {21: 20, 22: 20}
+
+
+def test_components_in_steps_and_at_once(spark):
+    """Distributed steps, those that end in one task, and one task alone give the same roots; so do a forest's rounds."""
+    import random
+
+    from skyfold.llm.common import components, forest_roots
+
+    rnd = random.Random(2)
+    edges = [(rnd.randrange(-300, 300), rnd.randrange(-300, 300)) for _ in range(400)] + [(i, i + 1) for i in range(500, 560)]
+    path = list(range(1000, 1300))
+    rnd.shuffle(path)
+    edges = spark.createDataFrame(edges + list(zip(path, path[1:])) + [(0, i) for i in range(2000, 2050)], "a long, b long")
+    want = sorted((r.node, r.root) for r in components(edges, few=0).collect())
+    assert len(want) > 400
+    for few in (300, 1 << 18):
+        assert sorted((r.node, r.root) for r in components(edges, few=few).collect()) == want
+    forest = spark.createDataFrame([(i, -7 if i < 3 else rnd.randrange(i)) for i in range(200)] + [(i, i + 1) for i in range(400, 500)], "node long, parent long")
+    rounds = sorted((r.node, r.root) for r in forest_roots(forest, few=0).collect())
+    assert sorted((r.node, r.root) for r in forest_roots(forest).collect()) == rounds and len(rounds) == 300
+
+
+def test_small_components_take_few_tasks(spark):
+    """A path of 200 nodes, whatever the shuffle partitions: no shuffle but that of its distinct edges."""
+    from skyfold.llm.common import components
+
+    tracker, n = spark.sparkContext.statusTracker(), spark.conf.get("spark.sql.shuffle.partitions")
+    jobs = set(tracker.getJobIdsForGroup(None))
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        roots = components(spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark._jsparkSession.sparkContext().listenerBus().waitUntilEmpty(30_000)
+    stages = {s for j in set(tracker.getJobIdsForGroup(None)) - jobs for s in tracker.getJobInfo(j).stageIds}
+    tasks = sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s)))
+    assert 0 < tasks <= 120
+    assert {r.node: r.root for r in roots.collect()} == {i: 0 for i in range(1, 201)}
+
+
+def test_scratch_tables_and_shuffles_go(spark):
+    """Of the join's tables those stay that its result reads; a stored table leaves no shuffle file."""
+    import os
+    from urllib.parse import urlparse
+
+    from skyfold import tables
+    from skyfold.llm.jaccard_join import join
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{j + i // 3}" for j in range(60)) + " x" * (i % 3)) for i in range(30)], "doc_id long, text string")
+    before = len(tables._WRITTEN)
+    found = join(docs)
+    there = {os.path.basename(p).split("-")[1] for p in tables._WRITTEN[before:] if os.path.exists(urlparse(p).path)}
+    assert "tiles" in there and not there & {"first", "candidates", "pairs", "needed", "texts", "mixed", "inside", "cells", "meets"}
+    assert found.count() == 30
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: sum(x.getName().startswith("shuffle_") for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(blocks.getAllFiles()))
+    held = files()
+    tables.stored(docs.repartition(7).groupBy("text").count(), "counted").count()
+    assert files() <= held + 12  # what the count left
